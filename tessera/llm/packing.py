@@ -125,7 +125,7 @@ class Bins:
             rank, n = rank + m, n - m
 
 
-def plan(histogram: dict[int, int], capacity: int = 2048, groups: int = 128, small: float = 1 / 16) -> np.ndarray:
+def plan(histogram: dict[int, int], capacity: int = 2048, groups: int = 64, small: float = 1 / 16) -> np.ndarray:
     """Rows (length, first rank, how many, first sequence, offset): where the pieces of each length go, by rank.
 
     Works on the histogram of lengths, so its cost depends on the capacity, not on how many documents there are. Pieces
