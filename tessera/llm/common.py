@@ -54,8 +54,9 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def input_bytes(df: DataFrame) -> int:
-    """The size of df's input as the optimizer estimates it; no job runs."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """The size of df's input as the optimizer estimates it from its files; where it can't, the bytes of the texts."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < 1 << 60 else int(df.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
 
 
 def parts_for(df: DataFrame, target: int) -> int:

@@ -125,7 +125,7 @@ class Bins:
             rank, n = rank + m, n - m
 
 
-def plan(histogram: dict[int, int], capacity: int = 2048, groups: int = 64, small: float = 1 / 16) -> np.ndarray:
+def plan(histogram: dict[int, int], capacity: int = 2048, groups: int = 64, small: float = 1 / 3) -> np.ndarray:
     """Rows (length, first rank, how many, first sequence, offset): where the pieces of each length go, by rank.
 
     Works on the histogram of lengths, so its cost depends on the capacity, not on how many documents there are. Pieces
@@ -208,7 +208,8 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = 2048)
     prepare(docs.sparkSession)
     made = written(pieces(docs, tokenizer, end_id, capacity), "pieces")
     counts = written(made.groupBy("length", "part").agg(F.count("*").alias("n")), "counts")
-    rows = plan({r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}, capacity)
+    histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
+    rows = min((plan(histogram, capacity, small=s) for s in (1 / 3, 1 / 5, 1 / 8)), key=lambda p: (p[:, 3] + p[:, 2]).max(initial=0))
     base = counts.select("length", "part", (F.sum("n").over(Window.partitionBy("length").orderBy("part")) - F.col("n")).alias("base"))
     within = F.row_number().over(Window.partitionBy("length", "part").orderBy("doc_id", "piece", "start", "ids_crc32"))
     ranked = made.withColumn("r", within - 1).join(base, ["length", "part"]).withColumn("r", F.col("r") + F.col("base"))

@@ -39,6 +39,12 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.ngram_join import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), k=3, num=90, den=100)
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.sharding import shard
 
@@ -47,11 +53,20 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", crc.alias("text_crc32"), "law", "shard", F.col("slot").cast("long").alias("slot"), "grown_shard")
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.substring import dedup_substrings
+
+    out = dedup_substrings(table(spark, sf_dir, "documents"), window=13)
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_index": op1_token_index,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op6_line_dedup": op6_line_dedup,
+    "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
     "op8_sharding": op8_sharding,
+    "op10_substring_dedup": op10_substring_dedup,
 }
 
 _WHITE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"

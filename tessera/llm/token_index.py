@@ -136,7 +136,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, folder: str | Non
     spark = prepare(docs.sparkSession)
     folder = folder or work_dir(spark, "tokens")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("h", F.xxhash64("text"))
-    parts = parts_for(rows, shard_bytes)
+    parts = parts_for(docs, shard_bytes)
 
     def encode(batches):
         enc, shard = encoder(tokenizer), TaskContext.get().partitionId()
