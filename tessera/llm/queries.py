@@ -26,6 +26,12 @@ def op1_token_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_tokens(files, docs.select("doc_id"))
 
 
+def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.embedding_dedup import near_duplicate_vectors
+
+    return near_duplicate_vectors(table(spark, sf_dir, "embeddings"), cosine=0.98)
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.packing import pack
 
@@ -62,6 +68,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_index": op1_token_index,
+    "op2_embedding_dedup": op2_embedding_dedup,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op6_line_dedup": op6_line_dedup,
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
