@@ -176,6 +176,8 @@ def _by_structure(text: str, size: int) -> list[str]:
 
 def smart_chunks(text: str, size: int = SIZE, segment: Callable[[str], list[str]] = words) -> list[str]:
     """By structure; long parts as fixed_chunks(); neighbours that belong together merged; overlap put before each."""
+    if not text.strip(_BLANK):
+        return []
     overlap = int(size * OVERLAP_SHARE)
     parts = [p for rough in _by_structure(text, size) for p in (fixed_chunks(rough, size, segment) if len(rough) > size * 1.5 else [rough])]
     merged: list[str] = []
