@@ -90,8 +90,10 @@ class Model:
 
 
 def _quantiles(x: np.ndarray, bins: int) -> np.ndarray:
+    if not len(x):
+        return x
     q = np.unique(np.quantile(x, np.linspace(0, 1, bins + 1)[1:-1], method="nearest"))
-    return q[q > x.min()] if len(x) else q
+    return q[q > x.min()]
 
 
 def _tree(g: np.ndarray, h: np.ndarray, leaves: int, ridge: float, least: float) -> np.ndarray:

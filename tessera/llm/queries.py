@@ -111,6 +111,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 _WHITE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
+_WORDS = """d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce({text}, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS ws FROM documents),
+w AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS pos FROM d)"""
+_ASCII_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_REACH = """m AS (SELECT a, b FROM p UNION SELECT b, a FROM p), r AS (SELECT a, b FROM m UNION SELECT r.a, m.b FROM r JOIN m ON r.b = m.a), c AS (SELECT a, min(b) AS low FROM r GROUP BY a)"""
+
 SQL: dict[str, str] = {
     "op6_line_dedup": f"""
 WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
@@ -121,5 +126,31 @@ m AS (SELECT k.doc_id, k.pos, k.line, c.last IS NOT NULL AND c.last <> k.doc_id
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
 FROM m GROUP BY doc_id
+""",
+    "op2_embedding_dedup": f"""
+WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings WHERE label IS NOT NULL AND len(embedding) > 0 AND list_count(embedding) = len(embedding)),
+p AS (SELECT x.vec_id AS a, y.vec_id AS b FROM v x JOIN v y ON x.label = y.label AND x.vec_id < y.vec_id AND len(x.e) = len(y.e)
+      WHERE CASE WHEN isnan(list_cosine_similarity(x.e, y.e)) THEN false ELSE list_cosine_similarity(x.e, y.e) >= 0.98 END),
+{_REACH}
+SELECT vec_id, (SELECT count(*) FROM m WHERE m.a = vec_id) AS n_links, least(vec_id, coalesce(low, vec_id)) AS component_id, vec_id = least(vec_id, coalesce(low, vec_id)) AS kept
+FROM embeddings LEFT JOIN c ON c.a = vec_id
+""",
+    "op7_ngram_jaccard_join": f"""
+WITH RECURSIVE {_WORDS.format(text=_ASCII_LOWER)},
+g AS (SELECT doc_id, pos, count(*) OVER (PARTITION BY doc_id) AS n, count(*) OVER v AS size, string_agg(word, ' ') OVER v AS t FROM w WINDOW v AS (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING)),
+s AS (SELECT DISTINCT doc_id, t FROM g WHERE size = 3 OR (n < 3 AND pos = 1)),
+k AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+i AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared FROM s x JOIN s y ON x.t = y.t AND x.doc_id < y.doc_id GROUP BY ALL),
+p AS (SELECT a, b FROM i JOIN k ka ON ka.doc_id = a JOIN k kb ON kb.doc_id = b WHERE 100 * shared >= 90 * (ka.n + kb.n - shared)),
+{_REACH}
+SELECT doc_id, coalesce(k.n, 0) AS n_shingles, least(doc_id, coalesce(low, doc_id)) AS component_id FROM documents LEFT JOIN k USING (doc_id) LEFT JOIN c ON c.a = doc_id
+""",
+    "op10_substring_dedup": f"""
+WITH {_WORDS.format(text="text")},
+g AS (SELECT doc_id, pos, count(*) OVER v AS size, string_agg(word, ' ') OVER v AS t FROM w WINDOW v AS (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING)),
+f AS (SELECT t, min(doc_id) AS first FROM g WHERE size = 13 GROUP BY t),
+gone AS (SELECT DISTINCT doc_id, pos + j AS pos FROM (SELECT g.doc_id, g.pos, unnest(generate_series(0, 12)) AS j FROM g JOIN f ON f.t = g.t WHERE g.size = 13 AND f.first < g.doc_id)),
+k AS (SELECT w.doc_id, count(*) AS n, count(gone.pos) AS lost, string_agg(word, ' ' ORDER BY w.pos) FILTER (WHERE gone.pos IS NULL) AS kept FROM w LEFT JOIN gone ON gone.doc_id = w.doc_id AND gone.pos = w.pos GROUP BY w.doc_id)
+SELECT doc_id, coalesce(n, 0) AS n_words, coalesce(lost, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM documents LEFT JOIN k USING (doc_id)
 """,
 }

@@ -21,7 +21,8 @@ def test_language(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     model = langid.learn(df.where("doc_id % 4 <> 2"))
     assert set(model.names) == set(SYLLABLES) and len({len(d) for d in model.dictionaries}) == 1
-    odd = spark.createDataFrame([(1000, None, "aa"), (1001, "", "aa"), (1002, "12 ?!", None), (1003, "ba" * 200_000, None), (1003, "ba" * 200_000, None)], df.schema)
+    long_ = sentence(rng, "aa", 60_000)
+    odd = spark.createDataFrame([(1000, None, "aa"), (1001, "", "aa"), (1002, "12 ?!", None), (1003, long_, None), (1003, long_, None)], df.schema)
     out = langid.identify(df.union(odd).withColumn("score", F.lit("clash")), model).collect()
     held = [r for r in out if r["doc_id"] < 1000 and r["doc_id"] % 4 == 2]
     assert np.mean([r["lang"] == r["lang_pred"] for r in held]) > 0.97
