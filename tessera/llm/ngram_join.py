@@ -2,26 +2,33 @@
 
 A document's tokens are its distinct k-word shingles. All documents order tokens alike: by how often a sketch over the whole
 corpus has counted them, rare ones first. Of two sets of similarity t or more, with n tokens each set's prefix of
-n - ceil(t n) + 1 tokens shares a token with the other's. Frequent tokens make poor index keys; they fall into classes,
-and within a class pairs of tokens are indexed instead. To still be certain, the prefix is extended until
-(rare tokens) + sum over classes of (tokens - 1) reaches the plain prefix length: if fewer than one rare token and two
-tokens of any class were shared, more tokens than n - ceil(t n) would be missing from the other set. Small sets can't always be
-extended that far; they, and those near enough in size to link with them, are indexed by single tokens in a space of
-their own.
+n - ceil(t n) + 1 tokens shares a token with the other's. Only tokens that the sketch shows to be rare make index keys by
+themselves. The others fall into classes, and within a class pairs of tokens are indexed. To still be certain, the prefix is
+extended until (rare tokens) + sum over classes of (tokens - 1) reaches the plain prefix length: if no rare token and at most
+one token of each class were shared, more tokens than n - ceil(t n) would be missing from the other set.
+
+The larger a set, the more classes it takes (CLASSES), so that a class has few tokens in the prefix and few pairs. A number of
+classes m serves sets of over ceil((m + 1) / t) tokens, which can always be extended far enough; sets below all of these are
+indexed by single tokens. Keys of different numbers of classes never meet, so sets within a factor t above such a bound are
+indexed on both sides of it.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import LOWEST, components, input_bytes, mix, prepare, word_hashes, words_of, written
+from tessera.llm.common import LOWEST, components, forest, input_bytes, mix, prepare, word_hashes, words_of, written
 
 U = np.uint64
 SLICES = 16
-CLASSES = 64
+LEADERS = 8
+BLOCK = 256
+#: Numbers of classes, each for sets up to the size from which the next one serves; 0: single tokens.
+CLASSES = (0, 64, 256, 1024, 4096, 16384)
 
 
 def shingle_sets(texts: list[str | None], k: int) -> list[tuple[int, np.ndarray]]:
@@ -99,7 +106,11 @@ def _add_up(batches):
 
 
 def levels(counted: DataFrame, bits: int) -> tuple[np.ndarray, int]:
-    """(level of each sketch cell: 8 * log2(1 + count), the level from which tokens are frequent). 2**bits bytes."""
+    """(level of each sketch cell: 8 * log2(1 + count), the highest level of rare tokens). 2**bits bytes.
+
+    A cell counts its tokens' documents and some of other tokens, `mean` on average; a token is rare if it is alone in its cell or
+    the cell has three deviations less than the mean.
+    """
     import zstandard
 
     parts = counted.where("slice is not null").select("slice", "payload")
@@ -110,47 +121,62 @@ def levels(counted: DataFrame, bits: int) -> tuple[np.ndarray, int]:
     for r in parts.collect():  # SLICES rows of fixed size for each salt left
         sums[r["slice"] * width : (r["slice"] + 1) * width] += np.frombuffer(zstandard.ZstdDecompressor().decompress(bytes(r["payload"])), np.uint32)
     mean = float(sums.mean())
-    return np.floor(8 * np.log2(1.0 + sums)).astype(np.uint8), int(8 * np.log2(1 + 4 * mean + 256))
+    return np.floor(8 * np.log2(1.0 + sums)).astype(np.uint8), int(8 * np.log2(1 + max(1.0, mean - 3 * mean**0.5)))
+
 
+def _least_size(classes: int, num: int, den: int) -> int:
+    """Sets of over so many tokens can be indexed with this many classes."""
+    return -(-(classes + 1) * den // num) if classes else 0
 
-def signatures(tokens: np.ndarray, level: np.ndarray, frequent: int, num: int, den: int) -> np.ndarray:
-    """The index keys of one set."""
+
+def signatures(tokens: np.ndarray, level: np.ndarray, rare: int, num: int, den: int) -> np.ndarray:
+    """The index keys of one set: levels up to `rare` alone, others in pairs of a class."""
     n = len(tokens)
     if not n:
         return tokens
     need = n + (-num * n // den) + 1  # n - ceil(t n) + 1
     order = np.lexsort((tokens, level))
-    ranked, lev = tokens[order], level[order]
-    small = -(-(CLASSES + 1) * den // num)
+    ranked = tokens[order]
+    alone = int(np.searchsorted(level[order], rare, "right"))
     out = []
-    if n <= small * den // num:
-        out.append(mix(ranked[:need] ^ U(0x5A5A5A5A5A5A5A5A)))
-    if n > small:
-        rare = int(np.searchsorted(lev, frequent, "left"))
-        out.append(mix(ranked[: min(need, rare)]))
-        if rare < need:
-            often = ranked[rare:]
-            kind = (mix(often + U(11)) % U(CLASSES)).astype(np.int64)
-            by = np.argsort(kind, kind="stable")
-            again = np.zeros(len(often), bool)
-            again[by[1:]] = kind[by][1:] == kind[by][:-1]
-            take = int(np.searchsorted(np.cumsum(again), need - rare, "left")) + 1
-            often, kind = often[:take], kind[:take]
-            for c in np.unique(kind):
-                own = np.sort(often[kind == c])
-                i, j = np.triu_indices(len(own), 1)
-                out.append(mix(own[i] * U(0xD1342543DE82EF95) + mix(own[j])))
+    for i, classes in enumerate(CLASSES):
+        low = _least_size(classes, num, den)
+        top = _least_size(CLASSES[i + 1], num, den) if i + 1 < len(CLASSES) else None
+        if n <= low or (top is not None and n * num > top * den):
+            continue
+        salt = U(mix(np.array([classes + 1], U))[0])
+        if not classes:
+            out.append(mix(ranked[:need] ^ salt))
+            continue
+        out.append(mix(ranked[: min(need, alone)] ^ salt))
+        if alone >= need:
+            continue
+        often = ranked[alone:]
+        kind = mix(often ^ salt) % U(classes)
+        by = np.argsort(kind, kind="stable")
+        again = np.zeros(len(often), bool)
+        again[by[1:]] = kind[by[1:]] == kind[by[:-1]]
+        take = int(np.searchsorted(np.cumsum(again), need - alone, "left")) + 1
+        by = np.lexsort((often[:take], kind[:take]))
+        often, kind = often[:take][by], kind[:take][by]
+        d = 1
+        while d < len(often) and (same := kind[d:] == kind[:-d]).any():
+            out.append(mix(often[:-d][same] * U(0xD1342543DE82EF95) + mix(often[d:][same] ^ salt)))
+            d += 1
     return np.concatenate(out)
 
 
-def _index(k: int, bits: int, shared, frequent: int, num: int, den: int, buckets: int):
+def _index(k: int, bits: int, shared, rare: int, num: int, den: int, buckets: int):
     names = ["bucket", "kind", "sig", "node", "n"]
 
+    def short(sig: np.ndarray) -> bytes:  # 48 bits: keys that agree by chance cost a comparison, no more
+        return sig.view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()
+
     def rows(bucket: np.ndarray, kind: int, sig, node, n):
         by = np.argsort(bucket, kind="stable")
         bucket, sig, node, n = bucket[by], sig[by], node[by], n[by]
         edges = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]])
-        return [(int(bucket[a]), kind, sig[a:z].tobytes(), node[a:z].tobytes(), n[a:z].tobytes()) for a, z in zip(edges[:-1], edges[1:], strict=True)]
+        return [(int(bucket[a]), kind, short(sig[a:z]), node[a:z].tobytes(), n[a:z].tobytes()) for a, z in zip(edges[:-1], edges[1:], strict=True)]
 
     def run(batches):
         level = np.frombuffer(shared.value, np.uint8)
@@ -158,7 +184,7 @@ def _index(k: int, bits: int, shared, frequent: int, num: int, den: int, buckets
             sets = {node: tokens for node, tokens in shingle_sets(b.column("text").to_pylist(), k) if len(tokens)}
             if not sets:
                 continue
-            keys = [signatures(t, level[(t & U((1 << bits) - 1)).astype(np.int64)], frequent, num, den) for t in sets.values()]
+            keys = [signatures(t, level[(t & U((1 << bits) - 1)).astype(np.int64)], rare, num, den) for t in sets.values()]
             sizes = [len(x) for x in keys]
             sig = np.concatenate(keys)
             node = np.repeat(np.array(list(sets), np.int64), sizes)
@@ -185,7 +211,10 @@ def _shared(table: pa.Table) -> pa.Table:
     """The (key, set) rows of keys that two sets share."""
     parts: dict[int, list] = {0: [], 1: []}
     for r in table.to_pylist():
-        parts[r["kind"]].append([np.frombuffer(r["sig"], U), np.frombuffer(r["node"], np.int64), np.frombuffer(r["n"], np.uint32)])
+        raw = np.frombuffer(r["sig"], np.uint8).reshape(-1, 6)
+        sig = np.zeros((len(raw), 8), np.uint8)
+        sig[:, 2:] = raw
+        parts[r["kind"]].append([sig.view(U).ravel(), np.frombuffer(r["node"], np.int64), np.frombuffer(r["n"], np.uint32)])
     out = list(parts[1])
     if parts[0]:
         sig, node, n = (np.concatenate(x) for x in zip(*parts[0], strict=True))
@@ -199,6 +228,36 @@ def _shared(table: pa.Table) -> pa.Table:
     return pa.table({"sig": pa.array(sig.view(np.int64), pa.int64()), "node": pa.array(node, pa.int64()), "n": pa.array(n.astype(np.int64), pa.int64())})
 
 
+def _block_links(num: int, den: int):
+    """Of the sets of one or two blocks: a spanning forest of the links between different components."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        node, c, block = pdf["node"].to_numpy(), pdf["c"].to_numpy(), pdf["block"].to_numpy()
+        lo, hi = int(pdf["lo"].iloc[0]), int(pdf["hi"].iloc[0])
+        size = np.array([len(t) for t in pdf["tokens"]], np.int64)
+        _, at, times = np.unique(np.concatenate(list(pdf["tokens"])), return_inverse=True, return_counts=True)
+        row = np.repeat(np.arange(len(node)), size)
+        often = times[at] > 1  # the others are in no intersection
+        column = (np.cumsum(times > 1) - 1)[at[often]]
+        row = row[often]
+        by = np.argsort(column, kind="stable")
+        row, column = row[by], column[by]
+        shared = np.zeros((len(node), len(node)), np.float32)
+        for start in range(0, int(column[-1]) + 1 if len(column) else 0, 4096):
+            i, z = np.searchsorted(column, [start, start + 4096])
+            part = np.zeros((len(node), 4096), np.float32)
+            part[row[i:z], column[i:z] - start] = 1
+            shared += part @ part.T
+        both = shared.astype(np.int64)
+        hit = den * both >= num * (size[:, None] + size[None, :] - both)
+        hit &= (c[:, None] != c[None, :]) & (block[:, None] == lo) & (block[None, :] == hi)
+        x, y = np.nonzero(hit)
+        a, b = forest(node[x], node[y]) if len(x) else (node[:0], node[:0])
+        return pd.DataFrame({"a": a, "b": b})
+
+    return run
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, sketch_bits: int = 22, bucket_bytes: int = 8 << 20) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of docs.
 
@@ -210,17 +269,18 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     Null text: empty set. Null doc_id: counts as the smallest id and comes back as null. Repeated rows: one row each, in
     one component. Extra columns are ignored. An empty table gives no rows.
 
-    Equal word sequences are one node throughout, so copies cost one row each. Sets that share a key are compared with the
-    smallest of them first; what then is in one component is not compared again, only what shares a key across
-    components is, so a large group of near copies costs a comparison or so for each member and key, not for each pair.
+    Equal word sequences are one node throughout, so copies cost one row each. Sets that share a key are first compared with at most
+    LEADERS of them. Where others of a key then lie in different components, the sets so tied together are a cluster and are
+    compared with each other in blocks of about BLOCK, between components; only a spanning forest of each block's links
+    is written, never the pairs.
     """
     spark = prepare(docs.sparkSession)
     text = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST)).alias("doc_id"), "text")
     buckets = max(64, -(-input_bytes(docs) // bucket_bytes))
     counted = written(text.mapInArrow(_count(k, sketch_bits), "doc_id long, node long, n long, slice int, payload binary"), "counted")
-    level, frequent = levels(counted, sketch_bits)
+    level, rare = levels(counted, sketch_bits)
     sketch = spark.sparkContext.broadcast(level.tobytes())  # 2**sketch_bits bytes
-    dealt = text.select("text").mapInArrow(_index(k, sketch_bits, sketch, frequent, num, den, buckets), "bucket int, kind int, sig binary, node binary, n binary")
+    dealt = text.select("text").mapInArrow(_index(k, sketch_bits, sketch, rare, num, den, buckets), "bucket int, kind int, sig binary, node binary, n binary")
     keys = written(dealt.groupBy("bucket").applyInArrow(_shared, "sig long, node long, n long"), "keys")
 
     nodes = counted.where("slice is null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"))
@@ -231,7 +291,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
             rows = [(node, t) for (node, t), want in zip(shingle_sets(b.column("text").to_pylist(), k), b.column("__node").to_pylist(), strict=True) if node == want]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1].view(np.int64) for r in rows], pa.list_(pa.int64()))], names=["node", "tokens"])
 
-    sets = written(text.join(wanted, F.col("doc_id") == F.col("__d")).select("text", "__node").mapInArrow(build, "node long, tokens array<long>").dropDuplicates(["node"]), "sets")
+    sets = written(text.join(wanted, F.col("doc_id") == F.col("__d")).select("text", "__node").mapInArrow(build, "node long, tokens array<long>"), "sets")
 
     def links(pairs: DataFrame) -> DataFrame:
         a = sets.select(F.col("node").alias("a"), F.col("tokens").alias("ta"))
@@ -240,18 +300,22 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
         return pairs.join(a, "a").join(b, "b").where(den * both >= num * (F.size("ta") + F.size("tb") - both)).select("a", "b")
 
     near = den * F.least("na", "nb") >= num * F.greatest("na", "nb")
-    low = keys.groupBy("sig").agg(F.min(F.struct("node", "n")).alias("low")).select("sig", F.col("low.node").alias("a"), F.col("low.n").alias("na"))
-    first = written(keys.withColumnsRenamed({"node": "b", "n": "nb"}).join(low, "sig").where("a <> b").where(near).select("a", "b").distinct(), "pairs")
-    edges = written(links(first), "links")
+    salted = keys.withColumn("salt", F.pmod("node", F.lit(LEADERS)))
+    leaders = written(salted.groupBy("sig", "salt").agg(F.min(F.struct("node", "n")).alias("low")).select("sig", "salt", F.col("low.node").alias("a"), F.col("low.n").alias("na")), "leaders")
+    first = keys.withColumnsRenamed({"node": "b", "n": "nb"}).join(leaders.drop("salt"), "sig").where("a <> b").where(near)
+    edges = written(links(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()), "links")
     part = components(edges, "a", "b").withColumnsRenamed({"component": "c"})
 
-    placed = written(keys.join(part, "node", "left").withColumn("c", F.coalesce("c", "node")), "placed")
-    open_ = placed.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("sig")
-    left = placed.join(open_, "sig").distinct()
-    x = left.select("sig", F.col("node").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"))
-    y = left.select("sig", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"))
-    across = x.join(y, "sig").where("ca < cb").where(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    more = written(links(across.join(first, ["a", "b"], "left_anti")), "links")
+    # pairs of a key that no leader is part of, and that are not in one component yet
+    rest = salted.join(leaders, ["sig", "salt"]).where("node <> a").select("sig", "node").join(part, "node", "left").select("sig", "node", F.coalesce("c", "node").alias("c"))
+    rest = written(rest, "rest")
+    open_ = rest.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min("node").alias("hub")).where("lo < hi").select("sig", "hub")
+    near_by = written(rest.join(open_, "sig").select("node", "hub", "c").distinct(), "open")
+    clusters = components(near_by, "node", "hub").withColumnRenamed("component", "cluster")
+    blocks = clusters.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    own = clusters.join(blocks, "cluster").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).join(part, "node", "left")
+    sent = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("cluster", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "node", F.coalesce("c", "node").alias("c"))
+    more = written(sent.join(sets, "node").groupBy("cluster", "lo", "hi").applyInPandas(_block_links(num, den), "a long, b long"), "links")
     if more.limit(1).count():
         part = components(edges.union(more), "a", "b").withColumnsRenamed({"component": "c"})
 
