@@ -41,9 +41,11 @@ def work_dir(spark: SparkSession, name: str) -> str:
     if not base:
         base = "file:///tmp/checkpoints"
         spark.conf.set("spark.checkpoint.dir", base)
-    if "://" not in base and not base.startswith("file:"):
-        base = f"file://{os.path.abspath(base)}" if os.path.isdir(base) or base.startswith("/tmp/") else base
-    return f"{base.rstrip('/')}/tessera/{name}-{uuid.uuid4().hex}"
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(base)
+    whole = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    whole = f"file://{whole[5:]}" if whole.startswith("file:/") and not whole.startswith("file://") else whole
+    return f"{whole.rstrip('/')}/tessera/{name}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
