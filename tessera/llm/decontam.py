@@ -1,8 +1,8 @@
 """Benchmark decontamination by q-gram lemma filtering and banded alignment.
 
 A stretch of a document within k edits of a window of w characters of a benchmark item shares at least w + 1 - q (k + 1) of the
-window's q-grams, all of them within k diagonals. Shared q-grams are counted in bands of 2k + 1 diagonals that begin every k
-diagonals, so some band holds all of a stretch's; windows that reach the bound are verified by banded alignment.
+window's q-grams, all of them within k diagonals. Shared q-grams are counted in bands of 2k diagonals that begin every k
+diagonals, so some band holds all of a stretch's; every window that reaches the bound in a band is verified by banded alignment.
 """
 
 from __future__ import annotations
@@ -69,8 +69,11 @@ def edits_within(pattern: np.ndarray, text: np.ndarray, k: int) -> tuple[int, in
 
 @dataclass
 class Items:
-    """The q-grams of some benchmark items: sorted hashes with, for each, where it stands."""
+    """The q-grams of some benchmark items: sorted hashes with, for each, where it stands. No window of theirs needs fewer than
+    `need` shared q-grams."""
 
+    q: int
+    need: int
     ids: list[int]
     codes: list[np.ndarray]
     keys: np.ndarray
@@ -81,9 +84,19 @@ class Items:
     filter: np.ndarray
 
 
-def index_items(rows: list[tuple[int, str | None]], q: int, least: int) -> Items:
+def bounds(n: int, q: int, window: int, rate: float) -> tuple[int, int, int]:
+    """(w, k, need): window, edits and shared q-grams for an item of n characters. The last doesn't grow with n."""
+    w = min(window, n)
+    k = int(rate * w)
+    return w, k, max(1, w + 1 - q * (k + 1))
+
+
+def index_items(rows: list[tuple[int, str | None]], q: int, least: int, window: int, rate: float) -> list[Items]:
     kept = [(i, _codes(normal(t).replace("\0", " "))) for i, t in rows]
-    kept = [(i, c) for i, c in kept if len(c) >= least]
+    return [_index([(i, c) for i, c in kept if len(c) >= least], q, window, rate)]
+
+
+def _index(kept: list[tuple[int, np.ndarray]], q: int, window: int, rate: float) -> Items:
     hashes = [gram_hashes(c, q) for _, c in kept]
     h = np.concatenate([*hashes, np.empty(0, U)])
     item = np.repeat(np.arange(len(kept)), [len(x) for x in hashes])
@@ -92,45 +105,25 @@ def index_items(rows: list[tuple[int, str | None]], q: int, least: int) -> Items
     keys, first, size = np.unique(h[by], return_index=True, return_counts=True)
     bits = np.zeros(1 << BITS, bool)
     bits[(keys >> U(64 - BITS)).astype(np.int64)] = True
-    return Items([i for i, _ in kept], [c for _, c in kept], keys, first, size, item[by], at[by], bits)
+    need = min((bounds(len(c), q, window, rate)[2] for _, c in kept), default=1)
+    return Items(q, need, [i for i, _ in kept], [c for _, c in kept], keys, first, size, item[by], at[by], bits)
 
 
-def _windows(at: np.ndarray, place: np.ndarray, n: int, w: int, q: int, need: int) -> list[tuple[int, int]]:
-    """(start in the item, a shared gram's place in the document) of windows of w characters with enough shared grams.
-
-    Between two reported windows lies half a window at least, unless the hits lie apart in the document.
-    """
-    by = np.lexsort((at, place))
-    at, place = at[by], place[by]
-    out, lo, last = [], 0, None
-    span = w - q
-    for hi in range(len(at)):
-        while place[hi] - place[lo] > span + need:
-            lo += 1
-        if hi - lo + 1 >= need:
-            here = np.unique(at[lo : hi + 1])
-            if len(here) >= need and (last is None or place[hi] - last >= w // 2):
-                start = int(min(max(0, here[-1] + q - w), n - w))
-                out.append((start, int(place[hi] - (at[hi] - start))))
-                last = place[hi]
-    return out
-
-
-def gram_hits(codes: np.ndarray, items: Items, q: int, window: int, rate: float) -> tuple[np.ndarray, np.ndarray]:
+def gram_hits(codes: np.ndarray, items: Items, window: int, rate: float) -> tuple[np.ndarray, np.ndarray]:
     """(places, indexes into items.keys) of the q-grams of codes that items hold, in stretches with enough of them.
 
     A matching stretch has `need` such q-grams within window + k characters, whatever their diagonals; others are left out.
     """
     if not len(items.keys):
         return np.empty(0, np.int64), np.empty(0, np.int64)
-    h = gram_hashes(codes, q)
+    h = gram_hashes(codes, items.q)
     hits = np.flatnonzero(items.filter[(h >> U(64 - BITS)).astype(np.int64)])
     i = np.searchsorted(items.keys, h[hits])
     i[i == len(items.keys)] = 0
     real = items.keys[i] == h[hits]
     hits, i = hits[real], i[real]
     shortest = min(window, *(len(c) for c in items.codes)) if items.codes else window
-    need = max(1, shortest + 1 - q * (int(rate * shortest) + 1))
+    need = max(1, shortest + 1 - items.q * (int(rate * shortest) + 1))
     if len(hits) < need:
         return hits[:0], i[:0]
     dense = np.flatnonzero(hits[need - 1 :] - hits[: len(hits) - need + 1] <= window + int(rate * window))
@@ -139,48 +132,91 @@ def gram_hits(codes: np.ndarray, items: Items, q: int, window: int, rate: float)
     return hits[keep], i[keep]
 
 
-def find_in(codes: np.ndarray, items: Items, q: int, window: int, rate: float, hits: np.ndarray, i: np.ndarray) -> list[tuple[int, int, int, int, int, int]]:
-    """(item, document start, end, item start, end, edits) of verified stretches, in characters of the normalised texts."""
+def _verbatim(pattern: np.ndarray, codes: np.ndarray, diagonal: int, w: int, lo: int, hi: int) -> np.ndarray:
+    """The starts from lo to hi of windows of the pattern that codes hold unchanged on a diagonal."""
+    a, z = max(lo, -diagonal), min(hi + w, len(pattern), len(codes) - diagonal)
+    if z - a < w:
+        return np.empty(0, np.int64)
+    same = np.concatenate([[0], np.cumsum(pattern[a:z] == codes[a + diagonal : z + diagonal])])
+    return a + np.flatnonzero(same[w:] - same[:-w] == w)
+
+
+def align_windows(pattern: np.ndarray, codes: np.ndarray, starts: np.ndarray, w: int, k: int, low: int, width: int) -> tuple[np.ndarray, ...]:
+    """(window's start, edits, start and end in codes) of the nearest stretch to each window of the pattern that has one within k.
+
+    Stretches that touch one of the `width` diagonals from `low` on are seen. All windows advance together, a character at a
+    time, over those diagonals and k on either side; those beyond k edits are given up.
+    """
+    wide = width + 2 * k
+    unit = 1 << wide.bit_length()  # a cell is edits * unit + the diagonal where its stretch begins
+    steps = (np.arange(wide) * unit)[:, None]
+    place = starts + low - k + np.arange(w + wide)[:, None]
+    inside = (place >= 0) & (place < len(codes))
+    text = np.where(inside, codes[np.clip(place, 0, len(codes) - 1)], np.uint32(0xFFFFFFFF))
+    wanted = pattern[starts + np.arange(w)[:, None]]
+    row = np.repeat(np.arange(wide)[:, None], len(starts), axis=1)
+    for i in range(w):
+        new = row + unit * (text[i : i + wide] != wanted[i])
+        new[:-1] = np.minimum(new[:-1], row[1:] + unit)
+        row = np.minimum.accumulate(new - steps, axis=0) + steps
+        if i % 8 == 7 or i == w - 1:
+            alive = row.min(axis=0) < (k + 1) * unit
+            if not alive.all():
+                row, text, wanted, starts = row[:, alive], text[:, alive], wanted[:, alive], starts[alive]
+                if not len(starts):
+                    break
+    end = row.argmin(axis=0)
+    best = row[end, np.arange(len(starts))]
+    begin = starts + low - k + best % unit
+    return starts, best // unit, np.maximum(begin, 0), np.minimum(starts + w + low - k + end, len(codes))
+
+
+def find_in(codes: np.ndarray, items: Items, window: int, rate: float, hits: np.ndarray, i: np.ndarray) -> list[tuple[int, int, int, int, int, int]]:
+    """(item, document start, end, item start, end, edits) over all verified stretches of each item, in characters of the
+    normalised texts. Every window of the item that shares enough q-grams with a band is verified."""
     if not len(hits):
         return []
     n = items.size[i]
     which = np.repeat(items.first[i], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
     place, item, at = np.repeat(hits, n), items.item[which], items.at[which]
-    found, tried = {}, set()
-    k_all = int(rate * window)
-    step = max(1, k_all)
-    band = (place - at + (1 << 40)) // step
-    for shift in (0, 1):
-        key = item * (1 << 44) + band - shift + 1  # a hit counts in the band that begins at its diagonal's step and in the one before
-        by = np.argsort(key, kind="stable")
-        edges = np.flatnonzero(np.concatenate([[True], key[by][1:] != key[by][:-1], [True]]))
-        if shift == 0:
-            groups = {int(key[by[a]]): by[a:z] for a, z in zip(edges[:-1], edges[1:], strict=True)}
-            continue
-        for a, z in zip(edges[:-1], edges[1:], strict=True):
-            x = int(key[by[a]])
-            groups[x] = np.concatenate([groups[x], by[a:z]]) if x in groups else by[a:z]
-    for x in groups.values():
+    spans = {}
+
+    def add(it, starts, w, begin, end, edits):
+        if len(starts):
+            new = (int(begin.min()), int(end.max()), int(starts.min()), int(starts.max()) + w, int(edits.max()))
+            old = spans.get(it, new)
+            spans[it] = tuple(f(x, y) for f, x, y in zip((min, max, min, max, max), old, new, strict=True))
+
+    step = max(1, int(rate * window))
+    band = item * (1 << 44) + (place - at + (1 << 40)) // step
+    key = np.concatenate([band, band - 1])  # a hit counts in the band that begins at its diagonal's step and in the one before
+    by = np.argsort(key, kind="stable")
+    edges = np.flatnonzero(np.concatenate([[True], key[by][1:] != key[by][:-1], [True]]))
+    for g in np.flatnonzero(np.diff(edges) >= items.need).tolist():
+        x = by[edges[g] : edges[g + 1]]
+        low = (int(key[x[0]]) % (1 << 44)) * step - (1 << 40)
+        x %= len(place)
         it = int(item[x[0]])
         pattern = items.codes[it]
-        w = min(window, len(pattern))
-        k = int(rate * w)
-        need = max(1, w + 1 - q * (k + 1))
-        if len(x) < need:
+        w, k, need = bounds(len(pattern), items.q, window, rate)
+        shared = np.unique(at[x])
+        if len(shared) < need:
             continue
-        for start, where in _windows(at[x], place[x], len(pattern), w, q, need):
-            if (it, start, where) in tried:
-                continue
-            tried.add((it, start, where))
-            if where >= 0 and np.array_equal(codes[where : where + w], pattern[start : start + w]):
-                found[it, start, where] = (items.ids[it], where, where + w, start, start + w, 0)
-                continue
-            a, z = max(0, where - 3 * k - 2), min(len(codes), where + w + 3 * k + 2)
-            got = edits_within(pattern[start : start + w], codes[a:z], k)
-            if got:
-                e, s, t = got
-                found.setdefault((it, start, a + s), (items.ids[it], a + s, a + t, start, start + w, e))
-    return sorted(found.values())
+        starts = np.arange(max(0, int(shared[0]) - w + items.q), min(len(pattern) - w, int(shared[-1])) + 1)
+        starts = starts[np.searchsorted(shared, starts + w - items.q, "right") - np.searchsorted(shared, starts) >= need]
+        if not len(starts):
+            continue
+        diagonals, grams = np.unique(place[x] - at[x], return_counts=True)
+        for d in diagonals[grams > w - items.q].tolist():
+            same = _verbatim(pattern, codes, d, w, int(starts[0]), int(starts[-1]))
+            add(it, same, w, same + d, same + d + w, np.zeros(1, np.int64))
+            starts = np.setdiff1d(starts, same, assume_unique=True)
+            if not len(starts):
+                break
+        for a in range(0, len(starts), 1024):
+            found, edits, begin, end = align_windows(pattern, codes, starts[a : a + 1024], w, k, low, 2 * step)
+            add(it, found, w, begin, end, edits)
+    return sorted((items.ids[it], *span) for it, span in spans.items())
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 80, rate: float = 0.075, q: int = 10, block_chars: int = 16 << 20) -> DataFrame:
@@ -210,23 +246,29 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 80,
     return out.groupBy("doc_id", "item_id").agg(*(f(c).alias(c) for f, c in ((F.min, "doc_start"), (F.max, "doc_end"), (F.min, "item_start"), (F.max, "item_end"), (F.max, "edits"))))
 
 
+def _matches(texts: list[str | None], index: list[Items], window: int, rate: float) -> list[tuple[int, int, int, int, int, int, int]]:
+    """(number of the text, item, document start, end, item start, end, edits)."""
+    rows = []
+    for start in range(0, len(texts), 200):
+        some = [normal(t) for t in texts[start : start + 200]]
+        codes = _codes(("\0" * max(x.q for x in index)).join(some))  # no item holds such a character
+        size = np.array([len(t) for t in some])
+        begin = np.concatenate([[0], np.cumsum(size + max(x.q for x in index))])
+        for items in index:
+            hits, keys = gram_hits(codes, items, window, rate)
+            cut = np.searchsorted(hits, begin)
+            for d in np.flatnonzero(np.diff(cut)).tolist():
+                own = slice(cut[d], cut[d + 1])
+                found = find_in(codes[begin[d] : begin[d] + size[d]], items, window, rate, hits[own] - begin[d], keys[own])
+                rows += [(start + d, *m) for m in found]
+    return rows
+
+
 def _search(docs: DataFrame, shared, window: int, rate: float, q: int, least: int) -> DataFrame:
     def run(batches):
-        items = index_items(shared.value, q, least)
+        index = index_items(shared.value, q, least, window, rate)
         for b in batches:
-            rows = []
-            texts = [normal(t) for t in b.column("text").to_pylist()]
-            for start in range(0, len(texts), 200):
-                some = texts[start : start + 200]
-                codes = _codes(("\0" * q).join(some))  # no item holds such a character
-                hits, keys = gram_hits(codes, items, q, window, rate)
-                size = np.array([len(t) for t in some])
-                begin = np.concatenate([[0], np.cumsum(size + q)])
-                cut = np.searchsorted(hits, begin)
-                for d in np.flatnonzero(np.diff(cut)).tolist():
-                    own = slice(cut[d], cut[d + 1])
-                    found = find_in(codes[begin[d] : begin[d] + size[d]], items, q, window, rate, hits[own] - begin[d], keys[own])
-                    rows += [(start + d, *m) for m in found]
+            rows = _matches(b.column("text").to_pylist(), index, window, rate)
             doc = b.column("doc_id").to_pylist()
             columns = list(zip(*rows, strict=True)) or [[]] * 7
             columns[0] = [doc[i] for i in columns[0]]

@@ -131,3 +131,32 @@ def test_banded_alignment():
             before = row
         got = decontam.edits_within(np.array(p), np.array(t), k)
         assert (got is None) == (min(before) > k) and (got is None or got[0] == min(before))
+
+
+def _spans(text, pattern, window=80, rate=0.075):
+    """(item start, end, edits) over every window of the pattern that text holds within the bound, by plain alignment."""
+    codes, item = decontam._codes(decontam.normal(text)), decontam._codes(decontam.normal(pattern))
+    w = min(window, len(item))
+    got = {s: decontam.edits_within(item[s : s + w], codes, int(rate * w)) for s in range(len(item) - w + 1)}
+    held = {s: e[0] for s, e in got.items() if e}
+    return (min(held), max(held) + w, max(held.values())) if held else None
+
+
+def _found(texts, items):
+    index = decontam.index_items(list(enumerate(items)), 10, 20, 80, 0.075)
+    return {(m[0], m[1]): (m[4], m[5], m[6]) for m in decontam._matches(texts, index, 80, 0.075)}
+
+
+def test_passages_from_the_middle_of_items(spark):
+    rng = random.Random(5)
+    letters = lambda n: "".join(rng.choice("abcdefghij") for _ in range(n))
+    item = letters(300)
+    texts = [letters(50) + item[100:180] + letters(50)]
+    for i in range(40):
+        part = list(item[(a := rng.randint(20, 180)) : a + rng.randint(80, 99)])
+        for _ in range(i % 18):
+            j = rng.randrange(len(part))
+            part[j : j + rng.randrange(2)] = rng.choice(["", "x", "y"])
+        texts.append(letters(30) + "".join(part) + letters(60 if i % 2 else 0))
+    want = {(i, 0): s for i, t in enumerate(texts) if (s := _spans(t, item))}
+    assert _found(texts, [item]) == want and (0, 0) in want and 20 < len(want) < 41
