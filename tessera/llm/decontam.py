@@ -112,7 +112,7 @@ def _index(kept: list[tuple[int, np.ndarray]], q: int, window: int, rate: float)
 def gram_hits(codes: np.ndarray, items: Items, window: int, rate: float) -> tuple[np.ndarray, np.ndarray]:
     """(places, indexes into items.keys) of the q-grams of codes that items hold, in stretches with enough of them.
 
-    A matching stretch has `need` such q-grams within window + k characters, whatever their diagonals; others are left out.
+    A matching stretch of any item has items.need such q-grams within window + k characters, whatever their diagonals; others are left out.
     """
     if not len(items.keys):
         return np.empty(0, np.int64), np.empty(0, np.int64)
@@ -122,8 +122,7 @@ def gram_hits(codes: np.ndarray, items: Items, window: int, rate: float) -> tupl
     i[i == len(items.keys)] = 0
     real = items.keys[i] == h[hits]
     hits, i = hits[real], i[real]
-    shortest = min(window, *(len(c) for c in items.codes)) if items.codes else window
-    need = max(1, shortest + 1 - items.q * (int(rate * shortest) + 1))
+    need = items.need
     if len(hits) < need:
         return hits[:0], i[:0]
     dense = np.flatnonzero(hits[need - 1 :] - hits[: len(hits) - need + 1] <= window + int(rate * window))

@@ -160,3 +160,17 @@ def test_passages_from_the_middle_of_items(spark):
         texts.append(letters(30) + "".join(part) + letters(60 if i % 2 else 0))
     want = {(i, 0): s for i, t in enumerate(texts) if (s := _spans(t, item))}
     assert _found(texts, [item]) == want and (0, 0) in want and 20 < len(want) < 41
+
+
+def test_other_items_of_a_block_hide_nothing():
+    rng = random.Random(6)
+    letters = lambda n: "".join(rng.choice("abcdefghij") for _ in range(n))
+    item = letters(80)
+    part = list(item)
+    for j in (11, 22, 33, 44, 55, 66):
+        part[j] = "z"
+    text = letters(40) + "".join(part) + letters(40)
+    want = {(0, 0): (0, 80, 6)}
+    assert want == {(0, 0): _spans(text, item)}
+    for n in (53, 66, 79):
+        assert _found([text], [item, letters(n)]) == want
