@@ -25,16 +25,23 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by Jaccard similarity of five-word shingles of 0.8 or more, the one of smallest doc_id."""
-    groups = ngram_join.near_duplicates(docs, k=5, num=80, den=100)
-    gone = groups.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.coalesce("doc_id", F.lit(LOWEST)).alias("__gone"))
-    return docs.join(gone, F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST)) == F.col("__gone"), "left_anti")
+    """Of rows linked by Jaccard similarity of five-word shingles of 0.8 or more, the one of smallest doc_id.
+
+    Rows are compared and dropped one by one, also where they share a doc_id or have none; null counts as the smallest id. Of
+    rows with the same doc_id in a group, the one read first stays.
+    """
+    rows = written(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")  # numbers that hold for both readings
+    groups = ngram_join.near_duplicates(rows.withColumn("doc_id", F.col("__row")), k=5, num=80, den=100)
+    names = rows.select("__row", F.struct(F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST)), "__row").alias("__rank"))
+    ranked = written(groups.select(F.col("doc_id").alias("__row"), F.col("component_id").alias("__group")).join(names, "__row"), "ranked")
+    first = ranked.groupBy("__group").agg(F.min("__rank").alias("__first"), F.count("*").alias("__n")).where("__n > 1").select("__group", "__first")
+    gone = ranked.join(first, "__group").where("__rank <> __first").select("__row")
+    return rows.join(gone, "__row", "left_anti").select(*docs.columns)
 
 
 def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no passage of the benchmark."""
-    found = decontam.find_contamination(docs, table(spark, sf_dir, "benchmark"))
-    return docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    """Rows that hold no passage of the benchmark, each judged by its own text."""
+    return decontam.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

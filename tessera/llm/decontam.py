@@ -7,9 +7,11 @@ diagonals, so some band holds all of a stretch's; every window that reaches the
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -232,19 +234,33 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 80,
     The index of at most block_chars characters of items goes to the workers at a time; a larger benchmark takes several
     passes over the documents. The texts are not shuffled; only matches are.
     """
-    spark = prepare(docs.sparkSession)
-    total = benchmark.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = max(1, -(-total // block_chars))
     least = 2 * q
     out = None
-    for block in range(blocks):
-        some = benchmark.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block)  # a block is of bounded size
-        rows = [(r["item_id"], r["text"]) for r in some.select("item_id", "text").collect()]
-        shared = spark.sparkContext.broadcast(rows)
+    for shared in _blocks(docs, benchmark, block_chars):
         out = _search(docs, shared, window, rate, q, least) if out is None else out.union(_search(docs, shared, window, rate, q, least))
     return out.groupBy("doc_id", "item_id").agg(*(f(c).alias(c) for f, c in ((F.min, "doc_start"), (F.max, "doc_end"), (F.min, "item_start"), (F.max, "item_end"), (F.max, "edits"))))
 
 
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 80, rate: float = 0.075, q: int = 10, block_chars: int = 16 << 20) -> DataFrame:
+    """The rows of docs, all columns, whose text matches no item in the sense of find_contamination.
+
+    Each row is judged by its own text, whether doc_id is null, repeated or missing. Nothing is shuffled or joined.
+    """
+    for shared in _blocks(docs, benchmark, block_chars):
+        docs = _without(docs, shared, window, rate, q, 2 * q)
+    return docs
+
+
+def _blocks(docs: DataFrame, benchmark: DataFrame, block_chars: int):
+    """Broadcast (item_id, text) lists of the benchmark, each of bounded size."""
+    spark = prepare(docs.sparkSession)
+    total = benchmark.agg(F.sum(F.length("text"))).first()[0] or 0
+    blocks = max(1, -(-total // block_chars))
+    for block in range(blocks):
+        some = benchmark.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block)
+        yield spark.sparkContext.broadcast([(r["item_id"], r["text"]) for r in some.select("item_id", "text").collect()])
+
+
 def _matches(texts: list[str | None], index: list[Items], window: int, rate: float) -> list[tuple[int, int, int, int, int, int, int]]:
     """(number of the text, item, document start, end, item start, end, edits)."""
     rows = []
@@ -274,3 +290,14 @@ def _search(docs: DataFrame, shared, window: int, rate: float, q: int, least: in
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int64()] * 6 + [pa.int32()], strict=True)], names=["doc_id", "item_id", "doc_start", "doc_end", "item_start", "item_end", "edits"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, item_id long, doc_start long, doc_end long, item_start long, item_end long, edits int")
+
+
+def _without(docs: DataFrame, shared, window: int, rate: float, q: int, least: int) -> DataFrame:
+    @F.pandas_udf("boolean")
+    def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        index = index_items(shared.value, q, least, window, rate)
+        for texts in batches:
+            found = {m[0] for m in _matches(texts.tolist(), index, window, rate)}
+            yield pd.Series([i not in found for i in range(len(texts))], dtype=bool)
+
+    return docs.where(clean("text"))

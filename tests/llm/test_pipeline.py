@@ -39,3 +39,23 @@ def test_stages(spark, tmp_path):
     assert seen[3] == seen[2] - {300}
     assert seen[4] == seen[3]
     assert {(r["doc_id"], r["piece"], r["length"]) for r in cp.run(spark, str(tmp_path)).collect()} == {(r["doc_id"], r["piece"], r["length"]) for r in docs.collect()}
+
+
+def test_stages_judge_rows_whose_ids_are_null_or_repeat(spark, tmp_path):
+    import corpus_pipeline as cp
+
+    rng = random.Random(7)
+    a, b, c, d, bench = [prose(rng, 60, vocabulary=5000) for _ in range(4)] + [prose(rng, 50, tag="bench")]
+    spark.createDataFrame([(1, bench)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    texts = lambda df: sorted((-1 if r["doc_id"] is None else r["doc_id"], r["text"]) for r in df.collect())
+    make = lambda rows: spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], SCHEMA)
+
+    grouped = make([(None, a), (None, a), (None, a + " end"), (4, a), (None, b), (7, c), (7, d), (2, d), (8, None), (None, None), (None, "")])
+    got = texts(cp.keep_one_of_each_group(spark, grouped.where("text is not null"), str(tmp_path)))
+    assert [i for i, _ in got] == [-1, -1, -1, 2, 7] and {t.removesuffix(" end") for _, t in got} == {a, b, c, d, ""}
+    assert cp.keep_one_of_each_group(spark, grouped, str(tmp_path)).count() == 7
+
+    mixed = make([(None, f"{a} {bench}"), (None, b), (5, f"{c} {bench}"), (5, d), (6, None), (6, "")])
+    out = cp.drop_benchmark_passages(spark, mixed, str(tmp_path))
+    assert out.columns == list(cp.COLUMNS)
+    assert {(r["doc_id"], r["text"]) for r in out.collect()} == {(None, b), (5, d), (6, None), (6, "")}
