@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from dataclasses import dataclass
 from functools import cache
@@ -27,7 +28,8 @@ def plain(text: str) -> bytes:
 
 @dataclass(frozen=True)
 class Languages:
-    """Raw-content dictionaries by language, the most frequent language first."""
+    """Raw-content dictionaries by language, the most frequent language first. The shorter ones are filled up in front with zero
+    bytes, which no plain text holds and no compressor is given."""
 
     names: tuple[str, ...]
     dictionaries: tuple[bytes, ...]
@@ -39,57 +41,76 @@ def learn(docs: DataFrame, docs_each: int = 2000, chars_each: int = 600, level:
     """Dictionaries from docs (text, lang): for each lang, up to chars_each characters of each of about docs_each texts.
 
     docs_each * chars_each bounds what reaches the driver for a language; the texts taken are those of smallest hash, equal
-    texts once. Every language gets the same number of bytes. Rows with null text or lang teach nothing. The languages
-    themselves are counted over all rows.
+    texts once, and of a longer text a piece that begins where its hash says. Every language keeps all its bytes, however few
+    another one has. Rows with null text or lang, and languages without a letter, teach nothing. The languages themselves are
+    counted over all rows.
     """
-    rows = docs.where("text is not null and lang is not null and length(text) > 0").select("lang", F.xxhash64("text").alias("h"), F.substring("text", 1, chars_each).alias("t"))
+    begin = F.pmod(F.xxhash64("text", F.lit(1)), F.greatest(F.length("text") - chars_each + 1, F.lit(1))).cast("int") + 1
+    rows = docs.where("text is not null and lang is not null and length(text) > 0").select("lang", F.xxhash64("text").alias("h"), F.substring("text", begin, F.lit(chars_each)).alias("t"))
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).collect()}
     limit = F.lit(0.0)
     for name, n in counts.items():
         limit = F.when(F.col("lang") == name, F.lit(min(1.0, 1.2 * docs_each / max(1, n)))).otherwise(limit)
     some = rows.where(F.pmod("h", F.lit(1_000_003)) < limit * 1_000_003).dropDuplicates(["lang", "h"]).toPandas().sort_values(["lang", "h"])
-    texts = {k: b"".join(map(plain, g["t"][:docs_each])) for k, g in some.groupby("lang")}
-    size = min(map(len, texts.values()), default=0)
+    texts = {k: b"".join(map(plain, g["t"][:docs_each])) for k, g in some.groupby("lang") if any(map(has_letter, g["t"][:docs_each]))}
     names = tuple(sorted(texts, key=lambda k: (-counts[k], k)))
-    return Languages(names, tuple(texts[n][-size:] for n in names), level, chunk)
+    size = max(map(len, texts.values()), default=0)
+    return Languages(names, tuple(texts[n].rjust(size, b"\0") for n in names), level, chunk)
 
 
 @cache
-def _compressors(model: Languages):
+def _tiers(model: Languages) -> tuple[int, ...]:
+    """For each language, t such that its dictionary has about 1 / 4**t of the largest one's bytes, up to a factor of 2."""
+    lengths = [len(d.lstrip(b"\0")) for d in model.dictionaries]
+    return tuple(round(math.log(max(lengths) / n, 4)) for n in lengths)
+
+
+@cache
+def _compressor(model: Languages, language: int, tier: int):
+    """With the language's dictionary, cut to the bytes of the tier if it is larger."""
     import zstandard
 
-    out = []
-    for raw in (b"", *model.dictionaries):
-        if not raw:
-            out.append(zstandard.ZstdCompressor(level=model.level, write_content_size=False))
-            continue
-        d = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        d.precompute_compress(level=model.level)
-        out.append(zstandard.ZstdCompressor(level=model.level, dict_data=d, write_content_size=False, write_dict_id=False))
-    return out
+    whole = model.dictionaries[language]
+    raw = whole.lstrip(b"\0")
+    if _tiers(model)[language] < tier:
+        raw = raw[-max(1, len(whole) >> (2 * tier)) :]
+    d = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    d.precompute_compress(level=model.level)
+    return zstandard.ZstdCompressor(level=model.level, dict_data=d, write_content_size=False, write_dict_id=False)
 
 
 def has_letter(text: str) -> bool:
     return any(map(str.isalpha, text))
 
 
-def sizes(model: Languages, text: str) -> np.ndarray:
-    """Compressed bytes of the whole plain text with each dictionary. Long texts are compressed in chunks, so that every
-    part meets the dictionary and not only the text before it."""
+def sizes(model: Languages, text: str) -> dict[int, np.ndarray]:
+    """By tier, compressed bytes of the whole plain text with each dictionary, cut to that tier. Long texts are compressed in
+    chunks, so that every part meets the dictionary and not only the text before it."""
     raw = plain(text)
-    total = np.zeros(len(model.names), np.int64)
-    for i in range(0, len(raw), model.chunk):
-        piece = raw[i : i + model.chunk]
-        total += [len(c.compress(piece)) for c in _compressors(model)[1:]]
-    return total
+    pieces = [raw[i : i + model.chunk] for i in range(0, len(raw), model.chunk)]
+    out = {}
+    for tier in sorted(set(_tiers(model))):
+        out[tier] = np.array([sum(len(_compressor(model, n, tier).compress(p)) for p in pieces) if t <= tier else 0 for n, t in enumerate(_tiers(model))])
+    return out
+
+
+def advantage(model: Languages, found: dict[int, np.ndarray], a: int, b: int) -> float:
+    """By what share of a's size b's is larger (negative: smaller). The language with the larger dictionary counts with the
+    geometric mean of its sizes with the whole dictionary and with one cut to the other's bytes: neither does the mere
+    amount of text decide against a rare language, nor the noise of a few bytes against a frequent one."""
+    tiers = _tiers(model)
+    low = max(tiers[a], tiers[b])
+    x, y = (float(found[tiers[n]][n]) * float(found[low][n]) for n in (a, b))
+    return math.sqrt(y / x) - 1
 
 
 def identify(docs: DataFrame, model: Languages, margin: float = 0.01) -> DataFrame:
     """All columns of docs plus lang_pred, score and accepted.
 
     lang_pred: the language whose dictionary gives the fewest bytes over the whole text (ties: the one learned from more texts); 'und' if
-    the text is null or has no letter, or nothing was learned. score, 0 to 1: how far the second smallest lies above the
-    smallest, as a share of it, squashed by x / (x + 0.05); 0 for 'und', 1 if one language was learned. accepted: the share is
+    the text is null or has no letter, or nothing was learned. Languages are compared in pairs, those of the larger dictionaries
+    first, the better one with the next (`advantage`). score, 0 to 1: how far the second smallest lies above the
+    smallest, as a share of it (not below 0), squashed by x / (x + 0.05); 0 for 'und', 1 if one language was learned. accepted: the share is
     at least `margin` (false for 'und'); callers who want rejection read lang_pred where accepted is true.
 
     One text at a time is encoded, in chunks, so very long texts need no more memory. Input columns of the new names are
@@ -99,17 +120,19 @@ def identify(docs: DataFrame, model: Languages, margin: float = 0.01) -> DataFra
 
     @F.pandas_udf("lang string, score double, accepted boolean")
     def predict(texts: pd.Series) -> pd.DataFrame:
-        rows = []
+        rows, order = [], sorted(range(len(model.names)), key=lambda n: (_tiers(model)[n], n))
         for t in texts:
             if not t or not model.names or not has_letter(t):
                 rows.append((UNKNOWN, 0.0, False))
                 continue
-            s = sizes(model, t)
-            best = int(np.argmin(s))
-            if len(s) == 1:
+            if len(model.names) == 1:
                 rows.append((model.names[0], 1.0, True))
                 continue
-            x = (np.partition(s, 1)[1] - s[best]) / s[best]
+            s, best = sizes(model, t), order[0]
+            for n in order[1:]:
+                if advantage(model, s, best, n) < 0:
+                    best = n
+            x = max(0.0, min(advantage(model, s, best, n) for n in order if n != best))
             rows.append((model.names[best], float(x / (x + 0.05)), bool(x >= margin)))
         return pd.DataFrame(rows, columns=["lang", "score", "accepted"])
 

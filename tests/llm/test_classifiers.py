@@ -36,6 +36,28 @@ def test_language(spark):
     assert nothing.names == () and langid.identify(df.limit(2), nothing).first()["lang_pred"] == "und"
 
 
+def test_a_rare_language_costs_the_others_nothing(spark):
+    rng = random.Random(2)
+    rows = [(i, sentence(rng, lang, rng.randint(4, 80)), lang) for i, lang in enumerate(rng.choices(["aa", "bb"], [5, 2], k=400))]
+    held, taught = rows[300:], rows[:300]
+    for rare in ([("12 34 !", "dd")], [("lo ba", "cc")], [(sentence(rng, "cc", 30), "cc")], [(sentence(rng, "cc", 60), "cc") for _ in range(5)]):
+        df = spark.createDataFrame(taught + [(1000 + i, t, lang) for i, (t, lang) in enumerate(rare)], "doc_id long, text string, lang string")
+        model = langid.learn(df)
+        assert len(model.dictionaries[model.names.index("aa")].lstrip(b"\0")) > 20_000 and "dd" not in model.names
+        fresh = held + [(2000 + i, sentence(rng, "cc", 40), "cc") for i in range(20 if len(rare) > 1 else 0)]
+        out = langid.identify(spark.createDataFrame(fresh, df.schema), model).collect()
+        assert np.mean([r["lang"] == r["lang_pred"] for r in out if r["lang"] != "cc"]) > 0.97
+        assert all(r["lang_pred"] == "cc" for r in out if r["lang"] == "cc")
+
+
+def test_all_of_a_long_text_may_teach(spark):
+    rng = random.Random(3)
+    rows = [(i, "zz " * 200 + sentence(rng, lang, 200), lang) for i, lang in enumerate(["aa", "bb"] * 20)]
+    model = langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    held = spark.createDataFrame([(i, sentence(rng, lang, 20), lang) for i, lang in enumerate(["aa", "bb"] * 20)], "doc_id long, text string, lang string")
+    assert all(r["lang"] == r["lang_pred"] for r in langid.identify(held, model).collect())
+
+
 def test_quality(spark):
     rng = random.Random(1)
     rows, labels = [], []
