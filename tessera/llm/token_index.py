@@ -2,17 +2,19 @@
 
 Files of one output folder (any file system that pyarrow opens by URI):
 
-payload-SSSSS.ids   the ids of the shard's documents, one after the other, little-endian, `width` bytes each (2 where
+payload-SSSSS-A.ids the ids of the shard's documents, one after the other, little-endian, `width` bytes each (2 where
                     the vocabulary fits, else 4), documents in ascending (doc_id, text hash) order
-index-BBBBB.mph     for the keys of one hash bucket: levels of a minimal perfect hash function and, by slot, fingerprint,
+index-BBBBB-A.mph   for the keys of one hash bucket: levels of a minimal perfect hash function and, by slot, fingerprint,
                     shard, byte offset and id count
+
+A is the number of the task attempt that wrote the file. Nothing is renamed: the tables `starts` and `index`, which hold only what
+committed attempts returned, name the files that count, and a lost or repeated attempt's file is never read.
 """
 
 from __future__ import annotations
 
 import struct
 import zlib
-from uuid import uuid4
 
 import numpy as np
 import pandas as pd
@@ -21,11 +23,10 @@ from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from tessera.llm.common import mix, parts_for, prepare, work_dir, written
-from tessera.llm.encoding import encoder
+from tessera.llm.encoding import encoder, gathered
 
 MAGIC = b"TMPH1\0\0\0"
 GAMMA = 2.0
@@ -35,14 +36,10 @@ def _open(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(uri)
 
 
-def _publish(uri: str, write) -> None:
-    """Write a file under a name of this attempt's own, then rename it, so that a repeated task leaves one whole file."""
+def _create(uri: str):
     at, path = _open(uri)
     at.create_dir(path.rpartition("/")[0], recursive=True)
-    own = f"{path}.{uuid4().hex}.tmp"
-    with at.open_output_stream(own) as out:
-        write(out)
-    at.move(own, path)
+    return at.open_output_stream(path)
 
 
 def _read(uri: str) -> bytes:
@@ -139,41 +136,37 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, folder: str | Non
     parts = parts_for(docs, shard_bytes)
 
     def encode(batches):
-        enc, shard = encoder(tokenizer), TaskContext.get().partitionId()
+        enc, shard, attempt = encoder(tokenizer), TaskContext.get().partitionId(), TaskContext.get().taskAttemptId()
         kind = "<u2" if max(enc.size, end_id + 1) <= 1 << 16 else "<u4"
-        end, width, at = np.array([end_id], kind).tobytes(), np.dtype(kind).itemsize, 0
-        uri = f"{folder}/payload-{shard:05d}.ids"
-        store, path = _open(uri)
-        store.create_dir(path.rpartition("/")[0], recursive=True)
-        own = f"{path}.{uuid4().hex}.tmp"
-        with store.open_output_stream(own) as out:
-            for b in batches:
-                offsets, counts = [], []
-                for ids in enc.ids(b.column("text").to_pylist()):
-                    raw = np.frombuffer(ids, "<u4").astype(kind).tobytes() + end
-                    out.write(raw)
-                    offsets.append(at)
-                    counts.append(len(raw) // width)
-                    at += len(raw)
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("h"), pa.array([shard] * b.num_rows, pa.int32()), pa.array(offsets, pa.int64()), pa.array(counts, pa.int64()), pa.array([width] * b.num_rows, pa.int32())], names=["doc_id", "h", "shard", "offset", "count", "width"])
-        store.move(own, path)
+        width, at = np.dtype(kind).itemsize, 0
+        with _create(f"{folder}/payload-{shard:05d}-{attempt}.ids") as out:
+            for b in gathered(batches):
+                ids, edges = enc.encode(b.column("text").combine_chunks(), end_id)
+                out.write(ids.astype(kind))
+                n = b.num_rows
+                ints = [np.full(n, shard), at + width * edges[:-1], np.diff(edges), np.full(n, width), np.full(n, attempt)]
+                kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
+                columns = [b.column("doc_id").combine_chunks(), b.column("h").combine_chunks(), *(pa.array(c, k) for c, k in zip(ints, kinds, strict=True))]
+                at += width * len(ids)
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "h", "shard", "offset", "count", "width", "attempt"])
 
     ordered = rows.repartitionByRange(parts, F.col("doc_id").asc_nulls_first(), "h").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "h")
-    entries = written(ordered.mapInArrow(encode, "doc_id long, h long, shard int, offset long, count long, width int"), "entries")
+    entries = written(ordered.mapInArrow(encode, "doc_id long, h long, shard int, offset long, count long, width int, attempt long"), "entries")
     width, n = entries.agg(F.max("width"), F.count("*")).first()
     buckets = max(1, -(-n // keys_per_bucket))
     once = entries.where("doc_id is not null").groupBy("doc_id").agg(F.min(F.struct("shard", "offset", "count")).alias("e"))
     keyed = once.select("doc_id", "e.*").withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int"))
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        bucket = int(pdf["bucket"].iloc[0])
+        bucket, attempt = int(pdf["bucket"].iloc[0]), TaskContext.get().taskAttemptId()
         blob = pack_index(*(pdf[c].to_numpy() for c in ("doc_id", "shard", "offset", "count")))
-        _publish(f"{folder}/index-{bucket:05d}.mph", lambda out: out.write(blob))
-        return pd.DataFrame({"bucket": [bucket], "keys": [len(pdf)], "bytes": [len(blob)]})
+        with _create(f"{folder}/index-{bucket:05d}-{attempt}.mph") as out:
+            out.write(blob)
+        return pd.DataFrame({"bucket": [bucket], "keys": [len(pdf)], "bytes": [len(blob)], "attempt": [attempt]})
 
-    index = written(keyed.groupBy("bucket").applyInPandas(build, "bucket int, keys long, bytes long"), "index")
-    shards = entries.groupBy("shard").agg(F.sum("count").alias("n"))
-    starts = written(shards.select("shard", (F.sum("n").over(Window.orderBy("shard")) - F.col("n")).alias("shard_start")), "starts")
+    index = written(keyed.groupBy("bucket").applyInPandas(build, "bucket int, keys long, bytes long, attempt long"), "index")
+    shards = entries.groupBy("shard", "attempt").agg(F.sum("count").alias("n"))
+    starts = written(shards.select("shard", "attempt", (F.sum("n").over(Window.orderBy("shard")) - F.col("n")).alias("shard_start")), "starts")
     return {"folder": folder, "width": width or 2, "buckets": buckets, "starts": starts, "index": index, "entries": entries}
 
 
@@ -187,26 +180,22 @@ def read_tokens(files: dict, keys: DataFrame, ids: bool = False) -> DataFrame:
     folder, width, buckets = files["folder"], files["width"], files["buckets"]
 
     def probe(pdf: pd.DataFrame) -> pd.DataFrame:
-        at, path = _open(f"{folder}/index-{int(pdf['bucket'].iloc[0]):05d}.mph")
-        if at.get_file_info(path).type == fs.FileType.NotFound:
-            return pdf.iloc[:0].assign(shard=0, offset=0, count=0)[["doc_id", "shard", "offset", "count"]]
-        found, shard, offset, count = look_up(_read(f"{folder}/index-{int(pdf['bucket'].iloc[0]):05d}.mph"), pdf["doc_id"].to_numpy())
+        found, shard, offset, count = look_up(_read(f"{folder}/index-{pdf['bucket'].iloc[0]:05d}-{pdf['attempt'].iloc[0]}.mph"), pdf["doc_id"].to_numpy())
         return pd.DataFrame({"doc_id": pdf["doc_id"].to_numpy(), "shard": shard.astype("int32"), "offset": offset, "count": count})[found]
 
     def fetch(pdf: pd.DataFrame) -> pd.DataFrame:
-        blob = _read(f"{folder}/payload-{int(pdf['shard'].iloc[0]):05d}.ids")
+        blob = _read(f"{folder}/payload-{pdf['shard'].iloc[0]:05d}-{pdf['attempt'].iloc[0]}.ids")
         crcs, lists = [], []
         for offset, count in zip(pdf["offset"], pdf["count"], strict=True):
             own = np.frombuffer(blob, f"<u{width}", count, offset).astype("<u4")
             crcs.append(zlib.crc32(own.tobytes()))
             lists.append(own.astype("int64") if ids else None)
-        out = pdf[["doc_id", "shard", "offset", "count"]].assign(ids_crc32=crcs)
+        out = pdf[["doc_id", "shard_start", "offset", "count"]].assign(ids_crc32=crcs)
         return out.assign(ids=lists) if ids else out
 
     wanted = keys.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct()
     wanted = wanted.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int"))
-    placed = wanted.groupBy("bucket").applyInPandas(probe, "doc_id long, shard int, offset long, count long")
-    fields = "doc_id long, shard int, offset long, count long, ids_crc32 long" + ", ids array<long>" * ids
-    got = placed.groupBy("shard").applyInPandas(fetch, fields)
-    out = got.join(F.broadcast(files["starts"]), "shard")  # one row for each payload file
-    return out.select("doc_id", (F.col("shard_start") + F.col("offset") / F.lit(width)).cast("long").alias("start"), F.col("count").alias("n_tokens"), "ids_crc32", *["ids"] * ids)
+    wanted = wanted.join(files["index"].select("bucket", "attempt"), "bucket")  # buckets without a file hold no key
+    placed = wanted.groupBy("bucket").applyInPandas(probe, "doc_id long, shard int, offset long, count long").join(files["starts"], "shard")
+    fields = "doc_id long, shard_start long, offset long, count long, ids_crc32 long" + ", ids array<long>" * ids
+    return placed.groupBy("shard").applyInPandas(fetch, fields).select("doc_id", (F.col("shard_start") + F.col("offset") / F.lit(width)).cast("long").alias("start"), F.col("count").alias("n_tokens"), "ids_crc32", *["ids"] * ids)
