@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import zlib
 from bisect import bisect_left, insort
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.llm.common import prepare, written
-from tessera.llm.encoding import encoder
+from tessera.llm.encoding import encoder, gathered
 
 
 def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int) -> DataFrame:
@@ -25,17 +26,19 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int) -> DataF
 
     def cut(batches):
         enc, part = encoder(tokenizer), TaskContext.get().partitionId()
-        end = np.array([end_id], "<u4").tobytes()
-        for b in batches:
-            rows = []
-            for doc, ids in zip(b.column("doc_id").to_pylist(), enc.ids(b.column("text").to_pylist()), strict=True):
-                raw = ids + end
-                n = len(raw) // 4
-                edges = [0, *range((n - 1) % capacity + 1, n + 1, capacity)]
-                rows += [(doc, k, s, e - s, zlib.crc32(raw[4 * s : 4 * e])) for k, (s, e) in enumerate(zip(edges[:-1], edges[1:], strict=True))]
-            cols = list(zip(*rows, strict=True)) or [[]] * 5
-            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(cols, kinds, strict=True)), pa.array([part] * len(rows), pa.int32())], names=["doc_id", "piece", "start", "length", "ids_crc32", "part"])
+        for b in gathered(batches):
+            ids, edges = enc.encode(b.column("text").combine_chunks(), end_id)
+            n = np.diff(edges)
+            many = -(-n // capacity)  # pieces of each document, the first of them (n - 1) % capacity + 1 ids long
+            row = np.repeat(np.arange(len(n)), many)
+            piece = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
+            first = ((n - 1) % capacity + 1)[row]
+            start = np.where(piece > 0, first + (piece - 1) * capacity, 0)
+            length = np.where(piece > 0, capacity, first)
+            raw, at = memoryview(ids.astype("<u4")).cast("B"), 4 * (edges[row] + start)
+            crc = [zlib.crc32(raw[a:z]) for a, z in zip(at.tolist(), (at + 4 * length).tolist(), strict=True)]
+            columns = [b.column("doc_id").combine_chunks().take(pa.array(row)), *(pa.array(c, k) for c, k in ((piece, pa.int32()), (start, pa.int64()), (length, pa.int64()), (crc, pa.int64()), (np.full(len(row), part), pa.int32())))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "piece", "start", "length", "ids_crc32", "part"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long, part int")
 
@@ -89,40 +92,103 @@ def configurations(sizes: np.ndarray, demand: np.ndarray, capacity: int, rounds:
     return out
 
 
-class Bins:
-    """Sequences in runs of equal free space: (free space -> [(first sequence, how many)])."""
+class Sequences:
+    """Sequences in runs of equal contents: free space -> [(lengths of the pieces in it, how many such sequences)]."""
 
     def __init__(self, capacity: int):
-        self.capacity, self.free, self.order, self.next, self.rows = capacity, {}, [], 0, []
+        self.capacity, self.free, self.order = capacity, {}, []
 
-    def add(self, room: int, first: int, n: int) -> None:
-        if room <= 0 or n <= 0:
-            return
+    def add(self, pieces: tuple[int, ...], n: int) -> None:
+        room = self.capacity - sum(pieces)
         if room not in self.free:
             self.free[room] = []
             insort(self.order, room)
-        self.free[room].append((first, n))
+        self.free[room].append((pieces, n))
 
-    def place(self, length: int, rank: int, n: int) -> None:
-        """The n pieces of this length from that rank on: each into the fullest sequence that has room, else a new one."""
+    def place(self, length: int, n: int) -> None:
+        """n pieces of this length: each into the fullest sequence that has room, else a new one."""
         while n:
             i = bisect_left(self.order, length)
             if i < len(self.order):
                 room = self.order[i]
-                first, have = self.free[room].pop()
-                if not self.free[room]:
+                pieces, have = self.free[room].pop()
+                m = min(n, have)
+                if m < have:
+                    self.free[room].append((pieces, have - m))
+                elif not self.free[room]:
                     del self.free[room]
                     self.order.pop(i)
-                m = min(n, have)
-                self.add(room, first + m, have - m)
+                self.add((*pieces, length), m)
             else:
-                room, first = self.capacity, self.next
-                m = n if length * 2 > self.capacity else 1
-                m = min(n, max(m, n // (self.capacity // length)))
-                self.next += m
-            self.rows.append((length, rank, m, first, self.capacity - room))
-            self.add(room - length, first, m)
-            rank, n = rank + m, n - m
+                fit = self.capacity // length
+                m = n if fit == 1 else n // fit
+                if m:
+                    self.add((length,) * fit, m)
+                    m *= fit
+                else:
+                    m = n
+                    self.add((length,) * n, 1)
+            n -= m
+
+    def all(self) -> list[tuple[tuple[int, ...], int]]:
+        return [run for room in self.order for run in self.free[room]]
+
+    def count(self) -> int:
+        return sum(n for runs in self.free.values() for _, n in runs)
+
+    def reopened(self, waste: int, others: dict[int, int]) -> Sequences:
+        """Those with less free space than `waste`; the pieces of all else and the `others` placed anew, largest first."""
+        out, loose = Sequences(self.capacity), Counter(others)
+        for room in self.order:
+            for pieces, n in self.free[room]:
+                if room < waste:
+                    out.add(pieces, n)
+                    continue
+                for length in pieces:
+                    loose[length] += n
+        for length in sorted(loose, reverse=True):
+            out.place(length, loose[length])
+        return out
+
+
+def _grouped(large: list[tuple[int, int]], groups: int) -> tuple[list[int], list[list[list[int]]]]:
+    """(size, [length, how many] of each member length) of groups of about equally many pieces; a size is its group's largest."""
+    each = -(-sum(c for _, c in large) // groups)
+    members: list[list[list[int]]] = []
+    room = 0
+    for s, c in large:
+        while c:
+            if not room:
+                members.append([])
+                room = each
+            m = min(c, room)
+            members[-1].append([s, m])
+            c, room = c - m, room - m
+    sizes: list[int] = []
+    merged: list[list[list[int]]] = []
+    for g in members:  # groups that begin with the same length are one size
+        if sizes and sizes[-1] == g[0][0]:
+            merged[-1] += g
+        else:
+            sizes.append(g[0][0])
+            merged.append(g)
+    return sizes, merged
+
+
+def _substituted(slots: list[list[list[int]]], times: int):
+    """(real lengths, how many) of `times` copies of a configuration, a slot taking its group's pieces from the largest on."""
+    while times:
+        n = times
+        for j in slots:  # as many as the first member of every slot's group lasts
+            n = min(n, max(1, j[0][1] // sum(x is j for x in slots)))
+        pieces = []
+        for j in slots:
+            pieces.append(j[0][0])
+            j[0][1] -= n
+            if not j[0][1]:
+                j.pop(0)
+        yield tuple(pieces), n
+        times -= n
 
 
 def plan(histogram: dict[int, int], capacity: int = 2048, groups: int = 64, small: float = 1 / 3) -> np.ndarray:
@@ -130,68 +196,35 @@ def plan(histogram: dict[int, int], capacity: int = 2048, groups: int = 64, smal
 
     Works on the histogram of lengths, so its cost depends on the capacity, not on how many documents there are. Pieces
     over small * capacity, largest first, are split into `groups` groups of equally many; within a group
-    each counts as its largest. Configurations of these few sizes are optimised, filled with the group's real
-    pieces, and what the rounding left, with all small pieces, goes by best fit, largest first.
+    each counts as its largest. Configurations of these few sizes are optimised and filled with the group's real
+    pieces. What the rounding left, with all small pieces, goes by best fit, largest first. Where that takes more sequences than
+    the ids need, configurations that real pieces fill badly (free space that few small pieces fit into) are opened again and
+    their pieces go by best fit too: ever more of them, until no sequence is wasted, or only exactly filled ones are left.
     """
-    bins = Bins(capacity)
-    used = dict.fromkeys(histogram, 0)
-    if histogram.get(capacity):
-        bins.place(capacity, 0, histogram[capacity])
-        used[capacity] = histogram[capacity]
+    filled, rest = Sequences(capacity), Counter(histogram)
     large = [(s, histogram[s]) for s in sorted(histogram, reverse=True) if small * capacity < s < capacity]
-    n = sum(c for _, c in large)
-    if n:
-        each = -(-n // groups)
-        members: list[list[list[int]]] = []  # of each group: [length, first rank, how many]
-        room = 0
-        for s, c in large:
-            rank = 0
-            while c:
-                if not room:
-                    members.append([])
-                    room = each
-                m = min(c, room)
-                members[-1].append([s, rank, m])
-                rank, c, room = rank + m, c - m, room - m
-        # groups that begin with the same length are one size
-        sizes, merged = [], []
-        for g in members:
-            if sizes and sizes[-1] == g[0][0]:
-                merged[-1] += g
-            else:
-                sizes.append(g[0][0])
-                merged.append(list(g))
-        demand = np.array([sum(m for *_, m in g) for g in merged])
+    if large:
+        sizes, merged = _grouped(large, groups)
+        demand = np.array([sum(m for _, m in g) for g in merged])
         for column, times in configurations(np.array(sizes), demand, capacity):
-            slots = [j for j in np.flatnonzero(column) for _ in range(column[j])]
-            taken = []
-            for j in slots:
-                runs, want = [], times
-                while want:
-                    s, rank, m = merged[j][0]
-                    k = min(m, want)
-                    runs.append((s, rank, k))
-                    merged[j][0] = [s, rank + k, m - k]
-                    if m == k:
-                        merged[j].pop(0)
-                    want -= k
-                taken.append(runs)
-            edges = sorted({0, times, *(int(e) for runs in taken for e in np.cumsum([k for *_, k in runs]))})
-            first, bins.next = bins.next, bins.next + times
-            begins = [np.concatenate([[0], np.cumsum([k for *_, k in runs])]) for runs in taken]
-            for a, b in zip(edges[:-1], edges[1:], strict=True):
-                offset = 0
-                for runs, at in zip(taken, begins, strict=True):
-                    i = int(np.searchsorted(at, a, "right")) - 1
-                    s, rank, _ = runs[i]
-                    bins.rows.append((s, rank + a - int(at[i]), b - a, first + a, offset))
-                    offset += s
-                bins.add(capacity - offset, first + a, b - a)
-        for s, rank, m in sorted((x for g in merged for x in g), reverse=True):
-            bins.place(s, rank, m)
-    for s in sorted((s for s in histogram if s <= small * capacity), reverse=True):
-        bins.place(s, 0, histogram[s])
-    rows = np.array(bins.rows, np.int64).reshape(-1, 5)
+            for pieces, n in _substituted([merged[j] for j in np.flatnonzero(column) for _ in range(column[j])], times):
+                filled.add(pieces, n)
+                rest.subtract({length: n * k for length, k in Counter(pieces).items()})
+    rest = +rest
+    least = -(-sum(s * n for s, n in histogram.items()) // capacity)
+    packed, waste = filled.reopened(capacity + 1, rest), capacity
+    while waste > 1 and packed.count() > least:
+        waste //= 2
+        packed = min(packed, filled.reopened(waste, rest), key=Sequences.count)
+    rows, first, rank = [], 0, dict.fromkeys(histogram, 0)
+    for pieces, n in packed.all():
+        offset = 0
+        for s in pieces:
+            rows.append((s, rank[s], n, first, offset))
+            rank[s] += n
+            offset += s
+        first += n
+    rows = np.array(rows, np.int64).reshape(-1, 5)
     return rows[np.lexsort((rows[:, 1], rows[:, 0]))]
 
 
@@ -209,7 +242,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = 2048)
     made = written(pieces(docs, tokenizer, end_id, capacity), "pieces")
     counts = written(made.groupBy("length", "part").agg(F.count("*").alias("n")), "counts")
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
-    rows = min((plan(histogram, capacity, small=s) for s in (1 / 3, 1 / 5, 1 / 8)), key=lambda p: (p[:, 3] + p[:, 2]).max(initial=0))
+    rows = plan(histogram, capacity)
     base = counts.select("length", "part", (F.sum("n").over(Window.partitionBy("length").orderBy("part")) - F.col("n")).alias("base"))
     within = F.row_number().over(Window.partitionBy("length", "part").orderBy("doc_id", "piece", "start", "ids_crc32"))
     ranked = made.withColumn("r", within - 1).join(base, ["length", "part"]).withColumn("r", F.col("r") + F.col("base"))

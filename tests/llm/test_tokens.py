@@ -1,8 +1,10 @@
 """Encoding, token index and packing: exact round trips."""
 
+import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tessera.llm import packing, token_index
@@ -49,6 +51,56 @@ def test_minimal_perfect_hash():
     assert token_index.look_up(blob, keys + 1)[0].mean() < 0.01
 
 
+def test_ids_do_not_depend_on_batches_or_memory(monkeypatch):
+    from tessera.llm import encoding
+
+    monkeypatch.setattr(encoding, "REMEMBER", 50)
+    monkeypatch.setattr(encoding, "AT_ONCE", 100)
+    rng = random.Random(9)
+    parts = [*"abcDEF zé ß İ ſ ŉ ﬁ Σς 中文 ١٢3.,;:!?'-|<>\n\t", "'s", "'ll", "<|endoftext|>", "\r\n", "  ", " the", " Ünder.", "\u0301"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 30))) for _ in range(3000)]
+    for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
+        enc = encoding.Encoder(P.path(name))
+        assert enc.by_model
+        ids, edges = enc.encode(pa.array(texts), 7)
+        want = [[*e.ids, 7] for e in enc.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        assert [ids[a:z].tolist() for a, z in zip(edges[:-1], edges[1:], strict=True)] == want
+
+
+def test_repeated_ids(spark):
+    rows = [(1, "a b", "", "", 0), (1, "c", "", "", 0), (1, "a b", "", "", 0), (None, "c", "", "", 0), (None, "c", "", "", 0)]
+    out = packing.pack(frame(spark, rows), P.path("byte_bpe_50k.json")).collect()
+    assert sorted(r["length"] for r in out) == [2, 2, 2, 3, 3] and sorted(r["offset"] for r in out) == [0, 3, 6, 8, 10]
+    files = token_index.write_tokens(frame(spark, rows), P.path("word_bpe_49k.json"), end_id=1)
+    got = token_index.read_tokens(files, frame(spark, rows)).collect()
+    assert [r["doc_id"] for r in got] == [1] and got[0]["start"] == 4
+
+
+def test_queries_keep_their_contracts(spark):
+    """op1 and op4 over the smallest tables against the library, one document at a time."""
+    from tessera.llm import queries
+
+    d = "/root/testdata/sf0.001"
+    docs = sorted((r["doc_id"], r["text"] or "") for r in spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text").collect())
+    enc = {n: encoder(P.path(n)).tokenizer for n in ("word_bpe_49k.json", "byte_bpe_50k.json")}
+    want, start = {}, 0
+    for doc, text in docs:
+        raw = np.array([*enc["word_bpe_49k.json"].encode(text, add_special_tokens=False).ids, 1], "<u4")
+        want[doc] = (start, len(raw), zlib.crc32(raw.tobytes()))
+        start += len(raw)
+    assert {r["doc_id"]: (r["start"], r["n_tokens"], r["ids_crc32"]) for r in queries.op1_token_index(spark, d).collect()} == want
+    want = {}
+    for doc, text in docs:
+        raw = np.array([*enc["byte_bpe_50k.json"].encode(text, add_special_tokens=False).ids, 0], "<u4")
+        first = (len(raw) - 1) % 2048 + 1
+        for piece, start in enumerate([0, *range(first, len(raw), 2048)]):
+            own = raw[start : first if piece == 0 else start + 2048]
+            want[doc, piece] = (start, len(own), zlib.crc32(own.tobytes()))
+    out = queries.op4_best_fit_packing(spark, d).collect()
+    assert {(r["doc_id"], r["piece"]): (r["start"], r["length"], r["ids_crc32"]) for r in out} == want
+    assert len({r["sequence_id"] for r in out}) <= _best_fit_decreasing([r["length"] for r in out], 2048)
+
+
 def test_packing(spark):
     enc = encoder(P.path("byte_bpe_50k.json"))
     out = packing.pack(frame(spark), P.path("byte_bpe_50k.json"), end_id=0, capacity=256).collect()
@@ -82,13 +134,13 @@ def _best_fit_decreasing(lengths, capacity):
     return len(room)
 
 
-@pytest.mark.parametrize("seed", range(4))
+@pytest.mark.parametrize("seed", range(8))
 def test_plan_places_all_and_is_tight(seed):
     rng = np.random.default_rng(seed)
     kinds = [rng.integers(1, 257, 1500), np.clip(rng.normal(90, 20, 1500), 1, 256).astype(int), np.full(1000, 129), rng.choice([70, 90, 170, 256, 3], 1500)]
-    lengths = kinds[seed]
+    lengths = kinds[seed % 4]
     h = dict(zip(*[x.tolist() for x in np.unique(lengths, return_counts=True)], strict=True))
-    rows = min((packing.plan(h, 256, small=s) for s in (1 / 3, 1 / 5, 1 / 8)), key=lambda p: (p[:, 3] + p[:, 2]).max())
+    rows = packing.plan(h, 256)
     fill, seen = {}, {k: 0 for k in h}
     for length, rank, n, first, offset in rows.tolist():
         assert rank == seen[length]
@@ -102,4 +154,4 @@ def test_plan_places_all_and_is_tight(seed):
             assert offset == at
             at += length
         assert at <= 256
-    assert len(fill) <= 1.03 * _best_fit_decreasing(lengths.tolist(), 256) + 2
+    assert len(fill) <= _best_fit_decreasing(lengths.tolist(), 256)
