@@ -60,34 +60,49 @@ def test_components(spark):
     assert got == {k: v for k, v in want.items() if any(k in p and p[0] != p[1] for p in pairs)}
 
 
-def test_vectors(spark):
-    rng = np.random.default_rng(0)
+def _linked_vectors(rng):
+    """Clusters, copies, other scales, and rows that link with nothing."""
     rows = []
     for i in range(400):
         base = rng.normal(size=64)
         for _ in range(1 + (i % 10 == 0) * 30):
             rows.append((len(rows), (base + rng.normal(size=64) * 0.14 * rng.uniform(0, 1)).astype(np.float32).tolist(), int(i % 3)))
-    rows += [(9000, None, 1), (9001, [0.0] * 64, 1), (9002, [float("nan")] * 64, 1), (9003, rows[0][1], None), (9004, [None] + [1.0] * 63, 1), (9005, [1.0, 2.0], 1), (9006, [1.0, 2.0], 1), (9007, [], 1), (None, rows[0][1], 0), rows[5]]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").selectExpr("*", "'x' AS n_links", "'y' AS cell")
-    got = {r["vec_id"]: r for r in embedding_dedup.near_duplicate_vectors(df, block=50).collect()}
-    x = np.array([r[1] for r in rows[:-10]], np.float64)
+    rows += [(len(rows) + i, rows[40][1], rows[40][2]) for i in range(60)]
+    rows += [(len(rows), [2 * v for v in rows[50][1]], rows[50][2])]
+    odd = [(9000, None, 1), (9001, [0.0] * 64, 1), (9002, [float("nan")] * 64, 1), (9003, rows[0][1], None), (9004, [None] + [1.0] * 63, 1), (9005, [1.0, 2.0], 1), (9006, [1.0, 2.0], 1), (9007, [], 1), (9008, [float("inf")] + [1.0] * 63, 1), (None, rows[0][1], 0), rows[5]]
+    return rows, odd
+
+
+@pytest.mark.parametrize(("options", "least"), [({"block": 50}, 0.999), ({"codebook": 16}, 0.998), ({"codebook": 6, "target_recall": 1, "block": 70}, 1)])
+def test_vectors(spark, options, least):
+    rows, odd = _linked_vectors(np.random.default_rng(0))
+    df = spark.createDataFrame(rows + odd, "vec_id long, embedding array<float>, label int").selectExpr("*", "'x' AS n_links", "'y' AS cell", "'z' AS row")
+    got = {r["vec_id"]: r for r in embedding_dedup.near_duplicate_vectors(df, **options).collect()}
+    x = np.array([r[1] for r in rows], np.float64)
     x /= np.linalg.norm(x, axis=1)[:, None]
-    label = np.array([r[2] for r in rows[:-10]])
+    label = np.array([r[2] for r in rows])
     hit = (x @ x.T >= 0.98) & (label[:, None] == label[None])
     np.fill_diagonal(hit, False)
-    n = sum(got[i]["n_links"] for i in range(len(x)))
-    assert hit.sum() > 1000 and 0.999 * hit.sum() <= n <= hit.sum()
+    n = np.array([got[i]["n_links"] for i in range(len(x))])
+    assert hit.sum() > 1000 and least * hit.sum() <= n.sum() and (n <= hit.sum(1)).all()
     want = smallest_reachable(range(len(x)), np.argwhere(hit).tolist())
     assert {i: got[i]["component_id"] for i in range(len(x))} == want
     assert all(got[i]["kept"] == (want[i] == i) for i in range(len(x)))
-    assert [(got[i]["n_links"], got[i]["component_id"]) for i in range(9000, 9008)] == [(0, 9000), (0, 9001), (0, 9002), (0, 9003), (0, 9004), (1, 9005), (1, 9005), (0, 9007)]
+    assert [(got[i]["n_links"], got[i]["component_id"]) for i in range(9000, 9009)] == [(0, 9000), (0, 9001), (0, 9002), (0, 9003), (0, 9004), (1, 9005), (1, 9005), (0, 9007), (0, 9008)]
     assert (got[None]["component_id"], got[None]["kept"]) == (None, False)
+    assert embedding_dedup.near_duplicate_vectors(df).count() == len(rows) + len(odd)
     assert embedding_dedup.near_duplicate_vectors(df.limit(0)).count() == 0
 
 
 def test_traversal_is_in_order():
-    a, b = np.array([0.0, 0.3, 0.1]), np.array([0.2, 0.0])
-    assert embedding_dedup.traverse(a, b, 0.25).tolist() == [1, 5, 0, 4]
+    rng = np.random.default_rng(3)
+    for _ in range(50):
+        u, v = (np.sort(rng.dirichlet(np.ones(n)))[::-1] for n in rng.integers(1, 7, 2))
+        seen = list(embedding_dedup.in_order(u.tolist(), v.tolist()))
+        assert len({(i, j) for _, i, j in seen}) == len(u) * len(v)
+        assert [p for p, *_ in seen] == sorted((u[:, None] * v).ravel().tolist(), reverse=True)
+    p1, p2 = np.array([[0.6, 0.1, 0.3]]), np.array([[0.2, 0.8]])
+    assert embedding_dedup.visited(p1, p2, 0.7) == [[(0, 1), (2, 1)]]
 
 
 def _edit(rng, text, share):
