@@ -28,20 +28,21 @@ def dedup_lines(docs: DataFrame, min_docs: int = 3, min_chars: int = 20) -> Data
     for counting and are each rewritten. Extra columns pass through; n_lines and n_dropped replace
     columns of those names. An empty table gives an empty table.
 
-    Two passes over the texts, JVM only: the counts are combined before each shuffle, so a line that a third of
-    all documents share is a few rows for each task; the texts are shuffled once, by document.
+    Two passes over the texts, JVM only. The first explodes the lines with their positions and keeps those that are long enough,
+    as hashes; their counts are combined before each shuffle, so a line that a third of all documents share is a few rows
+    for each task. The second shuffles the texts once, by document and text, and puts each together from the positions that stay.
     """
     prepare(docs.sparkSession)
     lines = F.split(F.coalesce("text", F.lit("")), "\n", -1)
-    keys = F.filter(F.transform(lines, line_key), lambda k: F.char_length(k) >= min_chars)
-    seen = written(docs.select(F.col("doc_id").cast("long").alias("d"), F.explode(F.array_distinct(F.transform(keys, _hash))).alias("h")), "lines")
-    common = seen.distinct().groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.max("d").alias("last")).where(F.col("n") >= min_docs)
-    lost = seen.distinct().join(common, "h").where(~F.col("d").eqNullSafe(F.col("last"))).groupBy("d").agg(F.collect_list("h").alias("__lost"))
-    lost = lost.select(F.col("d").alias("__d"), "__lost")
-    kept = F.when(F.col("__lost").isNull(), lines).otherwise(F.filter(lines, lambda x: ~F.array_contains(F.col("__lost"), _hash(line_key(x)))))
-    out = docs.drop("n_lines", "n_dropped").join(lost, F.col("doc_id").cast("long").eqNullSafe(F.col("__d")), "left")
-    return (
-        out.withColumn("__kept", kept)
-        .withColumns({"n_lines": F.size(lines).cast("long"), "n_dropped": (F.size(lines) - F.size("__kept")).cast("long"), "text": F.array_join("__kept", "\n")})
-        .drop("__d", "__lost", "__kept")
-    )
+    hashes = F.transform(F.transform(lines, line_key), lambda k: F.when(F.char_length(k) >= min_chars, _hash(k)))
+    row = {"__d": F.col("doc_id").cast("long"), "__t": F.xxhash64("text")}  # rows that repeat a doc_id may have other texts
+    seen = written(docs.select(*(c.alias(n) for n, c in row.items()), F.posexplode(hashes).alias("pos", "h")).where("h is not null"), "lines")
+    common = seen.select("__d", "h").distinct().groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.max("__d").alias("last")).where(F.col("n") >= min_docs)
+    lost = seen.join(common, "h").where(~F.col("__d").eqNullSafe(F.col("last"))).groupBy(F.col("__d").alias("__ld"), F.col("__t").alias("__lt")).agg(F.collect_set("pos").alias("__lost"))
+    out = docs.drop("n_lines", "n_dropped").withColumns(row).join(lost, F.col("__d").eqNullSafe(F.col("__ld")) & (F.col("__t") == F.col("__lt")), "left")
+    # the lines are bound as x, so that a text is split once and not for each position
+    stay = lambda x: F.array_except(F.sequence(F.lit(0), F.size(x["lines"]) - 1), x["lost"])
+    whole = F.transform(F.array(F.struct(lines.alias("lines"), F.col("__lost").alias("lost"))), lambda x: F.array_join(F.transform(stay(x), lambda i: F.get(x["lines"], i)), "\n"))
+    text = F.when(F.col("__lost").isNull(), F.coalesce("text", F.lit(""))).otherwise(F.get(whole, 0))
+    new = {"n_lines": F.size(lines).cast("long"), "n_dropped": F.coalesce(F.size("__lost"), F.lit(0)).cast("long"), "text": text}
+    return out.withColumns(new).drop("__d", "__t", "__ld", "__lt", "__lost")
