@@ -27,6 +27,8 @@ U = np.uint64
 SLICES = 16
 LEADERS = 8
 BLOCK = 256
+#: Rows of one index key that one task takes; keys of more rows are spread.
+SPREAD = 1000
 #: Numbers of classes, each for sets up to the size from which the next one serves; 0: single tokens.
 CLASSES = (0, 64, 256, 1024, 4096, 16384)
 
@@ -258,7 +260,7 @@ def _block_links(num: int, den: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, sketch_bits: int = 22, bucket_bytes: int = 8 << 20) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, sketch_bits: int | None = None, bucket_bytes: int = 8 << 20) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of docs.
 
     Words are runs of other than ASCII white space, A-Z lower-cased. A document's set holds its distinct k-word shingles;
@@ -269,14 +271,24 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     Null text: empty set. Null doc_id: counts as the smallest id and comes back as null. Repeated rows: one row each, in
     one component. Extra columns are ignored. An empty table gives no rows.
 
+    Words, shingles and word sequences are represented by 64-bit hashes throughout: sets are compared as sets of hashes. At n
+    distinct shingles in two sets a chance agreement has probability n**2 / 2**64; two different word sequences that agree in
+    their hash, at m sequences m**2 / 2**65 for any, count as copies.
+
     Equal word sequences are one node throughout, so copies cost one row each. Sets that share a key are first compared with at most
-    LEADERS of them. Where others of a key then lie in different components, the sets so tied together are a cluster and are
-    compared with each other in blocks of about BLOCK, between components; only a spanning forest of each block's links
-    is written, never the pairs.
+    LEADERS of them. The rows of keys whose others then lie in different components are the open ones. They are gathered by the smallest
+    set of their key and by size, as sets that link differ in size by less than den / num; within such a group the
+    sets are compared in blocks of about BLOCK, between components. Groups aren't joined to larger ones, so a chain of keys stays
+    a chain of small groups. Only a spanning forest of each block's links is written, never the pairs. Keys with over SPREAD rows are
+    spread over several tasks.
+
+    The sketch has 2**sketch_bits cells (a broadcast of as many bytes); if not given, 22 to 25 bits, by the input's size.
     """
     spark = prepare(docs.sparkSession)
+    if sketch_bits is None:
+        sketch_bits = min(25, max(22, (input_bytes(docs) // 128).bit_length()))
     text = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST)).alias("doc_id"), "text")
-    buckets = max(64, -(-input_bytes(docs) // bucket_bytes))
+    buckets = min(max(64, -(-input_bytes(docs) // bucket_bytes)), 1 << 30)
     counted = written(text.mapInArrow(_count(k, sketch_bits), "doc_id long, node long, n long, slice int, payload binary"), "counted")
     level, rare = levels(counted, sketch_bits)
     sketch = spark.sparkContext.broadcast(level.tobytes())  # 2**sketch_bits bytes
@@ -300,22 +312,28 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
         return pairs.join(a, "a").join(b, "b").where(den * both >= num * (F.size("ta") + F.size("tb") - both)).select("a", "b")
 
     near = den * F.least("na", "nb") >= num * F.greatest("na", "nb")
-    salted = keys.withColumn("salt", F.pmod("node", F.lit(LEADERS)))
+    hot = keys.groupBy("sig").agg(F.count("*").alias("rows")).where(F.col("rows") > SPREAD)
+    hot = written(hot.select("sig", F.ceil(F.col("rows") / SPREAD).cast("int").alias("spread")), "hot")
+    spread = F.coalesce("spread", F.lit(1))
+    salted = keys.withColumn("salt", F.pmod("node", F.lit(LEADERS))).join(hot, "sig", "left").withColumn("part", F.pmod(F.xxhash64("node", F.lit(3)), spread).cast("int")).drop("spread")
+    everywhere = lambda df: df.join(hot, "sig", "left").withColumn("part", F.explode(F.sequence(F.lit(0), spread - 1))).drop("spread")
     leaders = written(salted.groupBy("sig", "salt").agg(F.min(F.struct("node", "n")).alias("low")).select("sig", "salt", F.col("low.node").alias("a"), F.col("low.n").alias("na")), "leaders")
-    first = keys.withColumnsRenamed({"node": "b", "n": "nb"}).join(leaders.drop("salt"), "sig").where("a <> b").where(near)
+    first = salted.select("sig", "part", F.col("node").alias("b"), F.col("n").alias("nb")).join(everywhere(leaders.drop("salt")), ["sig", "part"]).where("a <> b").where(near)
     edges = written(links(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()), "links")
     part = components(edges, "a", "b").withColumnsRenamed({"component": "c"})
 
     # pairs of a key that no leader is part of, and that are not in one component yet
-    rest = salted.join(leaders, ["sig", "salt"]).where("node <> a").select("sig", "node").join(part, "node", "left").select("sig", "node", F.coalesce("c", "node").alias("c"))
+    rest = salted.join(leaders, ["sig", "salt"]).where("node <> a").select("sig", "part", "node", "n").join(part, "node", "left").select("sig", "part", "node", "n", F.coalesce("c", "node").alias("c"))
     rest = written(rest, "rest")
-    open_ = rest.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min("node").alias("hub")).where("lo < hi").select("sig", "hub")
-    near_by = written(rest.join(open_, "sig").select("node", "hub", "c").distinct(), "open")
-    clusters = components(near_by, "node", "hub").withColumnRenamed("component", "cluster")
-    blocks = clusters.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    own = clusters.join(blocks, "cluster").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).join(part, "node", "left")
-    sent = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("cluster", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "node", F.coalesce("c", "node").alias("c"))
-    more = written(sent.join(sets, "node").groupBy("cluster", "lo", "hi").applyInPandas(_block_links(num, den), "a long, b long"), "links")
+    open_ = written(rest.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min("node").alias("hub")).where("lo < hi").select("sig", "hub"), "open")
+    size_class = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(den / num)) + 1e-9).cast("int") if num < den else F.col("n").cast("int")
+    near_by = rest.join(everywhere(open_), ["sig", "part"]).select("node", "hub", "c", size_class.alias("own")).distinct()
+    groups = written(near_by.select("node", "c", "own", "hub", F.explode(F.array("own", F.col("own") + 1)).alias("class")), "groups")
+    blocks = groups.groupBy("hub", "class").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.min("c").alias("lo"), F.max("c").alias("hi"), F.max("own").alias("top"))
+    blocks = blocks.where("lo < hi and top = class").drop("lo", "hi", "top")  # sets below a class alone meet in their own
+    own = groups.join(blocks, ["hub", "class"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    sent = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("hub", "class", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "node", "c")
+    more = written(sent.join(sets, "node").groupBy("hub", "class", "lo", "hi").applyInPandas(_block_links(num, den), "a long, b long"), "links")
     if more.limit(1).count():
         part = components(edges.union(more), "a", "b").withColumnsRenamed({"component": "c"})
 
