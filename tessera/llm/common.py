@@ -35,10 +35,13 @@ def prepare(spark: SparkSession) -> SparkSession:
 def work_dir(spark: SparkSession, name: str) -> str:
     """A new folder (as URI) below spark.checkpoint.dir, which driver and executors share.
 
-    Only where the session has no such setting (tests on one machine) a folder below /tmp/checkpoints is used.
+    Where the session has no such setting, a session that runs in one JVM gets a folder below /tmp/checkpoints; a cluster, whose
+    machines don't share one, gets an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         base = "file:///tmp/checkpoints"
         spark.conf.set("spark.checkpoint.dir", base)
     jvm = spark.sparkContext._jvm

@@ -113,6 +113,9 @@ def identify(docs: DataFrame, model: Languages, margin: float = 0.01) -> DataFra
     smallest, as a share of it (not below 0), squashed by x / (x + 0.05); 0 for 'und', 1 if one language was learned. accepted: the share is
     at least `margin` (false for 'und'); callers who want rejection read lang_pred where accepted is true.
 
+    Rows are judged one by one: repeated rows and rows with a null doc_id are judged like any other, and neither doc_id nor any column
+    but text is read. An empty table gives an empty table.
+
     One text at a time is encoded, in chunks, so very long texts need no more memory. Input columns of the new names are
     replaced. No shuffle.
     """

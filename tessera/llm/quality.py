@@ -166,7 +166,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 12_000) -> Model:
     """Fit on docs (doc_id, text) joined with labels (doc_id, quality).
 
     At most about `sample` labelled documents are used, those of smallest hash of doc_id, so what is broadcast (their
-    labels) and what reaches the driver (their features) is bounded. Labels other than 0 and 1 and null labels teach nothing.
+    labels) and what reaches the driver (their features) is bounded. Labels other than 0 and 1 and null labels teach nothing; of
+    labels that repeat a doc_id the largest counts. Documents with a null doc_id have no label; rows that repeat a doc_id each teach.
+    Without a labelled document every score is 0.5.
     """
     prepare(docs.sparkSession)
     rows = labels.where("quality in (0, 1) and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("__id")).agg(F.max("quality").alias("quality"))
@@ -192,6 +194,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
     """All columns of docs plus score (0 to 1, higher: quality 1 likelier) and predicted (1 if score >= threshold, else 0).
 
     The whole text counts, whatever its length. Null and empty texts have all features 0 and get the score of that point.
+    Rows are judged one by one, repeated ones and those with a null doc_id like any other; an empty table gives an empty table.
     Labels, lang, source and doc_id are not read. Columns named score or predicted are replaced. No shuffle.
     """
     prepare(docs.sparkSession)

@@ -59,3 +59,22 @@ def test_stages_judge_rows_whose_ids_are_null_or_repeat(spark, tmp_path):
     out = cp.drop_benchmark_passages(spark, mixed, str(tmp_path))
     assert out.columns == list(cp.COLUMNS)
     assert {(r["doc_id"], r["text"]) for r in out.collect()} == {(None, b), (5, d), (6, None), (6, "")}
+
+
+def test_stages_of_nothing_and_of_clashing_columns(spark, tmp_path):
+    import corpus_pipeline as cp
+    from pyspark.sql import functions as F
+
+    for name, schema in (("labels", "doc_id long, quality int, toxic int"), ("benchmark", "item_id long, text string")):
+        spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    rng = random.Random(3)
+    rows = [(1, prose(rng, 40), "en", "s", 0), (None, None, None, None, None), (2, "", "en", "s", 0), (2, "", "en", "s", 0)]
+    clash = {c: F.lit(c) for c in ("score", "predicted", "n_lines", "n_dropped", "component_id", "n_shingles", "item_id", "__p", "row")}
+    for made, n in (([], 0), (rows, 4)):
+        docs = spark.createDataFrame(made, SCHEMA).withColumns(clash)
+        for name, stage in cp.STAGES:
+            out = stage(spark, docs, str(tmp_path))
+            assert out.count() == n, name
+            if name != "best-fit packing":
+                assert out.columns == docs.columns and all(r["score"] == "score" and r["row"] == "row" and r["n_lines"] == "n_lines" for r in out.collect())
+                docs = out

@@ -20,6 +20,7 @@ def ascii_lower(w):
 def test_jaccard_join(spark, monkeypatch, k, num, leaders):
     monkeypatch.setattr(ngram_join, "LEADERS", leaders)
     monkeypatch.setattr(ngram_join, "BLOCK", 5)
+    monkeypatch.setattr(ngram_join, "SPREAD", 4)
     rows = [(LOW if r[0] is None else r[0], [ascii_lower(w) for w in words(r[1])]) for r in corpus()]
     sets = {i: {tuple(w[p : p + k]) for p in range(len(w) - k + 1)} if len(w) >= k else ({tuple(w)} if w else set()) for i, w in rows}
     pairs = [(a, b) for a in sets for b in sets if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= num * len(sets[a] | sets[b])]
