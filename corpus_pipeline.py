@@ -1,4 +1,8 @@
-"""The corpus pipeline: five stages over `documents`, each written as Parquet and read again by the next."""
+"""The corpus pipeline: five stages over `documents`, each written as Parquet and read again by the next.
+
+All stages: rows are judged one by one, also where doc_id is null or repeats; null texts count as empty ones; a stage with an
+empty table gives an empty table; further columns of documents pass through all but the last stage, whatever their names.
+"""
 
 from __future__ import annotations
 
@@ -13,22 +17,33 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def reject_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality model, fitted on the labelled ones among them, does not reject."""
+    """Documents that the quality model, fitted on the labelled ones among them, does not reject.
+
+    Null and empty texts get the score of a text without words. Labels of documents that aren't there teach nothing. Columns named
+    score or predicted are kept.
+    """
     model = quality.train(docs, table(spark, sf_dir, "labels"))
-    return quality.score(docs, model, threshold=0.3).where("predicted = 1").select(*docs.columns)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "text")
+    return quality.score(rows, model, threshold=0.3).where("predicted = 1").select("row.*")
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that stay in another document; n_chars follows the text."""
-    out = line_dedup.dedup_lines(docs, min_docs=3, min_chars=20)
-    return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    """Documents without the lines that stay in another document; n_chars follows the text.
+
+    Null texts become empty, a document that loses all its lines too. Rows that repeat a doc_id, or have none, are one document in
+    the count of documents that hold a line.
+    """
+    rows = docs.select(F.struct(*[c for c in docs.columns if c not in ("text", "n_chars")]).alias("row"), "doc_id", "text")
+    out = line_dedup.dedup_lines(rows, min_docs=3, min_chars=20)
+    new = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
+    return out.select(*(new[c].alias(c) if c in new else F.col("row")[c].alias(c) for c in docs.columns))
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of rows linked by Jaccard similarity of five-word shingles of 0.8 or more, the one of smallest doc_id.
 
     Rows are compared and dropped one by one, also where they share a doc_id or have none; null counts as the smallest id. Of
-    rows with the same doc_id in a group, the one read first stays.
+    rows with the same doc_id in a group, the one read first stays. Null and empty texts are alike nothing and all stay.
     """
     rows = written(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")  # numbers that hold for both readings
     groups = ngram_join.near_duplicates(rows.withColumn("doc_id", F.col("__row")), k=5, num=80, den=100)
@@ -40,12 +55,12 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that hold no passage of the benchmark, each judged by its own text."""
+    """Rows that hold no passage of the benchmark, each judged by its own text; null and empty texts hold none."""
     return decontam.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents' ids, packed into sequences of at most 2048."""
+    """The documents' ids, packed into sequences of at most 2048; an empty text is its end id."""
     return packing.pack(docs, vocabulary("byte_bpe_50k.json"), end_id=0, capacity=2048)
 
 
