@@ -5,8 +5,9 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 # Fixed values of the token estimate: weight of an ASCII, a CJK and any other character, and the overhead of a text.
 ASCII_WEIGHT, CJK_WEIGHT, OTHER_WEIGHT, OVERHEAD = 0.30, 0.95, 0.55, 12
@@ -20,7 +21,13 @@ LIST_ITEM = r"^\s*(?:[-*•]|\d+[.、])\s+.*$"
 TABLE_ROW = r"^\s*\|.*\|\s*$"
 TABLE_SEPARATOR = r"^\s*\|[\s:-]+\|.*$"
 
+# Fixed patterns: ends of sentences, for splitting and for evidence.
 SENTENCE_END = r"(?<=[。！？；])|(?<=[.!?;])\s+"
+EVIDENCE_END = r"(?<=[。！？!?；;])"
+
+# Fixed values of explicit memories: the prefix that asks for one, and the words of a preference.
+MEMORY_PREFIX = r"(?is)^(?:请)?(?:帮我)?记住[：:,，\s]*(.+)$"
+PREFERENCE_WORDS = ("喜欢", "偏好", "习惯", "以后", "默认")
 
 
 def terms(text: Column) -> Column:
@@ -29,16 +36,27 @@ def terms(text: Column) -> Column:
 
 
 def estimate_tokens(text: Column) -> Column:
-    """Estimated tokens of a text; 0 for blank or null. Characters outside the basic plane count as two others."""
-    t = F.regexp_replace(F.coalesce(text, F.lit("")), r"\s", "")
-    ascii_ = F.regexp_count(t, F.lit(r"[\x00-\x7F]"))
-    cjk = F.regexp_count(t, F.lit(CJK))
-    wide = F.regexp_count(t, F.lit(r"[\x{10000}-\x{10FFFF}]"))
-    wide_cjk = F.regexp_count(t, F.lit(rf"(?=[\x{{10000}}-\x{{10FFFF}}]){CJK}"))
-    narrow_cjk = cjk - wide_cjk
-    other = F.length(t) - ascii_ - narrow_cjk + wide
-    value = ascii_ * F.lit(ASCII_WEIGHT) + narrow_cjk * F.lit(CJK_WEIGHT) + other * F.lit(OTHER_WEIGHT) + F.lit(float(OVERHEAD))
-    return F.when(F.length(t) == 0, F.lit(0)).otherwise(F.greatest(F.lit(1), F.ceil(value))).cast("long")
+    """Estimated tokens of a text; 0 for blank or null. Characters outside the basic plane count as two others.
+
+    Only the characters beyond ASCII are looked at by pattern, and none in a text of as many bytes as characters.
+    """
+    t = F.coalesce(text, F.lit(""))
+    solid = F.length(F.translate(t, " \t\n\x0b\f\r", ""))
+    beyond = F.when(F.octet_length(t) == F.length(t), "").otherwise(F.regexp_replace(t, r"[\x00-\x7F]+", ""))
+    left = lambda x, pattern: F.length(F.regexp_replace(x, pattern, ""))
+
+    def value(x: Column) -> Column:
+        b, n = x["beyond"], F.length(x["beyond"])
+        wide = n - left(b, r"[\x{10000}-\x{10FFFF}]+")
+        far = F.regexp_replace(b, r"[^\x{10000}-\x{10FFFF}]+", "")
+        wide_cjk = F.when(wide == 0, 0).otherwise(F.length(far) - left(far, f"{CJK}+"))
+        narrow_cjk = n - left(b, f"{CJK}+") - wide_cjk
+        plain = x["solid"] - n
+        other = n - narrow_cjk + wide
+        total = plain * F.lit(ASCII_WEIGHT) + narrow_cjk * F.lit(CJK_WEIGHT) + other * F.lit(OTHER_WEIGHT) + F.lit(float(OVERHEAD))
+        return F.when(x["solid"] == 0, F.lit(0)).otherwise(F.greatest(F.lit(1), F.ceil(total))).cast("long")
+
+    return F.get(F.transform(F.array(F.struct(solid.alias("solid"), beyond.alias("beyond"))), value), 0)
 
 
 def estimate_embedding_tokens(total_with_overhead: Column) -> Column:
@@ -77,7 +95,7 @@ def sentences(text: Column) -> Column:
 
 def evidence_snippet(anchor: Column, chunk: Column, limit: int = 160) -> Column:
     """The anchor if there is one, else the first sentence of at least 12 characters, else the chunk; cut to the limit."""
-    long_ones = F.filter(F.transform(F.split(chunk, r"(?<=[。！？!?；;])", -1), lambda s: F.trim(s)), lambda s: F.length(s) >= 12)
+    long_ones = F.filter(F.transform(F.split(chunk, EVIDENCE_END, -1), lambda s: F.trim(s)), lambda s: F.length(s) >= 12)
     best = F.when(F.length(F.trim(F.coalesce(anchor, F.lit("")))) > 0, anchor).otherwise(F.coalesce(F.get(long_ones, 0), chunk))
     return truncate(collapse(best), limit, "…")
 
@@ -93,7 +111,7 @@ def memory_tokens(text: Column) -> Column:
 
 
 def boundary_key(line: Column) -> Column:
-    """The key by which repeated page headers and footers are found, without Unicode normalisation (see `nfkc`)."""
+    """The key by which repeated page headers and footers are found; the line is in Unicode compatibility form (see `nfkc`)."""
     key = F.lower(F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(line, " ", " "), r"\s+", " "), r"\d+", "#")))
     return F.when(F.length(key).between(4, 120), key)
 
@@ -113,6 +131,34 @@ def tag_slug(name: Column) -> Column:
     return F.substring(F.concat(F.lit("ORG_"), F.when(F.length(s) > 0, s).otherwise("tag")), 1, 255)
 
 
+def unique_slugs(rows: DataFrame, name: str, order: str) -> DataFrame:
+    """rows with tag_id: the slug, and from the second row with a slug on _2, _3 and so on behind it."""
+    slugs = rows.withColumn("__slug", tag_slug(F.col(name)))
+    at = F.row_number().over(Window.partitionBy("__slug").orderBy(order))
+    return slugs.withColumn("__at", at).withColumn("tag_id", F.when(F.col("__at") == 1, F.col("__slug")).otherwise(F.concat(F.expr("substring(__slug, 1, 250)"), F.lit("_"), F.col("__at")))).drop("__slug", "__at")
+
+
+def explicit_memory(message: Column) -> Column:
+    """What a message asks to remember, of 4 to 1000 characters; else null."""
+    content = collapse(F.regexp_extract(F.trim(message), MEMORY_PREFIX, 1))
+    return F.when(F.length(content).between(4, 1000), content)
+
+
+def memory_type(content: Column) -> Column:
+    liked = F.lit(False)
+    for word in PREFERENCE_WORDS:
+        liked = liked | F.lower(F.coalesce(content, F.lit(""))).contains(word)
+    return F.when(liked, "PREFERENCE").otherwise("FACT")
+
+
+def stream_payloads(chunk: Column) -> Column:
+    """Payloads of an event-stream chunk: its lines without blank ones, comments and the data: prefix; the whole chunk if none is left."""
+    whole = F.btrim(chunk, F.lit(" \t\r\n"))
+    lines = F.filter(F.transform(F.split(whole, r"\r?\n", -1), lambda x: F.trim(x)), lambda x: (F.length(x) > 0) & ~x.startswith(":"))
+    bare = F.filter(F.transform(lines, lambda x: F.when(x.startswith("data:"), F.trim(F.substring(x, 6, 1 << 30))).otherwise(x)), lambda x: F.length(x) > 0)
+    return F.when(F.length(whole) == 0, F.array().cast("array<string>")).when(F.size(bare) == 0, F.array(whole)).otherwise(bare)
+
+
 def human_size(size: Column) -> Column:
     kb = 1024.0
     return (

@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 from tessera.functions.text import CHAPTER, CODE_MARK, LIST_ITEM, SECTION, TABLE_ROW, TABLE_SEPARATOR
 
 SIZE, OVERLAP_SHARE = 512, 0.1
+PARENT_CHARS = 1 << 20
 SHORT = 100
 
 # Endings that announce more, and words that continue what was said.
@@ -203,3 +204,50 @@ def chunk_texts(docs: DataFrame, key: str, strategy: str = "fixed", size: int =
             yield pd.DataFrame(rows, columns=[key, "chunk_id", "content"])
 
     return docs.select(key, "text").mapInPandas(run, f"{key} {docs.schema[key].dataType.simpleString()}, chunk_id int, content string")
+
+
+def parent_blocks(docs: DataFrame, keys: list[str], size: int = PARENT_CHARS) -> DataFrame:
+    """keys, block (from 1) and text: texts cut into parents of `size` characters, which are chunked apart; blank-free, none for ''."""
+    n = F.ceil(F.length("text") / F.lit(size)).cast("int")
+    rows = docs.where(F.length("text") > 0).select(*keys, "text", F.explode(F.sequence(F.lit(1), n)).alias("block"))
+    return rows.withColumn("text", F.expr(f"substring(text, (block - 1) * {size} + 1, {size})")).select(*keys, "block", "text")
+
+
+def merge_similar(chunks: DataFrame, key: str, order: str, vector: str, threshold: float = 0.75) -> DataFrame:
+    """chunks with `merged` (whether a chunk's vector is at least so similar to the one before it) and `block`, from 1."""
+    w = Window.partitionBy(key).orderBy(order)
+    double = F.col(vector).cast("array<double>")
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    rows = chunks.withColumn("__v", double).withColumn("__p", F.lag("__v").over(w))
+    cosine = F.try_divide(dot(F.col("__v"), F.col("__p")), F.sqrt(dot(F.col("__v"), F.col("__v"))) * F.sqrt(dot(F.col("__p"), F.col("__p"))))
+    rows = rows.withColumn("merged", F.coalesce(cosine >= threshold, F.lit(False))).drop("__v", "__p")
+    return rows.withColumn("block", F.sum(F.when(F.col("merged"), 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+
+
+def _protected(text: str | None) -> list[dict]:
+    found, at, text = [], 0, text or ""
+    while (start := text.find("```", at)) >= 0:
+        close = text.find("```", start + 3)
+        at = len(text) if close < 0 else close + 3
+        found.append({"kind": "CODE_BLOCK", "start": start, "end": at})
+    at, begun = 0, None
+    for line in text.split("\n"):
+        row = line.strip()
+        if len(row) > 1 and row.startswith("|") and row.endswith("|"):
+            begun = at if begun is None else begun
+        elif begun is not None:
+            found.append({"kind": "TABLE_ROW", "start": begun, "end": at})
+            begun = None
+        at += len(line) + 1
+    if begun is not None:
+        found.append({"kind": "TABLE_ROW", "start": begun, "end": len(text)})
+    return found
+
+
+def protected_blocks(text: Column) -> Column:
+    """(kind, start, end) of fenced code, to the end of the text where a fence isn't closed, then of runs of table lines."""
+
+    def each(texts: pd.Series) -> pd.Series:
+        return texts.map(_protected)
+
+    return F.pandas_udf(each, "array<struct<kind:string,start:int,end:int>>")(text)

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import pandas as pd
+from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.functions.text import boundary_key
+from tessera.functions.text import boundary_key, nfkc
 
 PART_BYTES = 5 * 1024 * 1024
 PREVIEW_BYTES = 10_240
@@ -30,11 +33,58 @@ def missing_parts(files: DataFrame, parts: DataFrame) -> DataFrame:
     return want.join(parts.select("file_id", F.col("part").cast("long").alias("part")).distinct(), ["file_id", "part"], "left_anti")
 
 
-def merge_parts(parts: DataFrame, expected: DataFrame) -> DataFrame:
-    """file_id and content of files whose parts are all there, joined in order (file_id, part, content; file_id, expected)."""
-    got = parts.dropDuplicates(["file_id", "part"]).groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("part", "content"))).alias("p"), F.count("*").alias("n"))
-    whole = F.aggregate("p", F.lit(b""), lambda s, x: F.concat(s, x["content"]))
-    return got.join(expected, "file_id").where(F.col("n") == F.col("expected")).select("file_id", whole.alias("content"))
+def accept_parts(received: DataFrame, incoming: DataFrame) -> DataFrame:
+    """The incoming parts (file_id, part, content, seq) that are stored, with chunk_md5: the first of each that isn't there yet."""
+    new = incoming.join(received.select("file_id", "part").distinct(), ["file_id", "part"], "left_anti")
+    return keep_first(new, ["file_id", "part"], [F.asc("seq")]).withColumn("chunk_md5", F.md5("content")).drop("seq")
+
+
+def merge_parts(parts: DataFrame, expected: DataFrame, folder: str) -> DataFrame:
+    """file_id, path and bytes of files whose parts are all there, each composed in order of part in a file below `folder`
+    (parts: file_id, part, content; expected: file_id, expected).
+
+    A part is held at a time, so files may be larger than memory. A file is named by the task attempt that wrote it; of repeated
+    attempts, the one whose row is returned counts.
+    """
+    once = parts.dropDuplicates(["file_id", "part"])
+    whole = once.groupBy("file_id").agg(F.count("*").alias("n")).join(expected, "file_id").where("n = expected").select("file_id")
+    rows = once.join(whole, "file_id").select("file_id", "part", "content").repartition("file_id").sortWithinPartitions("file_id", "part")
+    kind = rows.schema["file_id"].dataType.simpleString()
+
+    def compose(batches):
+        attempt, now, out, path, size = TaskContext.get().taskAttemptId(), None, None, "", 0
+        for b in batches:
+            for own, content in zip(b["file_id"], b["content"], strict=True):
+                if out is None or own != now:
+                    if out is not None:
+                        out.close()
+                        yield pd.DataFrame({"file_id": [now], "path": [path], "bytes": [size]})
+                    now, path, size = own, f"{folder.rstrip('/')}/{own}-{attempt}", 0
+                    at, place = fs.FileSystem.from_uri(path)
+                    at.create_dir(place.rpartition("/")[0], recursive=True)
+                    out = at.open_output_stream(place)
+                out.write(bytes(content))
+                size += len(content)
+        if out is not None:
+            out.close()
+            yield pd.DataFrame({"file_id": [now], "path": [path], "bytes": [size]})
+
+    return rows.mapInPandas(compose, f"file_id {kind}, path string, bytes long")
+
+
+def stale_versions(files_: DataFrame) -> DataFrame:
+    """file_name, file_md5 of contents that a later upload of the same owner and name (by id) has replaced."""
+    latest = files_.groupBy("owner", "file_name").agg(F.max_by("file_md5", "id").alias("current"))
+    return files_.join(latest, ["owner", "file_name"]).where("file_md5 <> current").select("owner", "file_name", "file_md5").distinct()
+
+
+def ready(files_: DataFrame, chunks: DataFrame, indexed: DataFrame, parts: DataFrame, owner: int, org_tag: str) -> DataFrame:
+    """file_md5, ready: whether a file is complete in every store, with this owner and tag: chunks and index entries are there
+    and as many as each other, and so are parts."""
+    count = lambda df, name: df.groupBy("file_md5").agg(F.count("*").alias(name))
+    both = files_.join(count(chunks, "c"), "file_md5", "left").join(count(indexed, "i"), "file_md5", "left").join(count(parts, "p"), "file_md5", "left")
+    whole = (F.col("status") == 1) & (F.col("c") > 0) & (F.col("c") == F.col("i")) & (F.col("p") > 0) & (F.col("user_id") == owner) & (F.col("org_tag") == org_tag)
+    return both.select("file_md5", F.coalesce(whole, F.lit(False)).alias("ready"))
 
 
 def reconcile(completed: DataFrame, indexed: DataFrame, stored: DataFrame, key: str = "file_md5") -> DataFrame:
@@ -45,14 +95,41 @@ def reconcile(completed: DataFrame, indexed: DataFrame, stored: DataFrame, key:
     return both.groupBy(state.alias("state")).agg(F.count("*").alias("files"))
 
 
-def boundary_lines(pages: DataFrame, file: str, page: str, depth: int = 3) -> DataFrame:
-    """file, side, key and pages: lines that stand among the first or last `depth` meaningful ones of enough pages."""
-    lines = pages.select(file, page, F.posexplode(F.split("text", "\n", -1)).alias("pos", "line")).withColumn("key", boundary_key(F.col("line"))).where("key is not null")
-    near = lambda side, order: lines.withColumn("r", F.row_number().over(Window.partitionBy(file, page).orderBy(order))).where(F.col("r") <= depth).select(file, page, F.lit(side).alias("side"), "key")
-    both = near("top", F.asc("pos")).union(near("bottom", F.desc("pos")))
-    counts = both.groupBy(file, "side", "key").agg(F.count("*").alias("pages"))
+def _boundaries(pages: DataFrame, file: str, page: str, depth: int) -> tuple[DataFrame, DataFrame]:
+    """(file, page, side, rank, pos, key of the first and the last `depth` lines that aren't blank; keys that enough pages share)."""
+    solid = F.filter(F.transform(page_lines(F.col("text")), lambda line, i: F.struct(i.alias("pos"), line.alias("line"))), lambda x: F.length(x["line"]) > 0)
+    last = F.reverse(F.slice(solid, -F.least(F.size(solid), F.lit(depth)), depth))
+    near = lambda side, lines: pages.where(F.size(solid) > 0).select(file, page, F.lit(side).alias("side"), F.posexplode(lines).alias("rank", "x")).select(file, page, "side", "rank", "x.pos", "x.line")
+    both = near("top", F.slice(solid, 1, depth)).union(near("bottom", last)).withColumn("key", boundary_key(nfkc(F.col("line")))).drop("line")
+    counts = both.where("key is not null").groupBy(file, "side", "key").agg(F.count("*").alias("pages"))
     total = pages.groupBy(file).agg(F.countDistinct(page).alias("n"))
-    return counts.join(total, file).where(F.col("pages") >= F.greatest(F.lit(2), F.least(F.lit(3), F.col("n")))).drop("n")
+    return both, counts.join(total, file).where(F.col("pages") >= F.greatest(F.lit(2), F.least(F.lit(3), F.col("n")))).drop("n")
+
+
+def page_lines(text: Column) -> Column:
+    """The lines of a page, without blanks at their ends."""
+    return F.transform(F.split(text, r"\r\n|[\n\r]", -1), lambda x: F.btrim(x, F.lit(" \t\x0b\f")))
+
+
+def boundary_lines(pages: DataFrame, file: str, page: str, depth: int = 3) -> DataFrame:
+    """file, side, key and pages: lines that stand among the first or last `depth` ones, blank ones aside, of enough pages."""
+    return _boundaries(pages, file, page, depth)[1]
+
+
+def strip_boundaries(pages: DataFrame, file: str, page: str, depth: int = 3) -> DataFrame:
+    """pages with `text` freed of repeated headers and footers: from either end up to `depth` lines go, as long as each is one that
+    enough pages share; blank lines between them go too."""
+    both, shared = _boundaries(pages, file, page, depth)
+    marked = both.join(shared.select(file, "side", "key", F.lit(1).alias("hit")), [file, "side", "key"], "left")
+    upto = Window.partitionBy(file, page, "side").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
+    run = marked.withColumn("all", F.min(F.coalesce("hit", F.lit(0))).over(upto)).where("all = 1")
+    cuts = run.groupBy(file, page).agg(F.max(F.when(F.col("side") == "top", F.col("pos"))).alias("__top"), F.min(F.when(F.col("side") == "bottom", F.col("pos"))).alias("__bottom"))
+    lines = page_lines(F.col("text"))
+    start = F.coalesce(F.col("__top") + 1, F.lit(0))
+    end = F.coalesce("__bottom", F.size(lines))
+    kept = F.slice(lines, start + 1, F.greatest(end - start, F.lit(0)))
+    text = F.btrim(F.array_join(kept, "\n"), F.lit(" \t\n\x0b\f\r"))
+    return pages.join(cuts, [file, page], "left").withColumn("text", text).select(*pages.columns)
 
 
 def preview(text: Column, limit: int = PREVIEW_BYTES) -> Column:

@@ -7,7 +7,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.functions.text import estimate_tokens, memory_tokens
+from tessera.functions.text import collapse, estimate_tokens, memory_tokens, truncate
+
+# Fixed value: what a summary of runtime memory begins with.
+SUMMARY_MARK = "[短期运行记忆摘要] "
 
 
 def newest_first(*tie: str) -> Window:
@@ -79,14 +82,76 @@ def compact(messages: DataFrame, summarise, size: int = 5, retain: int = 2) -> D
 
 
 def runs(events: DataFrame, key: str, order: str, value: str, window: int = 3) -> DataFrame:
-    """Length of the run of equal values that ends at each row, and whether it is stagnant (window or more, at least 2)."""
+    """Length of the run of equal values that ends at each row, and whether it is stagnant (window or more, at least 2). A null
+    value is an empty turn: it ends a run and has none itself."""
     w = Window.partitionBy(key).orderBy(order)
-    rows = events.withColumn("new", F.when(F.lag(value).over(w).eqNullSafe(F.col(value)), 0).otherwise(1))
+    rows = events.withColumn("new", F.when(F.lag(value).over(w) == F.col(value), 0).otherwise(1))
     rows = rows.withColumn("island", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    out = rows.withColumn("run", F.row_number().over(Window.partitionBy(key, "island").orderBy(order)))
+    run = F.row_number().over(Window.partitionBy(key, "island").orderBy(order))
+    out = rows.withColumn("run", F.when(F.col(value).isNotNull(), run).otherwise(0))
     return out.withColumn("stagnant", F.col("run") >= max(window, 2)).drop("new", "island")
 
 
+def visible_memories(memories: DataFrame, user_id: int, conversation_id: int, newest: int = 200) -> DataFrame:
+    """My memories, and those of this conversation, the newest ones (by updated, then id)."""
+    mine = (F.col("scope") == "USER") & (F.col("user_id") == user_id)
+    here = (F.col("scope") == "CONVERSATION") & (F.col("conversation_id") == conversation_id)
+    return memories.where(mine | here).orderBy(F.desc("updated"), F.desc("id")).limit(newest)
+
+
+def distinct_memories(memories: DataFrame) -> DataFrame:
+    """The first, by id, of the memories with the same user, scope, content and, within a conversation's scope, conversation."""
+    where = F.when(F.col("scope") == "CONVERSATION", F.col("conversation_id"))
+    rank = F.row_number().over(Window.partitionBy("user_id", "scope", where, "content").orderBy("id"))
+    return memories.withColumn("__r", rank).where("__r = 1").drop("__r")
+
+
+def runtime_split(entries: DataFrame, least: int = 4000, retain: int = 12) -> DataFrame:
+    """`summarise`: entries before the last `retain` ones of conversations of at least `least` tokens and more entries than that."""
+    whole = Window.partitionBy("conv_id")
+    back = F.row_number().over(newest_first("role"))
+    due = (F.sum("tokens").over(whole) >= least) & (F.count("*").over(whole) > retain)
+    return entries.withColumn("summarise", due & (back > retain))
+
+
+def compact_runtime(entries: DataFrame, summarise, least: int = 4000, retain: int = 12, size: int = 6) -> DataFrame:
+    """conv_id, turn, role, text after compaction: what runtime_split() gives away becomes one system entry before the others; if
+    the injected function of a list of texts gives nothing, only the others stay."""
+    split = runtime_split(entries, least, retain)
+    old = split.where("summarise").select("conv_id", "turn", F.lit("x").alias("role"), "text")
+    first = old.groupBy("conv_id").agg(F.min("turn").alias("turn"))
+    groups = numbered_groups(old, size)
+
+    @F.pandas_udf("string")
+    def merge(lists: pd.Series) -> pd.Series:
+        def one(texts):
+            parts = [summarise([t]) for t in texts]
+            if any(not p or not p.strip() for p in parts):
+                return None
+            return parts[0] if len(parts) == 1 else summarise(parts)
+
+        return lists.map(one)
+
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("group", "text"))), lambda x: x["text"])
+    summary = groups.groupBy("conv_id").agg(parts.alias("parts")).select("conv_id", F.trim(merge("parts")).alias("text")).where(F.length("text") > 0)
+    made = summary.join(first, "conv_id").select("conv_id", "turn", F.lit("system").alias("role"), F.concat(F.lit(SUMMARY_MARK), F.col("text")).alias("text"))
+    return made.unionByName(split.where("NOT summarise").select("conv_id", "turn", "role", "text"))
+
+
+def last_feedback(feedback: DataFrame, n: int = 5) -> DataFrame:
+    """user_id, rank, line: the last n feedbacks of each user (user_id, at, id, rating, reason), newest first."""
+    rank = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("at"), F.desc("id")))
+    line = F.concat(F.lit("rating="), F.col("rating").cast("string"), F.lit("; reason="), F.coalesce("reason", F.lit("")))
+    return feedback.withColumn("rank", rank).where(F.col("rank") <= n).select("user_id", "rank", line.alias("line"))
+
+
+def sessions(messages: DataFrame, title: int = 20) -> DataFrame:
+    """conv_id, title (the first user message's beginning), messages and updated (the last turn), the latest first."""
+    asked = F.when(F.col("role") == "user", F.struct("turn", "text"))
+    out = messages.groupBy("conv_id").agg(F.min(asked).alias("first"), F.count("*").alias("messages"), F.max("turn").alias("updated"))
+    return out.select("conv_id", truncate(collapse(F.col("first.text")), title, "…").alias("title"), "messages", "updated").orderBy(F.desc("updated"), "conv_id")
+
+
 def turns(messages: DataFrame) -> DataFrame:
     """Question and answer pairs: a user message and the assistant message right after it."""
     q = messages.where("role = 'user'").select("conv_id", "turn", F.col("text").alias("question"))

@@ -134,3 +134,92 @@ def daily_quota(rows: DataFrame, limit: int) -> DataFrame:
         return used + (row.amount if fits else 0), fits
 
     return in_order(rows, ["user_id", "record_date"], ["event_id"], decide, ["event_id", "user_id", "record_date", "amount"])
+
+
+def anchored_budget(state, at: float, amount: int, limit: int, seconds: float):
+    """(state, accepted) of a token budget whose window begins with the first amount counted in it; a rejected amount isn't
+    counted. No limit or no window: everything is accepted."""
+    if limit <= 0 or seconds <= 0:
+        return state, True
+    start, used = state or (at, 0)
+    if at >= start + seconds:
+        used = 0
+    start = at if used == 0 else start
+    fits = used + amount <= limit
+    return (start, used + amount if fits else used), fits
+
+
+def token_budgets(rows: DataFrame, limit: int, seconds: int) -> DataFrame:
+    """event_id, user_id, accepted under a budget of each user."""
+    timed = rows.withColumn("at", F.unix_micros(F.col("ts").cast("timestamp")) / 1e6)
+    return in_order(timed, ["user_id"], ["event_id"], lambda s, r: anchored_budget(s, r.at, r.amount, limit, seconds), ["event_id", "user_id", "at", "amount"]).drop("at", "amount")
+
+
+def compound_reservation(state, day: str, at: float, amount: int, daily: int, budgets: tuple[tuple[int, float], ...]):
+    """(state, accepted): an amount must fit the calendar day's quota and every anchored budget; where one rejects it, none of those
+    before it keeps it."""
+    quota, windows = state or (("", 0), (None,) * len(budgets))
+    used = quota[1] if quota[0] == day else 0
+    fits, moved = daily <= 0 or used + amount <= daily, list(windows)
+    for i, (limit, seconds) in enumerate(budgets):
+        if fits:
+            moved[i], fits = anchored_budget(windows[i], at, amount, limit, seconds)
+    if fits:
+        return ((day, used + amount), tuple(moved)), True
+    return ((day, used), windows), False
+
+
+def compound_reservations(rows: DataFrame, daily: int, budgets: tuple[tuple[int, float], ...]) -> DataFrame:
+    """event_id, user_id, accepted under a daily quota and anchored budgets (limit, seconds) of each user together."""
+    timed = rows.withColumns({"at": F.unix_micros(F.col("ts").cast("timestamp")) / 1e6, "day": F.date_format("ts", "yyyy-MM-dd")})
+    decide = lambda s, r: compound_reservation(s, r.day, r.at, r.amount, daily, budgets)
+    return in_order(timed, ["user_id"], ["event_id"], decide, ["event_id", "user_id", "at", "day", "amount"]).drop("at", "day", "amount")
+
+
+def settled_usage(reservations: DataFrame) -> DataFrame:
+    """user_id, record_date, used from rows of kind RESERVE (reserved), SETTLE (reserved, actual) and ABORT (reserved): a settlement
+    counts the difference, an abortion gives all back; never below 0."""
+    change = F.when(F.col("kind") == "RESERVE", F.col("reserved")).when(F.col("kind") == "SETTLE", F.col("actual") - F.col("reserved")).otherwise(-F.col("reserved"))
+    return reservations.groupBy("user_id", "record_date").agg(F.greatest(F.sum(change), F.lit(0)).alias("used"))
+
+
+def totals(ledger: DataFrame, keys: DataFrame) -> DataFrame:
+    """user_id, token_type, change_type, amount of each wanted key; 0 where the ledger has none."""
+    names = ["user_id", "token_type", "change_type"]
+    sums = ledger.groupBy(*names).agg(F.sum("amount").alias("amount"))
+    return keys.join(sums, names, "left").select(*names, F.coalesce("amount", F.lit(0)).alias("amount"))
+
+
+def balance_snapshot(ledger: DataFrame, start: int = START_BALANCE) -> DataFrame:
+    """user_id, granted, balance and used (granted less balance) of each user, the start being granted too."""
+    inc, out = (F.sum(F.when(F.col("change_type") == k, F.col("amount")).otherwise(0)) for k in ("INCREASE", "CONSUME"))
+    sums = ledger.groupBy("user_id").agg((inc + start).alias("granted"), (inc - out + start).alias("balance"))
+    return sums.withColumn("used", F.col("granted") - F.col("balance"))
+
+
+def top_by_scope(snapshot_: DataFrame, n: int = 5) -> DataFrame:
+    """The n heaviest users of each type among those who used something, with rank."""
+    at = F.row_number().over(Window.partitionBy("token_type").orderBy(F.desc("used"), "user_id"))
+    return snapshot_.where("used > 0").withColumn("rank", at).where(F.col("rank") <= n).select("token_type", "rank", "user_id", "used")
+
+
+def with_snapshots(users: DataFrame, snapshot_: DataFrame, limit: int) -> DataFrame:
+    """id, username, used, remaining, requests of quota-managed users, for one type of tokens; nothing used where there is no snapshot."""
+    rows = users.where(quota_managed(F.col("username"))).withColumn("user_id", F.col("id").cast("string"))
+    out = rows.join(snapshot_.select("user_id", "used", "remaining", "requests"), "user_id", "left")
+    return out.select("id", "username", F.coalesce("used", F.lit(0)).alias("used"), F.coalesce("remaining", F.lit(limit)).cast("long").alias("remaining"), F.coalesce("requests", F.lit(0)).alias("requests"))
+
+
+def quota_managed(user: Column) -> Column:
+    return F.coalesce((F.length(F.trim(user)) > 0) & ~user.startswith("system"), F.lit(False))
+
+
+def result_limit(asked: Column, default: int = 5, most: int = 20) -> Column:
+    """How many results a tool call gets."""
+    return F.greatest(F.lit(1), F.least(F.lit(most), F.coalesce(asked, F.lit(default)))).cast("int")
+
+
+def idle_sessions(events: DataFrame, days: int = 7) -> DataFrame:
+    """user_id, start, events of stretches in which each event renews a lease of so many days."""
+    w = F.session_window(F.col("ts").cast("timestamp"), f"{days} days")
+    return events.groupBy("user_id", w.alias("w")).agg(F.count("*").alias("events")).select("user_id", F.col("w.start").alias("start"), "events")

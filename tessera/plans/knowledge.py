@@ -14,9 +14,12 @@ from tessera.sources.tables import table
 
 RECALL = "inst the of"
 
-# Extensions by kind.
+# Extensions by kind, and those whose text can and can't be read.
 PREVIEW_KINDS = {"pdf": ["pdf"], "image": ["png", "jpg", "jpeg", "gif", "bmp", "webp", "svg"], "text": ["txt", "md", "csv", "json", "xml", "html", "htm", "log", "yaml", "yml"]}
 
+SUPPORTED = "pdf doc docx xls xlsx ppt pptx txt rtf md odt ods odp html htm xml json csv epub pages numbers keynote".split()
+UNSUPPORTED = "jpg jpeg png gif bmp svg webp tiff ico psd mp3 wav flac aac ogg wma m4a mp4 avi mov wmv flv mkv webm m4v 3gp zip rar 7z tar gz bz2 xz exe msi dmg pkg deb rpm ttf otf woff woff2 eot dwg dxf step iges db sqlite mdb accdb bin dat iso img".split()
+
 
 def tokens_sql(t: str) -> str:
     """The token estimate, for texts without CJK or wide characters beside counted CJK ones."""
@@ -50,12 +53,14 @@ def extension(url):
 
 
 def file_type_classify(spark: SparkSession, d: str) -> DataFrame:
-    """Extension and preview type of made-up file names."""
-    kinds = ["pdf", "png", "txt", "md", "docx", "exe", "html", ""]
-    name = F.concat(F.lit("file"), "page_id", F.when(F.element_at(F.array(*map(F.lit, kinds)), (F.col("page_id") % 8 + 1).cast("int")) == "", "").otherwise(F.concat(F.lit("."), F.element_at(F.array(*map(F.lit, kinds)), (F.col("page_id") % 8 + 1).cast("int")), F.lit("?v=1"))))
-    ext = extension(name)
+    """Extension, support and preview type of the pages' addresses, and of the same ones as files of several kinds."""
+    kinds = ["pdf", "png", "txt", "md", "docx", "exe", "html"]
+    pages = table(spark, d, "pages")
+    names = pages.select("url").union(pages.select(F.concat(F.regexp_replace("url", r"[?#].*$", ""), F.lit("/file."), F.element_at(F.array(*map(F.lit, kinds)), (F.col("page_id") % 7 + 1).cast("int")), F.lit("?v=1"))))
+    ext = extension(F.regexp_extract("url", r"://[^/]*(/.*)$", 1))
     kind = F.when(ext.isin(*PREVIEW_KINDS["pdf"]), "pdf").when(ext.isin(*PREVIEW_KINDS["image"]), "image").when(ext.isin(*PREVIEW_KINDS["text"]), "text").otherwise("download")
-    return table(spark, d, "pages").groupBy(ext.alias("ext"), kind.alias("kind")).agg(F.count("*").alias("n"))
+    state = F.when(ext.isin(*SUPPORTED), "supported").when(ext.isin(*UNSUPPORTED), "unsupported").otherwise("unknown")
+    return names.groupBy(ext.alias("ext"), kind.alias("kind"), state.alias("state")).agg(F.count("*").alias("n"))
 
 
 def preview_10kb(spark: SparkSession, d: str) -> DataFrame:
@@ -118,7 +123,7 @@ def turn_to_messages(spark: SparkSession, d: str) -> DataFrame:
 def reconcile_states(spark: SparkSession, d: str) -> DataFrame:
     f = tables.files(spark, d)
     stored = f.join(table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id")), "doc_id", "left_semi")
-    return files.reconcile(f, f.where("doc_id % 7 <> 0"), stored.where("doc_id % 2 = 0"))
+    return files.reconcile(f, f.where("is_public OR user_id > 20"), stored)
 
 
 def knowledge_stats(spark: SparkSession, d: str) -> DataFrame:
@@ -140,7 +145,8 @@ def delete_reindex(spark: SparkSession, d: str) -> DataFrame:
 
 
 def tag_slugs(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "part").select("p_partkey", tx.tag_slug(F.concat_ws(" / ", "p_name", "p_brand")).alias("tag_id"))
+    named = table(spark, d, "part").select("p_partkey", F.concat_ws(" / ", "p_brand", "p_size").alias("name"))
+    return tx.unique_slugs(named, "name", "p_partkey").select("p_partkey", "tag_id")
 
 
 def file_sizes(spark: SparkSession, d: str) -> DataFrame:
@@ -163,7 +169,7 @@ CATALOG = {
     "token_estimate_embedding": (token_estimate_embedding, f"SELECT doc_id, count(*) AS chunks, ceil(sum(t + 4) * 1.15::DOUBLE)::BIGINT AS tokens FROM (SELECT doc_id, {tokens_sql('content')} AS t FROM ({CHUNKS_SQL})) GROUP BY doc_id"),
     "token_estimate_chat": (token_estimate_chat, f"SELECT conv_id, sum(tokens)::BIGINT AS tokens FROM ({MSG_SQL}) GROUP BY conv_id"),
     "html_text_extract": (html_text_extract, r"""SELECT page_id, length(t)::INTEGER AS n, md5(t) AS text_md5 FROM (SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(html, '(?is)<(script|style)\b.*?</(script|style)>|<!--.*?-->', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&amp;', '&'), '\s+', ' ', 'g')) AS t FROM pages)"""),
-    "file_type_classify": (file_type_classify, "SELECT ext, CASE WHEN ext = 'pdf' THEN 'pdf' WHEN ext = 'png' THEN 'image' WHEN ext IN ('txt', 'md', 'html') THEN 'text' ELSE 'download' END AS kind, count(*) AS n FROM (SELECT ['pdf', 'png', 'txt', 'md', 'docx', 'exe', 'html', ''][page_id % 8 + 1] AS ext FROM pages) GROUP BY ALL"),
+    "file_type_classify": (file_type_classify, r"""WITH u AS (SELECT url FROM pages UNION ALL SELECT regexp_replace(url, '[?#].*$', '') || '/file.' || ['pdf', 'png', 'txt', 'md', 'docx', 'exe', 'html'][page_id % 7 + 1] || '?v=1' FROM pages), e AS (SELECT lower(regexp_extract(regexp_replace(regexp_extract(url, '://[^/]*(/.*)$', 1), '[?#].*$', ''), '\.([A-Za-z0-9]+)$', 1)) AS ext FROM u) SELECT ext, CASE WHEN ext = 'pdf' THEN 'pdf' WHEN ext = 'png' THEN 'image' WHEN ext IN ('txt', 'md', 'html') THEN 'text' ELSE 'download' END AS kind, CASE WHEN ext IN ('pdf', 'txt', 'md', 'docx', 'html') THEN 'supported' WHEN ext IN ('png', 'exe') THEN 'unsupported' ELSE 'unknown' END AS state, count(*) AS n FROM e GROUP BY ALL"""),
     "preview_10kb": (preview_10kb, "WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents), s AS (SELECT *, coalesce(sum(strlen(line) + 1) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM l) SELECT doc_id, count(*)::INTEGER AS lines, md5(string_agg(line, chr(10) ORDER BY pos)) AS preview_md5 FROM s WHERE before < 10240 GROUP BY doc_id"),
     "memory_tokenize": (memory_tokenize, f"SELECT conv_id, turn, role, len({WORDS_SQL})::INTEGER AS n, array_to_string({WORDS_SQL}, ' ') AS tokens FROM conversations"),
     "memory_score_topk": (memory_score_topk, f"SELECT conv_id, turn, rank, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY score DESC, turn)::INTEGER AS rank FROM ({MEMORY_SQL}) WHERE score > 0) WHERE rank <= 10"),
@@ -175,10 +181,10 @@ CATALOG = {
     "compaction_map_chunks": (compaction_map_chunks, "SELECT conv_id, \"group\", count(*) AS n, md5(string_agg(text, chr(10) ORDER BY turn)) AS text_md5 FROM (SELECT *, ((row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) // 5)::INTEGER AS \"group\" FROM conversations) GROUP BY ALL"),
     "compaction_summaries": (compaction_summaries, None),
     "turn_to_messages": (turn_to_messages, "WITH t AS (SELECT q.conv_id, q.turn, q.text AS question, a.text AS answer FROM conversations q JOIN conversations a ON a.conv_id = q.conv_id AND a.turn = q.turn + 1 WHERE q.role = 'user' AND a.role = 'assistant') SELECT conv_id, turn, 0 AS pos, 'user' AS role, md5(question) AS text_md5 FROM t UNION ALL SELECT conv_id, turn, 1, 'assistant', md5(answer) FROM t"),
-    "reconcile_states": (reconcile_states, f"WITH f AS ({FILES_SQL}), c AS (SELECT file_md5, bool_or(doc_id % 7 <> 0) AS i, bool_or(doc_id % 2 = 0 AND doc_id IN (SELECT vec_id FROM embeddings)) AS v FROM f GROUP BY file_md5) SELECT CASE WHEN i AND v THEN 'NORMAL' WHEN i THEN 'ES_ONLY' WHEN v THEN 'VECTOR_ONLY' ELSE 'BOTH_MISSING' END AS state, count(*) AS files FROM c GROUP BY ALL"),
+    "reconcile_states": (reconcile_states, f"WITH f AS ({FILES_SQL}), c AS (SELECT file_md5, bool_or(is_public OR user_id > 20) AS i, bool_or(doc_id IN (SELECT vec_id FROM embeddings)) AS v FROM f GROUP BY file_md5) SELECT CASE WHEN i AND v THEN 'NORMAL' WHEN i THEN 'ES_ONLY' WHEN v THEN 'VECTOR_ONLY' ELSE 'BOTH_MISSING' END AS state, count(*) AS files FROM c GROUP BY ALL"),
     "knowledge_stats": (knowledge_stats, f"WITH f AS ({FILES_SQL}) SELECT (SELECT count(DISTINCT file_md5) FROM f) AS documents, (SELECT sum(total_size)::BIGINT FROM f) AS bytes, (SELECT arg_max(file_name, doc_id) FROM f) AS latest, (SELECT count(*) FROM ({CHUNKS_SQL})) AS fragments"),
     "dedupe_md5": (dedupe_md5, f"SELECT file_md5, min(doc_id) AS first_doc, count(*) AS copies FROM ({FILES_SQL}) GROUP BY file_md5"),
     "delete_reindex": (delete_reindex, f"WITH f AS ({FILES_SQL}) SELECT doc_id, file_md5, file_name FROM f WHERE file_md5 NOT IN (SELECT file_md5 FROM f WHERE file_name = 'src3') UNION ALL SELECT doc_id, file_md5, 'src3-v2' FROM f WHERE file_name = 'src3'"),
-    "tag_slugs": (tag_slugs, r"SELECT p_partkey, 'ORG_' || regexp_replace(regexp_replace(lower(p_name || ' / ' || p_brand), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS tag_id FROM part"),
+    "tag_slugs": (tag_slugs, r"WITH s AS (SELECT p_partkey, 'ORG_' || regexp_replace(regexp_replace(lower(p_brand || ' / ' || p_size), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM part), n AS (SELECT *, row_number() OVER (PARTITION BY slug ORDER BY p_partkey) AS r FROM s) SELECT p_partkey, CASE WHEN r = 1 THEN slug ELSE slug || '_' || r END AS tag_id FROM n"),
     "file_sizes": (file_sizes, f"SELECT doc_id, CASE WHEN s < 1024 THEN s || ' B' WHEN s < 1048576 THEN printf('%.1f KB', floor(s / 1024.0 * 10 + 0.5) / 10) WHEN s < 1073741824 THEN printf('%.1f MB', floor(s / 1048576.0 * 10 + 0.5) / 10) ELSE printf('%.1f GB', floor(s / 1073741824.0 * 10 + 0.5) / 10) END AS size FROM (SELECT doc_id, total_size * doc_id AS s FROM ({FILES_SQL}))"),
 }

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -76,7 +78,8 @@ def r6(c: str):
 def hybrid_search_rrf(spark: SparkSession, d: str) -> DataFrame:
     top = retrieval.fuse(lexical(spark, d, 10 * TOP), semantic(spark, d, TOP), retrieval.CHUNK, TOP)
     names = tables.files(spark, d).select("doc_id", "file_name")
-    texts = chunks(spark, d).select("doc_id", "chunk_id", F.md5("content").alias("content_md5"))
+    own = tables.files(spark, d).join(F.broadcast(top.select("doc_id").distinct()), "doc_id", "left_semi")  # TOP rows at most
+    texts = chunking.chunk_characters(own, ["doc_id"], SIZE, OVERLAP).select("doc_id", "chunk_id", F.md5("content").alias("content_md5"))
     return top.join(names, "doc_id", "left").join(texts, retrieval.CHUNK).select("rank", "doc_id", "chunk_id", "file_name", "content_md5", r6("score"))
 
 
@@ -132,7 +135,7 @@ def acl_http_predicate(spark: SparkSession, d: str) -> DataFrame:
 
 
 def reference_access_semijoin(spark: SparkSession, d: str) -> DataFrame:
-    wanted = table(spark, d, "documents").where("doc_id % 3 = 0").select("doc_id", F.md5("text").alias("file_md5"))
+    wanted = table(spark, d, "documents").select("doc_id", F.md5("text").alias("file_md5"))
     return wanted.join(tables.files(spark, d).where(access.visible(USER, TAGS)), "file_md5", "left_semi").select("doc_id", "file_md5")
 
 
@@ -157,9 +160,9 @@ def org_tag_cycle_check(spark: SparkSession, d: str) -> DataFrame:
 
 
 def tag_delete_guard_antijoin(spark: SparkSession, d: str) -> DataFrame:
-    """Tags that may be deleted: no children, no users."""
-    t = tables.tags(spark, d)
-    used = tables.users(spark, d).where("id % 3 = 0").select(F.explode(F.split("org_tags", ",")).alias("tag_id"))
+    """Tags that may be deleted: no children, no supplier in debt, not the default one"""
+    t = tables.tags(spark, d).where(F.col("tag_id") != access.DEFAULT_TAG)
+    used = table(spark, d, "supplier").where("s_acctbal < 0").select(F.concat(F.lit("N"), "s_nationkey").alias("org_tags")).select(F.explode(F.split("org_tags", ",")).alias("tag_id"))
     return t.join(t.select(F.col("parent_tag").alias("tag_id")), "tag_id", "left_anti").join(used, "tag_id", "left_anti").select("tag_id", "name")
 
 
@@ -213,11 +216,31 @@ def boilerplate_boundary_lines(spark: SparkSession, d: str) -> DataFrame:
 
 
 def evidence_snippet(spark: SparkSession, d: str) -> DataFrame:
-    first = chunks(spark, d).where("chunk_id = 1")
     anchor = F.when(F.col("doc_id") % 4 == 0, tx.anchor_text(F.col("content")))
-    return first.select("doc_id", tx.evidence_snippet(anchor, F.col("content")).alias("snippet"))
+    return chunks(spark, d).select("doc_id", "chunk_id", tx.evidence_snippet(anchor, F.col("content")).alias("snippet"))
+
+
+def boilerplate_removed(spark: SparkSession, d: str) -> DataFrame:
+    """Documents of a source as its pages, freed of the headers and footers that they share."""
+    return files.strip_boundaries(table(spark, d, "documents").select("source", "doc_id", "text"), "source", "doc_id").select("doc_id", F.md5("text").alias("text_md5"))
+
+
+def bm25_topk_indexed(spark: SparkSession, d: str) -> DataFrame:
+    """The same hits as bm25_topk from an index that is stored first; bench.py measures searches of a stored one."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    folder = f"{base.rstrip('/')}/tessera/index-{uuid.uuid4().hex}"
+    retrieval.write_index(chunks(spark, d), retrieval.CHUNK, folder)
+    hits = retrieval.search_index(spark, folder, QUERY, retrieval.CHUNK, access.visible(USER, TAGS))
+    return retrieval.ranked(hits, "bm25", retrieval.CHUNK, TOP).select("rank", "doc_id", "chunk_id", r6("bm25"))
 
 
+BOUNDARY_SQL = r"""p AS (SELECT source, doc_id, list_transform(string_split(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(11) || chr(12))) AS ls FROM documents),
+l AS (SELECT source, doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS pos FROM p), n AS (SELECT * FROM l WHERE length(line) > 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS a, row_number() OVER (PARTITION BY doc_id ORDER BY pos DESC) AS b FROM n),
+k AS (SELECT *, lower(trim(regexp_replace(regexp_replace(replace(line, chr(160), ' '), '\s+', ' ', 'g'), '\d+', '#', 'g'))) AS raw FROM o),
+r AS (SELECT source, doc_id, 'top' AS side, a AS rank, pos, CASE WHEN length(raw) BETWEEN 4 AND 120 THEN raw END AS key FROM k WHERE a <= 3 UNION ALL SELECT source, doc_id, 'bottom', b, pos, CASE WHEN length(raw) BETWEEN 4 AND 120 THEN raw END FROM k WHERE b <= 3),
+g AS (SELECT source, side, key, count(*) AS pages FROM r WHERE key IS NOT NULL GROUP BY ALL),
+shared AS (SELECT g.* FROM g JOIN (SELECT source, count(DISTINCT doc_id) AS n FROM documents GROUP BY source) t USING (source) WHERE pages >= greatest(2, least(3, n)))"""
 EMPTY_SQL = r"regexp_matches(line, '^\s*$')"
 CATALOG = {
     "hybrid_search_rrf": (hybrid_search_rrf, f"SELECT r.rank, r.doc_id, r.chunk_id, c.file_name, md5(c.content) AS content_md5, round(r.score, 6) AS score FROM ({RRF_SQL}) r JOIN ({CHUNKS_SQL}) c USING (doc_id, chunk_id) WHERE r.rank <= {TOP}"),
@@ -231,11 +254,11 @@ CATALOG = {
     "search_attach_filename": (search_attach_filename, f"WITH f AS ({FILES_SQL}) SELECT h.rank, h.doc_id, g.name AS file_name FROM {bm25_ranked_sql(VISIBLE_SQL, TOP)} h JOIN f ON f.doc_id = h.doc_id JOIN (SELECT file_md5, arg_min(file_name, doc_id) AS name FROM f GROUP BY file_md5) g ON g.file_md5 = f.file_md5"),
     "acl_accessible_files": (acl_accessible_files, f"SELECT doc_id, file_md5, org_tag, is_public FROM ({FILES_SQL}) WHERE {VISIBLE_SQL}"),
     "acl_http_predicate": (acl_http_predicate, f"SELECT doc_id, is_public OR user_id = 7 OR org_tag IN ('src-de') AS allowed FROM ({FILES_SQL})"),
-    "reference_access_semijoin": (reference_access_semijoin, f"WITH f AS ({FILES_SQL}) SELECT doc_id, file_md5 FROM f WHERE doc_id % 3 = 0 AND file_md5 IN (SELECT file_md5 FROM f WHERE {VISIBLE_SQL})"),
+    "reference_access_semijoin": (reference_access_semijoin, f"WITH f AS ({FILES_SQL}) SELECT doc_id, file_md5 FROM f WHERE file_md5 IN (SELECT file_md5 FROM f WHERE {VISIBLE_SQL})"),
     "effective_org_tags": (effective_org_tags, """WITH t AS (SELECT c_custkey AS id, unnest(['N' || c_nationkey, 'PRIVATE_' || c_custkey, 'R' || n_regionkey, 'DEFAULT']) AS tag FROM customer JOIN nation ON n_nationkey = c_nationkey) SELECT id, string_agg(tag, ',' ORDER BY tag) AS tags FROM t GROUP BY id"""),
     "org_tag_tree": (org_tag_tree, """SELECT 'R' || r_regionkey AS tag_id, NULL::VARCHAR AS parent_tag, 'R' || r_regionkey AS path, 0 AS depth FROM region UNION ALL SELECT 'N' || n_nationkey, 'R' || n_regionkey, 'R' || n_regionkey || '/N' || n_nationkey, 1 FROM nation"""),
     "org_tag_cycle_check": (org_tag_cycle_check, """SELECT 'R' || n_regionkey AS tag_id, 'N' || n_nationkey AS new_parent, true AS would_cycle FROM nation UNION ALL SELECT 'N' || n_nationkey, 'R' || ((n_regionkey + 1) % 5), false FROM nation"""),
-    "tag_delete_guard_antijoin": (tag_delete_guard_antijoin, """SELECT 'N' || n_nationkey AS tag_id, n_name AS name FROM nation WHERE n_nationkey NOT IN (SELECT c_nationkey FROM customer WHERE c_custkey % 3 = 0) UNION ALL SELECT 'R' || r_regionkey, r_name FROM region WHERE r_regionkey NOT IN (SELECT n_regionkey FROM nation)"""),
+    "tag_delete_guard_antijoin": (tag_delete_guard_antijoin, """SELECT 'N' || n_nationkey AS tag_id, n_name AS name FROM nation WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_acctbal < 0) UNION ALL SELECT 'R' || r_regionkey, r_name FROM region WHERE r_regionkey NOT IN (SELECT n_regionkey FROM nation)"""),
     "user_tags_exploded": (user_tags_exploded, "SELECT c_custkey AS id, 'N' || c_nationkey AS tag_id, n_name AS name FROM customer JOIN nation ON n_nationkey = c_nationkey"),
     "user_list_page": (user_list_page, """WITH u AS (SELECT c_custkey AS id, c_name AS username FROM customer WHERE c_nationkey = 3 AND contains(c_name, '1') AND c_custkey % 100 <> 0) SELECT id, username, (SELECT count(*) FROM u) AS total, ceil((SELECT count(*) FROM u) / 10.0)::BIGINT AS pages FROM (SELECT *, row_number() OVER (ORDER BY id) AS r FROM u) WHERE r BETWEEN 11 AND 20"""),
     "chunk_characters_overlap": (chunk_characters_overlap, f"SELECT doc_id, chunk_id, length(content)::INTEGER AS n, md5(content) AS content_md5 FROM ({CHUNKS_SQL})"),
@@ -245,6 +268,8 @@ CATALOG = {
     "chunk_smart": (chunk_smart, None),
     "line_type_histogram": (line_type_histogram, rf"""WITH l AS (SELECT unnest(string_split(text, chr(10))) AS line FROM documents), k AS (SELECT CASE WHEN {EMPTY_SQL} THEN 'EMPTY_LINE' WHEN starts_with(trim(line), '```') THEN 'CODE_BLOCK' WHEN regexp_full_match(trim(line), '\s*(第[一二三四五六七八九十百]+[章篇节]|Chapter\s+\d+|CHAPTER\s+\d+|\d+\.\s+.*).*') THEN 'CHAPTER_HEADING' WHEN regexp_full_match(trim(line), '\s*\d+\.\d+(\.\d+)?\s+.*') THEN 'SECTION_HEADING' WHEN regexp_full_match(trim(line), '\s*([-*•]|\d+[.、])\s+.*') THEN 'LIST_ITEM' WHEN regexp_full_match(trim(line), '\s*\|.*\|\s*') THEN CASE WHEN regexp_full_match(trim(line), '\s*\|[\s:-]+\|.*') THEN 'TABLE_SEPARATOR' ELSE 'TABLE_ROW' END ELSE 'PARAGRAPH' END AS kind FROM l) SELECT kind, count(*) AS n FROM k GROUP BY kind"""),
     "sentence_split": (sentence_split, r"""WITH s AS (SELECT doc_id, list_filter(string_split(regexp_replace(regexp_replace(text, '([.!?;])\s+', '\1' || chr(1), 'g'), '([。！？；])', '\1' || chr(1), 'g'), chr(1)), lambda x: length(x) > 0) AS p FROM documents) SELECT doc_id, len(p)::INTEGER AS n, md5(array_to_string(p, '|')) AS joined_md5 FROM s"""),
-    "boilerplate_boundary_lines": (boilerplate_boundary_lines, r"""WITH l AS (SELECT source, doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents), k AS (SELECT source, doc_id, pos, lower(trim(regexp_replace(regexp_replace(replace(line, chr(160), ' '), '\s+', ' ', 'g'), '\d+', '#', 'g'))) AS key FROM l), m AS (SELECT * FROM k WHERE length(key) BETWEEN 4 AND 120), r AS (SELECT *, row_number() OVER (PARTITION BY source, doc_id ORDER BY pos) AS a, row_number() OVER (PARTITION BY source, doc_id ORDER BY pos DESC) AS b FROM m), c AS (SELECT source, 'top' AS side, key, count(*) AS pages FROM r WHERE a <= 3 GROUP BY ALL UNION ALL SELECT source, 'bottom', key, count(*) FROM r WHERE b <= 3 GROUP BY ALL) SELECT c.* FROM c JOIN (SELECT source, count(DISTINCT doc_id) AS n FROM documents GROUP BY source) t USING (source) WHERE pages >= greatest(2, least(3, n))"""),
-    "evidence_snippet": (evidence_snippet, f"""WITH c AS (SELECT doc_id, content, trim(regexp_replace(content, '\\s+', ' ', 'g')) AS t FROM ({CHUNKS_SQL}) WHERE chunk_id = 1), s AS (SELECT *, list_filter(list_transform(string_split(regexp_replace(content, '([。！？!?；;])', '\\1' || chr(1), 'g'), chr(1)), lambda x: trim(x)), lambda x: length(x) >= 12)[1] AS first FROM c), b AS (SELECT doc_id, trim(regexp_replace(CASE WHEN doc_id % 4 = 0 AND length(t) > 0 THEN CASE WHEN length(t) > 120 THEN substr(t, 1, 120) || '…' ELSE t END ELSE coalesce(first, content) END, '\\s+', ' ', 'g')) AS s FROM s) SELECT doc_id, CASE WHEN length(s) > 160 THEN substr(s, 1, 160) || '…' ELSE s END AS snippet FROM b"""),
+    "boilerplate_boundary_lines": (boilerplate_boundary_lines, f"WITH {BOUNDARY_SQL} SELECT source, side, key, pages FROM shared"),
+    "boilerplate_removed": (boilerplate_removed, rf"""WITH {BOUNDARY_SQL}, m AS (SELECT r.source, r.doc_id, r.side, r.rank, r.pos, min((s.key IS NOT NULL)::INTEGER) OVER (PARTITION BY r.doc_id, r.side ORDER BY r.rank) AS run FROM r LEFT JOIN shared s ON s.source = r.source AND s.side = r.side AND s.key = r.key), c AS (SELECT doc_id, max(pos) FILTER (WHERE side = 'top') AS a, min(pos) FILTER (WHERE side = 'bottom') AS b FROM m WHERE run = 1 GROUP BY doc_id) SELECT doc_id, md5(trim(array_to_string(ls[coalesce(a, 0) + 1 : greatest(coalesce(b, len(ls) + 1) - 1, coalesce(a, 0))], chr(10)), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) AS text_md5 FROM p LEFT JOIN c USING (doc_id)"""),
+    "bm25_topk_indexed": (bm25_topk_indexed, f"SELECT rank, doc_id, chunk_id, round(bm25, 6) AS bm25 FROM {bm25_ranked_sql(VISIBLE_SQL, TOP)}"),
+    "evidence_snippet": (evidence_snippet, f"""WITH c AS (SELECT doc_id, chunk_id, content, trim(regexp_replace(content, '\\s+', ' ', 'g')) AS t FROM ({CHUNKS_SQL})), s AS (SELECT *, list_filter(list_transform(string_split(regexp_replace(content, '([。！？!?；;])', '\\1' || chr(1), 'g'), chr(1)), lambda x: trim(x)), lambda x: length(x) >= 12)[1] AS first FROM c), b AS (SELECT doc_id, chunk_id, trim(regexp_replace(CASE WHEN doc_id % 4 = 0 AND length(t) > 0 THEN CASE WHEN length(t) > 120 THEN substr(t, 1, 120) || '…' ELSE t END ELSE coalesce(first, content) END, '\\s+', ' ', 'g')) AS s FROM s) SELECT doc_id, chunk_id, CASE WHEN length(s) > 160 THEN substr(s, 1, 160) || '…' ELSE s END AS snippet FROM b"""),
 }

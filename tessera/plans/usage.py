@@ -75,7 +75,9 @@ def latency_percentiles(spark: SparkSession, d: str) -> DataFrame:
 
 
 def stagnation_runs(spark: SparkSession, d: str) -> DataFrame:
-    return memory.runs(table(spark, d, "events").select("event_id", "user_id", "event_type"), "user_id", "event_id", "event_type", 3)
+    """Errors stand for turns without a tool call."""
+    kind = F.when(F.col("event_type") != "error", F.col("event_type"))
+    return memory.runs(table(spark, d, "events").select("event_id", "user_id", kind.alias("tool")), "user_id", "event_id", "tool", 3)
 
 
 def messages_time_filter(spark: SparkSession, d: str) -> DataFrame:
@@ -151,7 +153,7 @@ CATALOG = {
     "rate_limit_anchored": (rate_limit_anchored, _RECURSE.format(rows="SELECT event_id, user_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS r FROM events WHERE event_type = 'click'", first="us AS began, 1 AS n", next="CASE WHEN e.us >= f.began + 172800000000 THEN e.us ELSE f.began END, CASE WHEN e.us >= f.began + 172800000000 THEN 1 ELSE f.n + 1 END", same="e.user_id = f.user_id", out="event_id, user_id, n <= 2 AS accepted")),
     "quota_daily_rollback": (quota_daily_rollback, _RECURSE.format(rows=f"SELECT event_id, user_id, record_date, amount, row_number() OVER (PARTITION BY user_id, record_date ORDER BY event_id) AS r FROM ({LEDGER_SQL}) WHERE change_type = 'CONSUME'", first=f"CASE WHEN amount <= {LIMIT} THEN amount ELSE 0 END AS used, amount <= {LIMIT} AS accepted", next=f"f.used + CASE WHEN f.used + e.amount <= {LIMIT} THEN e.amount ELSE 0 END, f.used + e.amount <= {LIMIT}", same="e.user_id = f.user_id AND e.record_date = f.record_date", out="event_id, user_id, record_date, amount, accepted")),
     "latency_percentiles": (latency_percentiles, "SELECT event_type, s[ceil(0.5 * n)::INTEGER] AS p50, s[ceil(0.95 * n)::INTEGER] AS p95, s[ceil(0.99 * n)::INTEGER] AS p99, mean, n FROM (SELECT event_type, list_sort(list(floor(value)::BIGINT)) AS s, count(*) AS n, floor(avg(floor(value)) + 0.5)::BIGINT AS mean FROM events GROUP BY event_type)"),
-    "stagnation_runs": (stagnation_runs, """WITH a AS (SELECT *, CASE WHEN lag(event_type) OVER w IS NOT DISTINCT FROM event_type THEN 0 ELSE 1 END AS new FROM (SELECT event_id, user_id, event_type FROM events) WINDOW w AS (PARTITION BY user_id ORDER BY event_id)), b AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY event_id) AS island FROM a), c AS (SELECT *, row_number() OVER (PARTITION BY user_id, island ORDER BY event_id)::INTEGER AS run FROM b) SELECT event_id, user_id, event_type, run, run >= 3 AS stagnant FROM c"""),
+    "stagnation_runs": (stagnation_runs, """WITH e AS (SELECT event_id, user_id, nullif(event_type, 'error') AS tool FROM events), a AS (SELECT *, CASE WHEN lag(tool) OVER w = tool THEN 0 ELSE 1 END AS new FROM e WINDOW w AS (PARTITION BY user_id ORDER BY event_id)), b AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY event_id) AS island FROM a), c AS (SELECT *, CASE WHEN tool IS NULL THEN 0 ELSE row_number() OVER (PARTITION BY user_id, island ORDER BY event_id) END::INTEGER AS run FROM b) SELECT event_id, user_id, tool, run, run >= 3 AS stagnant FROM c"""),
     "messages_time_filter": (messages_time_filter, "SELECT event_id, CASE WHEN event_id % 97 = 0 THEN 'unknown' ELSE strftime(ts, '%Y-%m-%dT%H:%M:%S') END AS stamp FROM events WHERE event_id % 97 = 0 OR date_trunc('second', ts) BETWEEN TIMESTAMP '2024-01-10 00:00:00' AND TIMESTAMP '2024-01-12 12:00:00'"),
     "json_props_parse": (json_props_parse, "SELECT event_type, sum(k)::BIGINT AS total, max(k) AS largest, count(k) AS n FROM (SELECT event_type, regexp_extract(props, '\"k\": *(\\d+)', 1)::INTEGER AS k FROM events) GROUP BY event_type"),
     "json_fact_filter": (json_fact_filter, "SELECT event_id, 'user ' || user_id || ' did ' || event_type AS content, CASE WHEN event_id % 2 = 0 THEN 'PREFERENCE' ELSE 'FACT' END AS type, 'USER' AS scope FROM events WHERE event_id % 3 <> 0"),
