@@ -148,9 +148,6 @@ def test_files(spark):
     pages = spark.createDataFrame([("f", i, f"Report Page {i}\nbody {'xyz'[i] * 5}\nthe end") for i in range(3)], "file string, page int, text string")
     keys = {(r["side"], r["key"]): r["pages"] for r in files.boundary_lines(pages, "file", "page").collect()}
     assert keys["top", "report page #"] == 3
-    parts = spark.createDataFrame([("a", 1, b"lo"), ("a", 0, b"hel"), ("b", 0, b"x")], "file_id string, part int, content binary")
-    expected = spark.createDataFrame([("a", 2), ("b", 2)], "file_id string, expected long")
-    assert [(r[0], bytes(r[1])) for r in files.merge_parts(parts, expected).collect()] == [("a", b"hello")]
     assert one(spark, files.preview(F.lit("ab\ncd\nef"), 4)) == ["ab", "cd"]
     assert one(spark, files.html_text(F.lit("<p>a&amp;b</p><script>x</script> c"))) == "a&b c"
 
@@ -198,3 +195,124 @@ def test_ingest(spark, tmp_path):
     assert spark.read.parquet(dead).first()["attempts"] == 5
     vectors = ingest.embed(spark.read.parquet(out).select("file_md5", "content"), lambda texts: [[float(len(t))] for t in texts])
     assert {r["vector"][0] for r in vectors.collect()} == {2.0, 8.0}
+
+
+def test_token_budget_and_compound_reservation(spark):
+    import random
+
+    rng = random.Random(4)
+    rows = [(i, f"2024-01-{1 + i // 8:02d} {i % 8 * 3:02d}:00:00", str(i % 3), rng.randint(0, 60)) for i in range(200)]
+    df = spark.createDataFrame(rows, "event_id long, ts string, user_id string, amount long")
+    budgets = ((100, 86_400), (250, 259_200), (0, 60))
+
+    def replay(daily, budgets):
+        """The counters one by one, as a store of keys with an expiry would keep them."""
+        import datetime
+
+        out, store = {}, {}
+        for i, ts, user, amount in rows:
+            at = datetime.datetime.fromisoformat(ts).timestamp()
+            taken, fits = [], True
+            for name, limit, seconds in [((user, ts[:10]), daily, None), *(((user, k), lim, sec) for k, (lim, sec) in enumerate(budgets))]:
+                if limit <= 0 or (seconds is not None and seconds <= 0):
+                    continue
+                value, expiry = store.get(name, (0, None))
+                if expiry is not None and at >= expiry:
+                    value, expiry = 0, None
+                value += amount
+                if seconds is not None and value == amount:
+                    expiry = at + seconds
+                if value > limit:
+                    store[name] = (value - amount, expiry)
+                    fits = False
+                    break
+                store[name] = (value, expiry)
+                taken.append(name)
+            if not fits:
+                for name in taken:
+                    store[name] = (store[name][0] - amount, store[name][1])
+            out[i] = fits
+        return out
+
+    got = {r["event_id"]: r["accepted"] for r in usage.compound_reservations(df, 80, budgets).collect()}
+    assert got == replay(80, budgets) and len(set(got.values())) == 2
+    got = {r["event_id"]: r["accepted"] for r in usage.token_budgets(df, 120, 172_800).collect()}
+    assert got == replay(0, ((120, 172_800),)) and len(set(got.values())) == 2
+    assert all(r["accepted"] for r in usage.token_budgets(df, 0, 60).collect())
+
+
+def test_runtime_compaction(spark):
+    rows = [(1, i, "user", f"word{i} " * 30, 100) for i in range(20)] + [(2, i, "user", "x", 1) for i in range(20)] + [(3, i, "user", "y", 4000) for i in range(12)]
+    df = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string, tokens long")
+    out = [tuple(r) for r in memory.compact_runtime(df, lambda texts: f"{len(texts)}:{texts[0].split()[0]}", least=2000, retain=12).collect()]
+    assert sorted(r[:2] for r in out) == sorted([(1, 0), *((1, i) for i in range(8, 20)), *((2, i) for i in range(20)), *((3, i) for i in range(12))])
+    assert [r for r in out if r[2] == "system"] == [(1, 0, "system", "[短期运行记忆摘要] 2:1:word0")]
+    kept = memory.compact_runtime(df, lambda texts: " ", least=2000, retain=12).collect()
+    assert sum(r["conv_id"] == 1 for r in kept) == 12 and {r["role"] for r in kept} == {"user"}
+
+
+def test_empty_turns_end_a_run(spark):
+    values = ["a", "a", "a", None, None, None, "a", "b", "b", "b"]
+    df = spark.createDataFrame([(1, i, v) for i, v in enumerate(values)], "k long, i long, v string")
+    out = sorted((r["i"], r["run"], r["stagnant"]) for r in memory.runs(df, "k", "i", "v").collect())
+    assert [r[1] for r in out] == [1, 2, 3, 0, 0, 0, 1, 1, 2, 3] and [r[0] for r in out if r[2]] == [2, 9]
+
+
+def test_parts_are_accepted_once_and_composed(spark, tmp_path):
+    parts = [(1, 0, b"a" * 10, 0), (1, 1, b"b" * 7, 1), (1, 1, b"zz", 2), (2, 0, b"c", 0), (3, 1, b"e", 0), (3, 0, b"d", 1)]
+    df = spark.createDataFrame(parts, "file_id long, part int, content binary, seq long")
+    new = files.accept_parts(df.where("file_id = 2"), df).collect()
+    assert sorted((r["file_id"], r["part"], bytes(r["content"])) for r in new) == [(1, 0, b"a" * 10), (1, 1, b"b" * 7), (3, 0, b"d"), (3, 1, b"e")]
+    first = spark.createDataFrame([tuple(r)[:2] + (bytes(r["content"]),) for r in new] + [(2, 0, b"c")], "file_id long, part int, content binary")
+    expected = spark.createDataFrame([(1, 2), (2, 3), (3, 2)], "file_id long, expected long")
+    out = files.merge_parts(first, expected, f"file://{tmp_path}/whole").collect()
+    assert {r["file_id"]: (open(r["path"].removeprefix("file://"), "rb").read(), r["bytes"]) for r in out} == {1: (b"a" * 10 + b"b" * 7, 17), 3: (b"de", 2)}
+
+
+def test_headers_and_footers_go(spark):
+    wide = "".join(chr(ord(c) + 0xFEE0) for c in "Report")
+    pages = [("f", 1, "Report 1\n\nBody one\nmore\nPage 1\n"), ("f", 2, f"{wide} 2\r\nBody two\r\nReport 7\r\nlast\r\nPage 2"), ("f", 3, "Own head\nReport 3\nBody three\nPage 3"), ("f", 4, " \n"), ("g", 1, "Report 1\nalone")]
+    df = spark.createDataFrame(pages, "file string, page int, text string")
+    got = {(r["file"], r["page"]): r["text"] for r in files.strip_boundaries(df, "file", "page").collect()}
+    assert got == {("f", 1): "Body one\nmore", ("f", 2): "Body two\nReport 7\nlast", ("f", 3): "Own head\nReport 3\nBody three", ("f", 4): "", ("g", 1): "Report 1\nalone"}
+
+
+def test_token_estimate_of_odd_texts(spark):
+    import math
+    import unicodedata
+
+    def plain(t):
+        units = {"a": 0, "c": 0, "o": 0}
+        for c in t:
+            if c in " \t\n\x0b\f\r":
+                continue
+            if ord(c) > 0xFFFF:
+                units["o"] += 2
+            elif c < "\x80":
+                units["a"] += 1
+            else:
+                name = unicodedata.name(c, "")
+                units["c" if any(name.startswith(x) for x in ("CJK UNIFIED", "HIRAGANA LETTER", "KATAKANA LETTER", "HANGUL SYLL")) else "o"] += 1
+        return max(1, math.ceil(units["a"] * 0.30 + units["c"] * 0.95 + units["o"] * 0.55 + 12)) if any(units.values()) else 0
+
+    texts = ["", "  \n", "plain words", "mixed 中文 and ひらがな カタカナ 한글", "é ü ß", "😀 x", "\U00020000中", "ab" * 1000]
+    df = spark.createDataFrame([(t,) for t in texts] + [(None,)], "t string")
+    assert [r["n"] for r in df.select(tx.estimate_tokens(df.t).alias("n")).collect()] == [plain(t) for t in texts] + [0]
+
+
+def test_protected_blocks():
+    found = [(b["kind"], b["start"], b["end"]) for b in chunking._protected("a\n```\n|x|\n```\n|a|b|\n|-|-|\nz\n ```open\n|t|")]
+    assert found == [("CODE_BLOCK", 2, 13), ("CODE_BLOCK", 29, 40), ("TABLE_ROW", 6, 10), ("TABLE_ROW", 14, 26), ("TABLE_ROW", 37, 40)]
+
+
+def test_stored_index_gives_the_same_scores(spark, tmp_path):
+    import random
+
+    rng = random.Random(2)
+    rows = [(i, j, " ".join(rng.choice("alpha beta gamma delta eps".split()) for _ in range(rng.randint(1, 30)))) for i in range(40) for j in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, chunk_id long, content string").selectExpr("*", "doc_id % 2 = 0 AS is_public")
+    retrieval.write_index(df, ["doc_id", "chunk_id"], f"file://{tmp_path}/index", buckets=4)
+    for allowed in (None, F.col("is_public")):
+        plain = {(r[0], r[1]): round(r[2], 9) for r in retrieval.bm25(df, ["alpha", "eps", "none"], ["doc_id", "chunk_id"], allowed).collect()}
+        stored = {(r[0], r[1]): round(r[2], 9) for r in retrieval.search_index(spark, f"file://{tmp_path}/index", ["alpha", "eps", "none"], ["doc_id", "chunk_id"], allowed).collect()}
+        assert plain == stored and plain
