@@ -235,7 +235,7 @@ def _block_links(num: int, den: int):
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         node, c, block = pdf["node"].to_numpy(), pdf["c"].to_numpy(), pdf["block"].to_numpy()
-        lo, hi = int(pdf["lo"].iloc[0]), int(pdf["hi"].iloc[0])
+        lo, hi = pdf["lo"].iloc[0], pdf["hi"].iloc[0]
         size = np.array([len(t) for t in pdf["tokens"]], np.int64)
         _, at, times = np.unique(np.concatenate(list(pdf["tokens"])), return_inverse=True, return_counts=True)
         row = np.repeat(np.arange(len(node)), size)
@@ -277,8 +277,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
 
     Equal word sequences are one node throughout, so copies cost one row each. Sets that share a key are first compared with at most
     LEADERS of them. The rows of keys whose others then lie in different components are the open ones. They are gathered by the smallest
-    set of their key and by size, as sets that link differ in size by less than den / num; within such a group the
-    sets are compared in blocks of about BLOCK, between components. Groups aren't joined to larger ones, so a chain of keys stays
+    component of their key and by size, as sets that link differ in size by at most den / num; within such a group the
+    sets are compared in blocks of about BLOCK. A component of more than a block's sets has blocks of its own, which don't meet each other, so a
+    large component costs its size times what is outside it. Groups aren't joined to larger ones, so a chain of keys stays
     a chain of small groups. Only a spanning forest of each block's links is written, never the pairs. Keys with over SPREAD rows are
     spread over several tasks.
 
@@ -325,14 +326,24 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     # pairs of a key that no leader is part of, and that are not in one component yet
     rest = salted.join(leaders, ["sig", "salt"]).where("node <> a").select("sig", "part", "node", "n").join(part, "node", "left").select("sig", "part", "node", "n", F.coalesce("c", "node").alias("c"))
     rest = written(rest, "rest")
-    open_ = written(rest.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min("node").alias("hub")).where("lo < hi").select("sig", "hub"), "open")
+    open_ = written(rest.groupBy("sig").agg(F.min("c").alias("hub"), F.max("c").alias("hi")).where("hub < hi").select("sig", "hub"), "open")
     size_class = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(den / num)) + 1e-9).cast("int") if num < den else F.col("n").cast("int")
     near_by = rest.join(everywhere(open_), ["sig", "part"]).select("node", "hub", "c", size_class.alias("own")).distinct()
     groups = written(near_by.select("node", "c", "own", "hub", F.explode(F.array("own", F.col("own") + 1)).alias("class")), "groups")
-    blocks = groups.groupBy("hub", "class").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.min("c").alias("lo"), F.max("c").alias("hi"), F.max("own").alias("top"))
-    blocks = blocks.where("lo < hi and top = class").drop("lo", "hi", "top")  # sets below a class alone meet in their own
-    own = groups.join(blocks, ["hub", "class"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    sent = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("hub", "class", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "node", "c")
+    by_part = groups.groupBy("hub", "class", "c").agg(F.count("*").alias("m"), F.max("own").alias("top")).withColumn("big", F.col("m") >= BLOCK)
+    label = lambda c, i: F.concat_ws("/", c.cast("string"), i.cast("string"))
+    blocks_of = lambda m: F.ceil(m / BLOCK).cast("int")
+    numbered = lambda n, c: F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(c.alias("c"), label(c, i).alias("name")))
+    own_blocks = F.flatten(F.collect_list(F.when(F.col("big"), numbered(blocks_of(F.col("m")), F.col("c")))))
+    whole = by_part.groupBy("hub", "class").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.max("top").alias("top"), blocks_of(F.sum(F.when(F.col("big"), 0).otherwise(F.col("m")))).alias("mixed"), own_blocks.alias("bigs"))
+    whole = whole.where("lo < hi and top = class").drop("lo", "hi", "top")  # sets below a class alone meet in their own
+    small = F.when(F.col("mixed") > 0, numbered(F.greatest("mixed", F.lit(1)), F.lit(None).cast("long"))).otherwise(F.array())
+    whole = whole.select("hub", "class", "mixed", F.concat("bigs", small).alias("all"))
+    own = groups.join(by_part.drop("top"), ["hub", "class", "c"]).join(whole, ["hub", "class"])
+    part_of = F.when(F.col("big"), F.col("c"))
+    block = label(part_of, F.pmod(F.xxhash64("node"), F.when(F.col("big"), blocks_of(F.col("m"))).otherwise(F.col("mixed"))))
+    own = own.withColumns({"block": block, "others": F.transform(F.filter("all", lambda o: ~F.coalesce(o["c"] == part_of, F.lit(False))), lambda o: o["name"])})
+    sent = own.withColumn("other", F.explode("others")).select("hub", "class", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "node", "c")
     more = written(sent.join(sets, "node").groupBy("hub", "class", "lo", "hi").applyInPandas(_block_links(num, den), "a long, b long"), "links")
     if more.limit(1).count():
         part = components(edges.union(more), "a", "b").withColumnsRenamed({"component": "c"})
