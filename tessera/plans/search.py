@@ -71,12 +71,17 @@ def semantic(spark: SparkSession, d: str, n: int, filtered: bool = True) -> Data
     return retrieval.knn(rows, query_vector(spark, d), retrieval.CHUNK, n)
 
 
+def few(hits: DataFrame) -> DataFrame:
+    """The rows of a ranked list (a few, by its limit), computed once, since what is attached to them reads them more than once."""
+    return hits.sparkSession.createDataFrame(hits.collect(), hits.schema)
+
+
 def r6(c: str):
     return F.round(c, 6).alias(c)
 
 
 def hybrid_search_rrf(spark: SparkSession, d: str) -> DataFrame:
-    top = retrieval.fuse(lexical(spark, d, 10 * TOP), semantic(spark, d, TOP), retrieval.CHUNK, TOP)
+    top = few(retrieval.fuse(lexical(spark, d, 10 * TOP), semantic(spark, d, TOP), retrieval.CHUNK, TOP))
     names = tables.files(spark, d).select("doc_id", "file_name")
     own = tables.files(spark, d).join(F.broadcast(top.select("doc_id").distinct()), "doc_id", "left_semi")  # TOP rows at most
     texts = chunking.chunk_characters(own, ["doc_id"], SIZE, OVERLAP).select("doc_id", "chunk_id", F.md5("content").alias("content_md5"))

@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from tessera.functions import text as tx
 from tessera.operators import chunking, files, memory, retrieval, usage
 from tessera.plans.knowledge import tokens_sql
-from tessera.plans.search import FILES_SQL, QUERY, RRF_SQL, TOP, VISIBLE_SQL, bm25_ranked_sql, chunks, hybrid_search_rrf, lexical
+from tessera.plans.search import FILES_SQL, QUERY, RRF_SQL, TOP, VISIBLE_SQL, bm25_ranked_sql, chunks, few, hybrid_search_rrf, lexical
 from tessera.plans.usage import _RECURSE, LEDGER_SQL, LIMIT, SNAPSHOT_SQL
 from tessera.sources import tables
 from tessera.sources.tables import table
@@ -85,7 +85,7 @@ def file_rows(spark: SparkSession, d: str) -> DataFrame:
 
 def reference_map(spark: SparkSession, d: str) -> DataFrame:
     """[n] -> reference of the latest search's hits, as a map, exploded."""
-    hits = hybrid_search_rrf(spark, d)
+    hits = few(hybrid_search_rrf(spark, d))
     ref = F.struct("doc_id", "chunk_id", F.coalesce("file_name", F.lit("unknown")).alias("file_name"), "content_md5", "score")
     whole = hits.agg(F.map_from_entries(F.collect_list(F.struct(F.col("rank").alias("key"), ref.alias("value")))).alias("mapping"))  # TOP entries
     return whole.select(F.explode("mapping").alias("reference", "r")).select("reference", "r.*")
@@ -93,7 +93,7 @@ def reference_map(spark: SparkSession, d: str) -> DataFrame:
 
 def search_results_text(spark: SparkSession, d: str) -> DataFrame:
     """The tool's answer as one text."""
-    top = lexical(spark, d, 5)
+    top = few(lexical(spark, d, 5))
     own = tables.files(spark, d).join(F.broadcast(top.select("doc_id").distinct()), "doc_id", "left_semi")  # 5 rows at most
     texts = chunking.chunk_characters(own, ["doc_id", "file_md5", "file_name"], 512, 51)
     one = F.concat(
