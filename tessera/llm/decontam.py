@@ -3,6 +3,8 @@
 A stretch of a document within k edits of a window of w characters of a benchmark item shares at least w + 1 - q (k + 1) of the
 window's q-grams, all of them within k diagonals. Shared q-grams are counted in bands of 2k diagonals that begin every k
 diagonals, so some band holds all of a stretch's; every window that reaches the bound in a band is verified by banded alignment.
+
+The bound is above 0 only if q <= w / (k + 1). Items too short for that at the given q are indexed by shorter q-grams.
 """
 
 from __future__ import annotations
@@ -94,8 +96,14 @@ def bounds(n: int, q: int, window: int, rate: float) -> tuple[int, int, int]:
 
 
 def index_items(rows: list[tuple[int, str | None]], q: int, least: int, window: int, rate: float) -> list[Items]:
-    kept = [(i, _codes(normal(t).replace("\0", " "))) for i, t in rows]
-    return [_index([(i, c) for i, c in kept if len(c) >= least], q, window, rate)]
+    """An index for each length of q-grams: q, or for a short item the longest that leaves its bound above 0."""
+    by_q = {}
+    for i, t in rows:
+        c = _codes(normal(t).replace("\0", " "))
+        if len(c) >= max(1, least):
+            w, k, _ = bounds(len(c), q, window, rate)
+            by_q.setdefault(max(1, min(q, w // (k + 1))), []).append((i, c))
+    return [_index(kept, own, window, rate) for own, kept in sorted(by_q.items())]
 
 
 def _index(kept: list[tuple[int, np.ndarray]], q: int, window: int, rate: float) -> Items:
@@ -142,6 +150,16 @@ def _verbatim(pattern: np.ndarray, codes: np.ndarray, diagonal: int, w: int, lo:
     return a + np.flatnonzero(same[w:] - same[:-w] == w)
 
 
+def _inside_word(a: int, b: int) -> bool:
+    """Whether a word goes on from character a to b; scripts without spaces (from U+2E80) have no such words."""
+    return max(a, b) < 0x2E80 and chr(a).isalnum() and chr(b).isalnum()
+
+
+def _whole_words(codes: np.ndarray, begin: np.ndarray, w: int) -> np.ndarray:
+    """Which stretches of w characters cut no word."""
+    return np.array([not (b > 0 and _inside_word(codes[b - 1], codes[b])) and not (b + w < len(codes) and _inside_word(codes[b + w - 1], codes[b + w])) for b in begin.tolist()], bool)
+
+
 def align_windows(pattern: np.ndarray, codes: np.ndarray, starts: np.ndarray, w: int, k: int, low: int, width: int) -> tuple[np.ndarray, ...]:
     """(window's start, edits, start and end in codes) of the nearest stretch to each window of the pattern that has one within k.
 
@@ -210,44 +228,48 @@ def find_in(codes: np.ndarray, items: Items, window: int, rate: float, hits: np.
         diagonals, grams = np.unique(place[x] - at[x], return_counts=True)
         for d in diagonals[grams > w - items.q].tolist():
             same = _verbatim(pattern, codes, d, w, int(starts[0]), int(starts[-1]))
+            if not k:
+                same = same[_whole_words(codes, same + d, w)]
             add(it, same, w, same + d, same + d + w, np.zeros(1, np.int64))
             starts = np.setdiff1d(starts, same, assume_unique=True)
             if not len(starts):
                 break
+        if not k:
+            continue
         for a in range(0, len(starts), 1024):
             found, edits, begin, end = align_windows(pattern, codes, starts[a : a + 1024], w, k, low, 2 * step)
             add(it, found, w, begin, end, edits)
     return sorted((items.ids[it], *span) for it, span in spans.items())
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 80, rate: float = 0.075, q: int = 10, block_chars: int = 16 << 20) -> DataFrame:
+def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 80, rate: float = 0.075, q: int = 10, block_chars: int = 16 << 20, least: int = 10) -> DataFrame:
     """doc_id, item_id, doc_start, doc_end, item_start, item_end, edits: one row for each (doc_id, item_id) with a match.
 
     Texts are compared in lower case with runs of white space as one space; positions count characters of that form. A match
     is a stretch of the document within rate * w edits of w consecutive characters of the item, w the smaller of `window`
-    and the item's length. The row spans all verified stretches; edits is the largest of theirs.
+    and the item's length. Where that leaves no edit (items of fewer than 14 characters by the defaults), a match also cuts no
+    word. The row spans the verified stretches; edits is the largest of theirs.
 
-    Null or empty texts and items shorter than two q-grams match nothing. Null doc_id or item_id are reported as they are;
+    Null or empty texts match nothing, nor do items of fewer than `least` characters: such words stand in clean texts, too. Null doc_id or item_id are reported as they are;
     repeated rows each count, so their matches merge into one row. Extra columns are ignored. No documents or no items: no
     rows.
 
     The index of at most block_chars characters of items goes to the workers at a time; a larger benchmark takes several
     passes over the documents. The texts are not shuffled; only matches are.
     """
-    least = 2 * q
     out = None
     for shared in _blocks(docs, benchmark, block_chars):
         out = _search(docs, shared, window, rate, q, least) if out is None else out.union(_search(docs, shared, window, rate, q, least))
     return out.groupBy("doc_id", "item_id").agg(*(f(c).alias(c) for f, c in ((F.min, "doc_start"), (F.max, "doc_end"), (F.min, "item_start"), (F.max, "item_end"), (F.max, "edits"))))
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 80, rate: float = 0.075, q: int = 10, block_chars: int = 16 << 20) -> DataFrame:
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 80, rate: float = 0.075, q: int = 10, block_chars: int = 16 << 20, least: int = 10) -> DataFrame:
     """The rows of docs, all columns, whose text matches no item in the sense of find_contamination.
 
     Each row is judged by its own text, whether doc_id is null, repeated or missing. Nothing is shuffled or joined.
     """
     for shared in _blocks(docs, benchmark, block_chars):
-        docs = _without(docs, shared, window, rate, q, 2 * q)
+        docs = _without(docs, shared, window, rate, q, least)
     return docs
 
 
@@ -264,6 +286,8 @@ def _blocks(docs: DataFrame, benchmark: DataFrame, block_chars: int):
 def _matches(texts: list[str | None], index: list[Items], window: int, rate: float) -> list[tuple[int, int, int, int, int, int, int]]:
     """(number of the text, item, document start, end, item start, end, edits)."""
     rows = []
+    if not index:
+        return rows
     for start in range(0, len(texts), 200):
         some = [normal(t) for t in texts[start : start + 200]]
         codes = _codes(("\0" * max(x.q for x in index)).join(some))  # no item holds such a character

@@ -159,7 +159,7 @@ def _spans(text, pattern, window=80, rate=0.075):
 
 
 def _found(texts, items):
-    index = decontam.index_items(list(enumerate(items)), 10, 20, 80, 0.075)
+    index = decontam.index_items(list(enumerate(items)), 10, 10, 80, 0.075)
     return {(m[0], m[1]): (m[4], m[5], m[6]) for m in decontam._matches(texts, index, 80, 0.075)}
 
 
@@ -190,3 +190,32 @@ def test_other_items_of_a_block_hide_nothing():
     assert want == {(0, 0): _spans(text, item)}
     for n in (53, 66, 79):
         assert _found([text], [item, letters(n)]) == want
+
+
+def test_short_items():
+    rng = random.Random(7)
+    letters = lambda n: "".join(rng.choice("abcdefghij") for _ in range(n))
+    items = [letters(n) for n in range(10, 45)] + [letters(200), letters(9)]
+    texts, want = [], set()
+    for n, item in enumerate(items):
+        for edits in range(5):
+            part = list(item)
+            for _ in range(edits):
+                j = rng.randrange(len(part))
+                part[j : j + rng.randrange(2)] = rng.choice(["", "x", "y"])
+            texts.append(f"{letters(30)} {''.join(part)}. {letters(30)}")
+    for i, t in enumerate(texts):
+        for n, item in enumerate(items[:-1]):
+            if len(item) >= 14 and _spans(t, item):
+                want.add((i, n))
+            elif len(item) < 14 and t.split(" ")[1].rstrip(".") == item:
+                want.add((i, n))
+    index = decontam.index_items(list(enumerate(items)), 10, 10, 80, 0.075)
+    assert len(index) > 2
+    assert {m[:2] for m in decontam._matches(texts, index, 80, 0.075)} == want and len(want) > 60
+
+
+def test_short_items_cut_no_word():
+    index = decontam.index_items([(0, "the capital"), (1, "北京是中国的首都城市")], 10, 10, 80, 0.075)
+    texts = ["(The  CAPITAL), it is", "bathe capitals", "the capitals", "我们知道北京是中国的首都城市吗", "the capital", None, ""]
+    assert sorted(m[:2] for m in decontam._matches(texts, index, 80, 0.075)) == [(0, 0), (3, 1), (4, 0)]
