@@ -4,10 +4,9 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import cache
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -58,50 +57,60 @@ def learn(docs: DataFrame, docs_each: int = 2000, chars_each: int = 600, level:
     return Languages(names, tuple(texts[n].rjust(size, b"\0") for n in names), level, chunk)
 
 
-@cache
-def _tiers(model: Languages) -> tuple[int, ...]:
-    """For each language, t such that its dictionary has about 1 / 4**t of the largest one's bytes, up to a factor of 2."""
-    lengths = [len(d.lstrip(b"\0")) for d in model.dictionaries]
-    return tuple(round(math.log(max(lengths) / n, 4)) for n in lengths)
-
-
-@cache
-def _compressor(model: Languages, language: int, tier: int):
-    """With the language's dictionary, cut to the bytes of the tier if it is larger."""
-    import zstandard
-
-    whole = model.dictionaries[language]
-    raw = whole.lstrip(b"\0")
-    if _tiers(model)[language] < tier:
-        raw = raw[-max(1, len(whole) >> (2 * tier)) :]
-    d = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-    d.precompute_compress(level=model.level)
-    return zstandard.ZstdCompressor(level=model.level, dict_data=d, write_content_size=False, write_dict_id=False)
-
-
 def has_letter(text: str) -> bool:
     return any(map(str.isalpha, text))
 
 
-def sizes(model: Languages, text: str) -> dict[int, np.ndarray]:
-    """By tier, compressed bytes of the whole plain text with each dictionary, cut to that tier. Long texts are compressed in
-    chunks, so that every part meets the dictionary and not only the text before it."""
-    raw = plain(text)
-    pieces = [raw[i : i + model.chunk] for i in range(0, len(raw), model.chunk)]
-    out = {}
-    for tier in sorted(set(_tiers(model))):
-        out[tier] = np.array([sum(len(_compressor(model, n, tier).compress(p)) for p in pieces) if t <= tier else 0 for n, t in enumerate(_tiers(model))])
-    return out
-
-
-def advantage(model: Languages, found: dict[int, np.ndarray], a: int, b: int) -> float:
-    """By what share of a's size b's is larger (negative: smaller). The language with the larger dictionary counts with the
-    geometric mean of its sizes with the whole dictionary and with one cut to the other's bytes: neither does the mere
-    amount of text decide against a rare language, nor the noise of a few bytes against a frequent one."""
-    tiers = _tiers(model)
-    low = max(tiers[a], tiers[b])
-    x, y = (float(found[tiers[n]][n]) * float(found[low][n]) for n in (a, b))
-    return math.sqrt(y / x) - 1
+class Judge:
+    """Compressors of a model, made once a task: looking them up by the model would compare whole dictionaries at each call."""
+
+    def __init__(self, model: Languages):
+        self.model = model
+        lengths = [len(d.lstrip(b"\0")) for d in model.dictionaries]
+        #: For each language, t such that its dictionary has about 1 / 4**t of the largest one's bytes, up to a factor of 2.
+        self.tiers = [round(math.log(max(lengths) / n, 4)) for n in lengths]
+        self.order = sorted(range(len(lengths)), key=lambda n: (self.tiers[n], n))
+        self.compressors = {(n, tier): self._compressor(n, tier) for tier in set(self.tiers) for n, t in enumerate(self.tiers) if t <= tier}
+
+    def _compressor(self, language: int, tier: int):
+        """With the language's dictionary, cut to the bytes of the tier if it is larger."""
+        import zstandard
+
+        whole = self.model.dictionaries[language]
+        raw = whole.lstrip(b"\0")
+        if self.tiers[language] < tier:
+            raw = raw[-max(1, len(whole) >> (2 * tier)) :]
+        d = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        d.precompute_compress(level=self.model.level)
+        return zstandard.ZstdCompressor(level=self.model.level, dict_data=d, write_content_size=False, write_dict_id=False)
+
+    def sizes(self, text: str) -> dict[tuple[int, int], float]:
+        """By language and tier, compressed bytes of the whole plain text with the dictionary cut to that tier. Long texts are
+        compressed in chunks, so that every part meets the dictionary and not only the text before it."""
+        raw, chunk = plain(text), self.model.chunk
+        pieces = [raw[i : i + chunk] for i in range(0, len(raw), chunk)]
+        return {key: float(sum(len(c.compress(p)) for p in pieces)) for key, c in self.compressors.items()}
+
+    def advantage(self, found: dict[tuple[int, int], float], a: int, b: int) -> float:
+        """By what share of a's size b's is larger (negative: smaller). The language with the larger dictionary counts with the
+        geometric mean of its sizes with the whole dictionary and with one cut to the other's bytes: neither does the mere
+        amount of text decide against a rare language, nor the noise of a few bytes against a frequent one."""
+        low = max(self.tiers[a], self.tiers[b])
+        x, y = (found[n, self.tiers[n]] * found[n, low] for n in (a, b))
+        return math.sqrt(y / x) - 1
+
+    def judge(self, text: str | None) -> tuple[str, float]:
+        """The language and by what share of its size the second smallest is larger; see identify()."""
+        names = self.model.names
+        if not text or not names or not has_letter(text):
+            return UNKNOWN, 0.0
+        if len(names) == 1:
+            return names[0], math.inf
+        s, best = self.sizes(text), self.order[0]
+        for n in self.order[1:]:
+            if self.advantage(s, best, n) < 0:
+                best = n
+        return names[best], max(0.0, min(self.advantage(s, best, n) for n in self.order if n != best))
 
 
 def identify(docs: DataFrame, model: Languages, margin: float = 0.01) -> DataFrame:
@@ -122,22 +131,15 @@ def identify(docs: DataFrame, model: Languages, margin: float = 0.01) -> DataFra
     prepare(docs.sparkSession)
 
     @F.pandas_udf("lang string, score double, accepted boolean")
-    def predict(texts: pd.Series) -> pd.DataFrame:
-        rows, order = [], sorted(range(len(model.names)), key=lambda n: (_tiers(model)[n], n))
-        for t in texts:
-            if not t or not model.names or not has_letter(t):
-                rows.append((UNKNOWN, 0.0, False))
-                continue
-            if len(model.names) == 1:
-                rows.append((model.names[0], 1.0, True))
-                continue
-            s, best = sizes(model, t), order[0]
-            for n in order[1:]:
-                if advantage(model, s, best, n) < 0:
-                    best = n
-            x = max(0.0, min(advantage(model, s, best, n) for n in order if n != best))
-            rows.append((model.names[best], float(x / (x + 0.05)), bool(x >= margin)))
-        return pd.DataFrame(rows, columns=["lang", "score", "accepted"])
+    def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        judge = Judge(model)
+        for texts in batches:
+            rows = []
+            for t in texts:
+                lang, x = judge.judge(t)
+                score = 1.0 if x == math.inf else x / (x + 0.05)
+                rows.append((lang, float(score), bool(x >= margin and lang != UNKNOWN)))
+            yield pd.DataFrame(rows, columns=["lang", "score", "accepted"])
 
     out = docs.withColumn("__p", predict("text"))
     return out.withColumns({"lang_pred": F.col("__p.lang"), "score": F.col("__p.score"), "accepted": F.col("__p.accepted")}).drop("__p")
