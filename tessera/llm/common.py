@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import uuid
 from pathlib import Path
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,6 +72,14 @@ def parts_for(df: DataFrame, target: int) -> int:
     return int(max(df.sparkSession.sparkContext.defaultParallelism, min(n, 1_000_000)))
 
 
+def let_go() -> None:
+    """Give freed memory back to the system, since a worker process lives on through later tasks and stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's
+    if trim is not None:
+        trim(0)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit values."""
     x = x.astype(np.uint64, copy=True)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import mix, prepare
+from tessera.llm.common import let_go, mix, prepare
 
 U = np.uint64
 BITS = 22
@@ -323,5 +323,6 @@ def _without(docs: DataFrame, shared, window: int, rate: float, q: int, least: i
         for texts in batches:
             found = {m[0] for m in _matches(texts.tolist(), index, window, rate)}
             yield pd.Series([i not in found for i in range(len(texts))], dtype=bool)
+        let_go()
 
     return docs.where(clean("text"))

@@ -19,11 +19,13 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from tessera.llm.common import let_go
+
 #: Pieces remembered by each Python worker, about 200 bytes each; beyond that, the later half of them is forgotten, as what is
 #: frequent came early.
 REMEMBER = 1_300_000
 #: Bytes of text that are split at a time; a longer text stands alone.
-AT_ONCE = 16 << 20
+AT_ONCE = 4 << 20
 
 _LATIN = re.compile(r"( ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([.,;:!?]*)")
 _PLAIN = re.compile(r" ?\S(?:.*\S)?", re.DOTALL)
@@ -208,8 +210,11 @@ def gathered(batches: Iterator[pa.RecordBatch], column: str = "text", size: int
         if n >= size:
             yield pa.Table.from_batches(held)
             held, n = [], 0
+            let_go()
     if held:
         yield pa.Table.from_batches(held)
+    held.clear()
+    let_go()
 
 
 @cache
