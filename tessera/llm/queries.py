@@ -96,6 +96,12 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.impact_search import search
+
+    return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=20)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_index": op1_token_index,
     "op2_embedding_dedup": op2_embedding_dedup,
@@ -107,6 +113,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sharding": op8_sharding,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_substring_dedup": op10_substring_dedup,
+    "op12_ranked_search": op12_ranked_search,
 }
 
 _WHITE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -114,6 +121,7 @@ _WHITE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _WORDS = """d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce({text}, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS ws FROM documents),
 w AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS pos FROM d)"""
 _ASCII_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_TERMS = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _REACH = """m AS (SELECT a, b FROM p UNION SELECT b, a FROM p), r AS (SELECT a, b FROM m UNION SELECT r.a, m.b FROM r JOIN m ON r.b = m.a), c AS (SELECT a, min(b) AS low FROM r GROUP BY a)"""
 
 SQL: dict[str, str] = {
@@ -152,5 +160,16 @@ f AS (SELECT t, min(doc_id) AS first FROM g WHERE size = 13 GROUP BY t),
 gone AS (SELECT DISTINCT doc_id, pos + j AS pos FROM (SELECT g.doc_id, g.pos, unnest(generate_series(0, 12)) AS j FROM g JOIN f ON f.t = g.t WHERE g.size = 13 AND f.first < g.doc_id)),
 k AS (SELECT w.doc_id, count(*) AS n, count(gone.pos) AS lost, string_agg(word, ' ' ORDER BY w.pos) FILTER (WHERE gone.pos IS NULL) AS kept FROM w LEFT JOIN gone ON gone.doc_id = w.doc_id AND gone.pos = w.pos GROUP BY w.doc_id)
 SELECT doc_id, coalesce(n, 0) AS n_words, coalesce(lost, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM documents LEFT JOIN k USING (doc_id)
+""",
+    "op12_ranked_search": f"""
+WITH d AS (SELECT doc_id, regexp_extract_all({_ASCII_LOWER}, '{_TERMS}') AS ts FROM documents),
+t AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(ts) AS term FROM d) GROUP BY ALL),
+s AS (SELECT count(*) AS n_docs, sum(len(ts))::BIGINT AS all_terms FROM d WHERE len(ts) > 0),
+m AS (SELECT doc_id, 75 + (25 * len(ts) * n_docs) // all_terms AS m FROM d, s WHERE len(ts) > 0),
+q AS (SELECT item_id, term, count(*) AS c FROM (SELECT item_id, unnest(regexp_extract_all({_ASCII_LOWER}, '{_TERMS}')) AS term FROM benchmark) GROUP BY ALL),
+w AS (SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM t, s GROUP BY term, n_docs),
+h AS (SELECT item_id, doc_id, sum(c * w * ((1000000000 * tf) // (1000 * tf + 12 * m)))::BIGINT AS score FROM q JOIN t USING (term) JOIN w USING (term) JOIN m USING (doc_id) GROUP BY ALL),
+r AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score FROM h WHERE score > 0)
+SELECT * FROM r WHERE rank <= 20
 """,
 }
