@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import impact_search
+from tessera.llm import impact_search, whitening
 from tests.llm.helpers import corpus, empty, frame, prose
 
 TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
@@ -83,3 +83,61 @@ def test_long_texts_are_split_whole(monkeypatch):
     monkeypatch.setattr(impact_search, "_SLICE", 5)
     text = "Abc defghijklmnop é1 " * 9 + "x"
     assert [w.decode() for words in impact_search.terms_of(text) for w in words] == plain_terms(text)
+
+
+VECTORS = "vec_id long, embedding array<float>, label int, component string"
+
+
+def vectors(seed=4, n=60, d=12):
+    rng = np.random.default_rng(seed)
+    base = (rng.normal(size=(n, d)) @ rng.normal(size=(d, d)) / 8).astype(np.float32)
+    rows = [(i * 2, [float(c) for c in v], 1, "clash") for i, v in enumerate(base)]
+    odd = [(501, None, 1, ""), (502, [1.0] * (d - 1) + [None], 1, ""), (503, [math.nan] + [0.5] * (d - 1), 1, ""), (504, [math.inf] * d, 1, ""), (505, [], 1, ""), (506, [0.5, 0.25], None, ""), (507, [3e38] * d, 1, "")]
+    return rows + [rows[3], rows[3], (None, rows[5][1], None, None)], odd
+
+
+def test_whitening_equals_numpy(spark):
+    good, odd = vectors()
+    out = whitening.whiten(spark.createDataFrame(good + odd, VECTORS).repartition(4))
+    got = sorted(((r.component, (r.vec_id is not None, r.vec_id), r.deviation), r) for r in out.collect())
+    x = np.array([np.floor(1024 * np.array(v, np.float32).astype(float)).astype(np.int64) + 100_000 for _, v, *_ in good])
+    n, sums = len(x), x.sum(axis=0)
+    z = x - sums / n
+    values, columns = np.linalg.eigh(z.T @ z / n)
+    values, columns = values[::-1], columns[:, ::-1]
+    assert len(got) == 8 * n and {r.n for _, r in got} == {n}
+    order = sorted(range(n), key=lambda i: (good[i][0] is not None, good[i][0] or 0))
+    for c in range(8):
+        own = [r for (k, *_), r in got if k == c + 1]
+        assert [r.vec_id for r in own] == [good[i][0] for i in order]
+        assert [r.deviation for r in own] == [sum((n * int(a) - int(s)) ** 2 for a, s in zip(x[i], sums, strict=True)) for i in order]
+        want = (z @ columns[:, c] / np.sqrt(values[c]))[order]
+        have = np.array([r.whitened for r in own])
+        assert np.allclose(have, want, atol=1e-8) or np.allclose(have, -want, atol=1e-8)
+        assert all(abs(r.explained / (values[c] / values.sum()) - 1) < 1e-9 for r in own)
+    assert {r.identity_error for _, r in got}.pop() < 1e-9
+
+
+def test_whitening_passes_over_more_pairs_than_one_aggregation(spark, monkeypatch):
+    good, _ = vectors()
+    df = spark.createDataFrame(good, VECTORS)
+    whole = {(r.vec_id, r.component, r.whitened) for r in whitening.whiten(df, components=3).collect()}
+    monkeypatch.setattr(whitening, "PAIRS", 7)
+    assert {(r.vec_id, r.component, r.whitened) for r in whitening.whiten(df, components=3).collect()} == whole
+
+
+def test_whitening_without_variance(spark):
+    for rows in ([], vectors()[1], vectors()[1][:5], [(1, [0.5, 0.5], 1, "")], [(i, [0.5, 0.5], 1, "") for i in range(3)], [(1, [], 1, ""), (2, [], 1, "")]):
+        out = whitening.whiten(spark.createDataFrame(rows, VECTORS))
+        assert out.count() == 0 and out.columns[:7] == ["vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error"]
+    flat = whitening.whiten(spark.createDataFrame([(i, [0.5, i / 7, 2.0], 1, "") for i in range(9)], VECTORS)).collect()
+    assert {r.component for r in flat} == {1} and {round(r.explained, 9) for r in flat} == {1.0}
+
+
+def test_deviations_beyond_a_long_are_null():
+    import pyarrow as pa
+
+    w = whitening.Whitening(10**9, [10**15, 7], np.eye(2), np.ones(2), 2.0)
+    b = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array([[10.0**6, 0.0], [2.0**51, 5.0]])], ["vec_id", "x"])
+    out = next(whitening._projector(w, 2)(iter([b])))
+    assert out.column(1).to_pylist() == [49, None]
