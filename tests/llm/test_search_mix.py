@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import impact_search, whitening
+from tessera.llm import impact_search, mixing, whitening
 from tests.llm.helpers import corpus, empty, frame, prose
 
 TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
@@ -141,3 +141,83 @@ def test_deviations_beyond_a_long_are_null():
     b = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array([[10.0**6, 0.0], [2.0**51, 5.0]])], ["vec_id", "x"])
     out = next(whitening._projector(w, 2)(iter([b])))
     assert out.column(1).to_pylist() == [49, None]
+
+
+def plain_targets(sizes, weights=(5, 2, 1), share=1.5, cap=2):
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    w = {s: weights[i % len(weights)] for i, s in enumerate(order)}
+    left, open_, out = share * sum(sizes.values()), set(order), {}
+    while open_:
+        level = left / sum(w[s] for s in open_)
+        over = {s for s in open_ if level * w[s] > cap * sizes[s]}
+        if not over:
+            return out | {s: level * w[s] for s in open_}
+        out |= {s: cap * sizes[s] for s in over}
+        left -= sum(cap * sizes[s] for s in over)
+        open_ -= over
+    return out
+
+
+def sourced(n=900, seed=6):
+    rng = random.Random(seed)
+    rows = [(i, prose(rng, int(rng.paretovariate(0.9)) % 700 + 1), None, rng.choice(["b", "b", "b", "b", "a", "É", "z", None, "c"]), 0) for i in range(n)]
+    rows += [(i, None if i % 2 else " \n", None, "b", 0) for i in range(5000, 5004)] + [(6000, "only one", None, "solo", 0), (6001, "", None, "bare", 0)]
+    return rows + [rows[5]] * 40 + [(rows[5][0], "other words here", None, "b", 0), (None, "some words", None, None, 0), (None, "some words", None, None, 0)]
+
+
+@pytest.mark.parametrize("rows_at_once", [2000, 8])
+def test_mix_meets_its_targets(spark, monkeypatch, rows_at_once):
+    monkeypatch.setattr(mixing, "OPEN_ROWS", rows_at_once)
+    rows = sourced()
+    got = mixing.mix(frame(spark, rows).repartition(5)).collect()
+    assert sorted((r.doc_id is not None, r.doc_id or 0, r.size) for r in got) == sorted((d is not None, d or 0, len((t or "").split())) for d, t, *_ in rows)
+    sizes = {}
+    for _, t, _, s, _ in rows:
+        sizes[s] = sizes.get(s, 0) + len((t or "").split())
+    targets = plain_targets(sizes)
+    for s, size in sizes.items():
+        own = [r for r in got if r.source == s]
+        assert {r.source_size for r in own} == {size} and all(r.target == pytest.approx(targets[s]) for r in own)
+        assert all(r.taken == r.copies * r.size <= 2 * r.size and abs(r.copies - targets[s] / max(size, 1)) < 1 for r in own if r.size)
+        assert abs(sum(r.taken for r in own) - targets[s]) <= max(2, (0.004 if rows_at_once > 100 else 0.06) * targets[s])  # a short stretch has few that fit
+    again = mixing.mix(frame(spark, rows[::-1]).repartition(2)).collect()
+    key = lambda r: (r.doc_id is None, r.doc_id or 0, r.size, r.taken)
+    assert sorted(map(key, got)) == sorted(map(key, again))
+
+
+def test_mix_ranks_by_odds(spark):
+    """Without the border, exactly the documents with odds(u) < c * odds(p) go in; larger ones as often as smaller ones."""
+    rows = [(i, "w " * (1 + i % 9), None, "s" if i % 5 else "t", 0) for i in range(6000)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), weights=(3, 1), share=0.9).collect()
+    for s in "st":
+        own = [r for r in got if r.source == s]
+        p = own[0].target / own[0].source_size
+        for size in range(1, 10):
+            here = [r.copies for r in own if r.size == size]
+            assert abs(sum(here) / len(here) - p) < 5 * math.sqrt(0.25 / len(here))
+
+
+def test_mix_by_document_weights(spark):
+    rows = sourced(300)
+    df = frame(spark, rows).withColumn("quality", F.when(F.col("doc_id") % 3 == 0, 4.0).when(F.col("doc_id") % 3 == 1, 1.0))
+    got = mixing.mix(df, weight=F.col("quality")).collect()
+    for s in {r.source for r in got}:
+        own = [r for r in got if r.source == s]
+        assert all(r.copies <= 2 for r in own) and abs(sum(r.taken for r in own) - own[0].target) <= max(3, 0.02 * own[0].target)
+    liked = [r.copies for r in got if r.size and r.doc_id is not None and r.doc_id % 3 == 0]
+    others = [r.copies for r in got if r.size and r.doc_id is not None and r.doc_id % 3]
+    assert sum(liked) / len(liked) > 1.3 * sum(others) / len(others)
+
+
+def test_draw_gives_the_taken_words(spark):
+    df = frame(spark, sourced(200))
+    plan = mixing.mix(df)
+    out = mixing.draw(df, plan)
+    assert out.columns == df.columns
+    assert sum(len((r.text or "").split()) for r in out.collect()) == plan.agg(F.sum("taken")).first()[0]
+
+
+def test_mix_of_nothing(spark):
+    assert mixing.mix(empty(spark)).count() == 0
+    bare = mixing.mix(frame(spark, [(1, None, None, None, None), (2, "", None, "a", 0), (2, "", None, "a", 0)])).collect()
+    assert [(r.size, r.target, r.taken) for r in bare] == [(0, 0.0, 0)] * 3
