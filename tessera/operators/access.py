@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.sources.shared import written
+
 DEFAULT_TAG = "DEFAULT"
-MAX_DEPTH = 64
 
 
 def visible(user_id: int, tags: list[str]) -> Column:
@@ -21,47 +22,48 @@ def resource_allowed(username: str, role: str, tags: list[str]) -> Column:
     return F.coalesce(F.when(open_, True).when(tag.startswith("PRIVATE_"), False).otherwise(tag.isin(*tags)), F.lit(False))
 
 
+def ancestors(tags: DataFrame) -> DataFrame:
+    """tag and ancestor: every tag with each tag above it, however far.
+
+    Pairs are doubled: those that are known are joined to each other until none is new, so a hierarchy of depth n takes about
+    log2(n) rounds over the tag table alone. Each round is a table in the shared folder. In a cycle each tag is an ancestor of
+    every other and of itself. A parent without a row of its own is an ancestor like any other.
+    """
+    known = written(tags.where("parent_tag IS NOT NULL").select(F.col("tag_id").alias("tag"), F.col("parent_tag").alias("ancestor")).distinct(), "ancestors")
+    n = known.count()
+    while n:
+        up = known.select(F.col("tag").alias("ancestor"), F.col("ancestor").alias("further"))
+        more = written(known.union(known.join(up, "ancestor").select("tag", F.col("further").alias("ancestor"))).distinct(), "ancestors")
+        if (m := more.count()) == n:
+            break
+        known, n = more, m
+    return known
+
+
 def effective_tags(users: DataFrame, tags: DataFrame) -> DataFrame:
-    """id and tag: own tags that exist or not, all their ancestors, and the default tag. Cycles end at MAX_DEPTH."""
-    spark = users.sparkSession
-    users.createOrReplaceTempView("__tag_users")
-    tags.createOrReplaceTempView("__tags")
-    return spark.sql(f"""
-        WITH RECURSIVE up(id, tag, depth) AS (
-            SELECT id, explode(split(org_tags, ',')), 0 FROM __tag_users
-            UNION ALL
-            SELECT up.id, t.parent_tag, up.depth + 1 FROM up JOIN __tags t ON t.tag_id = up.tag
-            WHERE t.parent_tag IS NOT NULL AND up.depth < {MAX_DEPTH}
-        )
-        SELECT DISTINCT id, tag FROM (SELECT id, tag FROM up UNION ALL SELECT id, '{DEFAULT_TAG}' FROM __tag_users)
-    """)
+    """id and tag: own tags that exist or not, all their ancestors, and the default tag. Users are joined once."""
+    own = users.select("id", F.explode(F.split("org_tags", ",")).alias("tag"))
+    above = own.join(ancestors(tags), "tag").select("id", F.col("ancestor").alias("tag"))
+    return own.union(above).union(users.select("id", F.lit(DEFAULT_TAG))).distinct()
 
 
 def tag_tree(tags: DataFrame) -> DataFrame:
-    """tag_id, parent_tag, path from the root and depth."""
-    tags.createOrReplaceTempView("__tags")
-    return tags.sparkSession.sql(f"""
-        WITH RECURSIVE down(tag_id, parent_tag, path, depth) AS (
-            SELECT tag_id, parent_tag, tag_id, 0 FROM __tags WHERE parent_tag IS NULL
-            UNION ALL
-            SELECT t.tag_id, t.parent_tag, concat(down.path, '/', t.tag_id), down.depth + 1
-            FROM down JOIN __tags t ON t.parent_tag = down.tag_id WHERE down.depth < {MAX_DEPTH}
-        )
-        SELECT * FROM down
-    """)
+    """tag_id, parent_tag, path from the root and depth of the tags that hang from a root; those on or below a cycle, or below a
+    tag that isn't there, have no path."""
+    up = ancestors(tags)
+    depth = tags.select("tag_id", "parent_tag").distinct().join(up.groupBy("tag").agg(F.count("*").cast("int").alias("depth")), F.col("tag_id") == F.col("tag"), "left")
+    depth = depth.select("tag_id", "parent_tag", F.coalesce("depth", F.lit(0)).alias("depth"))
+    # a tag's ancestors form a chain, in the order of their own depths
+    place = F.struct(F.col("d.depth").alias("depth"), "ancestor")
+    chain = up.join(depth.alias("d"), F.col("ancestor") == F.col("d.tag_id"), "left").groupBy("tag").agg(F.array_sort(F.collect_list(F.when(F.col("d.tag_id").isNotNull(), place))).alias("chain"))
+    both = depth.join(chain, F.col("tag_id") == F.col("tag"), "left").withColumn("chain", F.coalesce("chain", F.array()))
+    whole = (F.size("chain") == F.col("depth")) & F.forall(F.transform("chain", lambda c, i: c["depth"] == i), lambda x: x)
+    names = F.concat(F.transform("chain", lambda c: c["ancestor"]), F.array("tag_id"))
+    return both.where(whole).select("tag_id", "parent_tag", F.array_join(names, "/").alias("path"), "depth")
 
 
 def reparenting_cycles(tags: DataFrame, moves: DataFrame) -> DataFrame:
     """tag_id, new_parent and would_cycle: whether the new parent lies below the tag, or is it."""
-    spark = tags.sparkSession
-    tags.createOrReplaceTempView("__tags")
-    moves.createOrReplaceTempView("__moves")
-    return spark.sql(f"""
-        WITH RECURSIVE up(tag_id, new_parent, at, depth) AS (
-            SELECT tag_id, new_parent, new_parent, 0 FROM __moves
-            UNION ALL
-            SELECT up.tag_id, up.new_parent, t.parent_tag, up.depth + 1 FROM up JOIN __tags t ON t.tag_id = up.at
-            WHERE t.parent_tag IS NOT NULL AND up.at <> up.tag_id AND up.depth < {MAX_DEPTH}
-        )
-        SELECT tag_id, new_parent, max(at = tag_id) AS would_cycle FROM up GROUP BY tag_id, new_parent
-    """)
+    below = ancestors(tags).select(F.col("tag").alias("new_parent"), F.col("ancestor").alias("tag_id"), F.lit(True).alias("below"))
+    asked = moves.select("tag_id", "new_parent").distinct()
+    return asked.join(below, ["tag_id", "new_parent"], "left").select("tag_id", "new_parent", F.coalesce(F.col("below") | (F.col("tag_id") == F.col("new_parent")), F.col("tag_id") == F.col("new_parent"), F.lit(False)).alias("would_cycle"))
