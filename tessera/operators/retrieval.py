@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -20,35 +20,10 @@ def ranked(hits: DataFrame, score: str, keys: list[str], n: int) -> DataFrame:
 
 
 def postings(chunks: DataFrame, keys: list[str]) -> DataFrame:
-    """term, keys, tf and dl: the inverted index as a table."""
+    """term, keys, tf and dl: the inverted index as a table. A chunk's terms are counted within its row."""
     t = chunks.select(*keys, terms(F.col("content")).alias("terms")).withColumn("dl", F.size("terms"))
-    return t.select(*keys, "dl", F.explode("terms").alias("term")).groupBy("term", *keys, "dl").agg(F.count("*").alias("tf"))
-
-
-def write_index(chunks: DataFrame, keys: list[str], folder: str, buckets: int = 64) -> None:
-    """Store the inverted index below `folder`: postings, in folders by a hash of the term and sorted by term within files, and
-    the number and mean length of all chunks. keys and any further columns of chunks but content come back with the hits."""
-    extra = [c for c in chunks.columns if c not in ("content", *keys)]
-    names = [*keys, *extra]
-    t = chunks.select(*names, terms(F.col("content")).alias("terms")).withColumn("dl", F.size("terms"))
-    rows = t.select(*names, "dl", F.explode("terms").alias("term")).groupBy("term", *names, "dl").agg(F.count("*").alias("tf"))
-    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
-    salt = F.pmod(F.xxhash64(*keys), F.lit(8))  # a frequent term's postings are several tasks' work
-    rows.repartition("bucket", salt).sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/postings")
-    t.agg(F.count("*").alias("n"), F.avg("dl").alias("avg_dl")).withColumn("buckets", F.lit(buckets)).write.mode("overwrite").parquet(f"{folder}/stats")
-
-
-def search_index(spark: SparkSession, folder: str, query: list[str], keys: list[str], allowed: Column | None = None) -> DataFrame:
-    """keys and bm25 of the allowed chunks that hold a query term, from a stored index: one scan of the terms' own postings."""
-    stats = spark.read.parquet(f"{folder}/stats").first()  # one row
-    query = sorted(set(query))
-    numbers = spark.range(1).select(*(F.pmod(F.xxhash64(F.lit(q)), F.lit(stats["buckets"])).cast("int").alias(f"b{i}") for i, q in enumerate(query))).first()
-    own = spark.read.parquet(f"{folder}/postings").where(F.col("bucket").isin(*numbers) & F.col("term").isin(*query))
-    df = own.groupBy("term").agg(F.count("*").alias("df"))  # a row for each query term
-    idf = F.log(1 + (F.lit(stats["n"]) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(stats["avg_dl"])))
-    hits = own if allowed is None else own.where(allowed)
-    return hits.join(F.broadcast(df), "term").withColumn("part", part).groupBy(*keys).agg(F.sum("part").alias("bm25"))
+    pairs = F.transform(F.array_distinct("terms"), lambda x: F.struct(x.alias("term"), F.size(F.filter("terms", lambda y: y == x)).cast("long").alias("tf")))
+    return t.select(*keys, "dl", F.explode(pairs).alias("p")).select("p.term", *keys, "dl", "p.tf")
 
 
 def _times(terms_: str, term: str) -> Column:

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-import uuid
+import hashlib
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.functions import text as tx
-from tessera.operators import access, chunking, files, retrieval
+from tessera.operators import access, chunking, files, retrieval, text_index
 from tessera.sources import tables
+from tessera.sources.shared import file_system, shared_folder
 from tessera.sources.tables import table
 
 QUERY = ["work", "licensed", "under", "die"]
@@ -31,18 +32,18 @@ def chunks(spark: SparkSession, d: str) -> DataFrame:
     return chunking.chunk_characters(tables.files(spark, d), FILE_KEYS, SIZE, OVERLAP)
 
 
-def bm25_sql(where: str) -> str:
-    """doc_id, chunk_id, bm25 of the chunks that pass, as subquery text."""
+def bm25_sql(where: str, kept: str = "true") -> str:
+    """doc_id, chunk_id, bm25 of the chunks that pass, as subquery text; only those `kept` are indexed."""
     tf = [f"len(list_filter(terms, lambda x: x = '{q}'))" for q in sorted(QUERY)]
     df = ", ".join(f"count(*) FILTER (WHERE list_contains(terms, '{q}')) AS df{i}" for i, q in enumerate(sorted(QUERY)))
     part = " + ".join(f"ln(1 + (n - df{i} + 0.5) / (df{i} + 0.5)) * {t} / ({t} + 1.2 * (1 - 0.75 + 0.75 * len(terms) / avg_dl))" for i, t in enumerate(tf))
-    return f"""(WITH t AS (SELECT *, regexp_extract_all(lower(content), '[\\p{{L}}\\p{{N}}]+') AS terms FROM ({CHUNKS_SQL})),
+    return f"""(WITH t AS (SELECT *, regexp_extract_all(lower(content), '[\\p{{L}}\\p{{N}}]+') AS terms FROM ({CHUNKS_SQL}) WHERE {kept}),
       s AS (SELECT count(*) AS n, avg(len(terms)) AS avg_dl, {df} FROM t)
     SELECT doc_id, chunk_id, file_name, {part} AS bm25 FROM t, s WHERE {where} AND ({" OR ".join(f"{t} > 0" for t in tf)}))"""
 
 
-def bm25_ranked_sql(where: str, n: int) -> str:
-    return f"(SELECT * FROM (SELECT *, row_number() OVER (ORDER BY round(bm25, 9) DESC, doc_id, chunk_id)::INTEGER AS rank FROM {bm25_sql(where)}) WHERE rank <= {n})"
+def bm25_ranked_sql(where: str, n: int, kept: str = "true") -> str:
+    return f"(SELECT * FROM (SELECT *, row_number() OVER (ORDER BY round(bm25, 9) DESC, doc_id, chunk_id)::INTEGER AS rank FROM {bm25_sql(where, kept)}) WHERE rank <= {n})"
 
 
 COSINE_SQL = "list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0))"
@@ -53,10 +54,22 @@ def knn_sql(n: int, where: str = "true") -> str:
       FROM (SELECT vec_id AS doc_id, 1 AS chunk_id, {COSINE_SQL} AS cosine FROM embeddings e JOIN ({FILES_SQL}) f ON f.doc_id = e.vec_id WHERE {where})) WHERE rank <= {n})"""
 
 
+def stored_index(spark: SparkSession, d: str) -> str:
+    """The folder of the chunks' index, made when it is asked for first: its name tells the documents' files, sizes and times."""
+    fs, p = file_system(spark, f"{d}/documents.parquet")
+    seen = sorted(f"{s.getPath()} {s.getLen()} {s.getModificationTime()}" for s in ([*fs.listStatus(p)] if fs.getFileStatus(p).isDirectory() else [fs.getFileStatus(p)]))
+    folder = shared_folder(spark, "index", hashlib.md5("\n".join([f"{SIZE} {OVERLAP}", *seen]).encode()).hexdigest())
+    if not text_index.manifest(spark, folder).version:
+        try:
+            text_index.add(chunks(spark, d), folder, retrieval.CHUNK)
+        except RuntimeError:  # another session was faster, and what it made is the same
+            pass
+    return folder
+
+
 def lexical(spark: SparkSession, d: str, n: int, public_only: bool = False) -> DataFrame:
     allowed = F.col("is_public") if public_only else access.visible(USER, TAGS)
-    hits = retrieval.bm25(chunks(spark, d), QUERY, ["doc_id", "chunk_id", "file_name"], allowed)
-    return retrieval.ranked(hits, "bm25", retrieval.CHUNK, n)
+    return text_index.search(spark, stored_index(spark, d), QUERY, n, allowed)
 
 
 def query_vector(spark: SparkSession, d: str) -> list[float]:
@@ -127,8 +140,7 @@ def rrf_degraded_bm25_only(spark: SparkSession, d: str) -> DataFrame:
 
 def search_attach_filename(spark: SparkSession, d: str) -> DataFrame:
     first = files.keep_first(tables.files(spark, d).select("file_md5", F.col("file_name").alias("name"), "doc_id"), ["file_md5"], ["doc_id"]).drop("doc_id")
-    hits = retrieval.ranked(retrieval.bm25(chunks(spark, d), QUERY, ["doc_id", "chunk_id", "file_md5"], access.visible(USER, TAGS)), "bm25", retrieval.CHUNK, TOP)
-    return hits.join(first, "file_md5", "left").select("rank", "doc_id", F.coalesce("name", "file_md5").alias("file_name"))
+    return lexical(spark, d, TOP).join(first, "file_md5", "left").select("rank", "doc_id", F.coalesce("name", "file_md5").alias("file_name"))
 
 
 def acl_accessible_files(spark: SparkSession, d: str) -> DataFrame:
@@ -231,12 +243,21 @@ def boilerplate_removed(spark: SparkSession, d: str) -> DataFrame:
 
 
 def bm25_topk_indexed(spark: SparkSession, d: str) -> DataFrame:
-    """The same hits as bm25_topk from an index that is stored first; bench.py measures searches of a stored one."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    folder = f"{base.rstrip('/')}/tessera/index-{uuid.uuid4().hex}"
-    retrieval.write_index(chunks(spark, d), retrieval.CHUNK, folder)
-    hits = retrieval.search_index(spark, folder, QUERY, retrieval.CHUNK, access.visible(USER, TAGS))
-    return retrieval.ranked(hits, "bm25", retrieval.CHUNK, TOP).select("rank", "doc_id", "chunk_id", r6("bm25"))
+    """The same hits as bm25_topk from an index of its own, in two segments made one."""
+    folder, rows = shared_folder(spark, "index"), chunks(spark, d)
+    text_index.add(rows.where("doc_id % 2 = 0"), folder, retrieval.CHUNK)
+    text_index.add(rows.where("doc_id % 2 <> 0"), folder)
+    text_index.compact(spark, folder)
+    return text_index.search(spark, folder, QUERY, TOP, access.visible(USER, TAGS)).select("rank", "doc_id", "chunk_id", r6("bm25"))
+
+
+def bm25_topk_after_delete(spark: SparkSession, d: str) -> DataFrame:
+    """Hits after the files of some users were deleted by md5 and those of one of them uploaded again."""
+    folder, rows = shared_folder(spark, "index"), chunks(spark, d)
+    text_index.add(rows, folder, retrieval.CHUNK)
+    text_index.delete(spark, folder, rows.where("user_id < 10").select("file_md5"))
+    text_index.add(rows.where("user_id = 7"), folder)
+    return text_index.search(spark, folder, QUERY, TOP, access.visible(USER, TAGS)).select("rank", "doc_id", "chunk_id", r6("bm25"))
 
 
 BOUNDARY_SQL = r"""p AS (SELECT source, doc_id, list_transform(string_split(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(11) || chr(12))) AS ls FROM documents),
@@ -246,6 +267,7 @@ k AS (SELECT *, lower(trim(regexp_replace(regexp_replace(replace(line, chr(160),
 r AS (SELECT source, doc_id, 'top' AS side, a AS rank, pos, CASE WHEN length(raw) BETWEEN 4 AND 120 THEN raw END AS key FROM k WHERE a <= 3 UNION ALL SELECT source, doc_id, 'bottom', b, pos, CASE WHEN length(raw) BETWEEN 4 AND 120 THEN raw END FROM k WHERE b <= 3),
 g AS (SELECT source, side, key, count(*) AS pages FROM r WHERE key IS NOT NULL GROUP BY ALL),
 shared AS (SELECT g.* FROM g JOIN (SELECT source, count(DISTINCT doc_id) AS n FROM documents GROUP BY source) t USING (source) WHERE pages >= greatest(2, least(3, n)))"""
+LEFT_SQL = f"(user_id = 7 OR file_md5 NOT IN (SELECT file_md5 FROM ({FILES_SQL}) WHERE user_id < 10))"
 EMPTY_SQL = r"regexp_matches(line, '^\s*$')"
 CATALOG = {
     "hybrid_search_rrf": (hybrid_search_rrf, f"SELECT r.rank, r.doc_id, r.chunk_id, c.file_name, md5(c.content) AS content_md5, round(r.score, 6) AS score FROM ({RRF_SQL}) r JOIN ({CHUNKS_SQL}) c USING (doc_id, chunk_id) WHERE r.rank <= {TOP}"),
@@ -276,5 +298,6 @@ CATALOG = {
     "boilerplate_boundary_lines": (boilerplate_boundary_lines, f"WITH {BOUNDARY_SQL} SELECT source, side, key, pages FROM shared"),
     "boilerplate_removed": (boilerplate_removed, rf"""WITH {BOUNDARY_SQL}, m AS (SELECT r.source, r.doc_id, r.side, r.rank, r.pos, min((s.key IS NOT NULL)::INTEGER) OVER (PARTITION BY r.doc_id, r.side ORDER BY r.rank) AS run FROM r LEFT JOIN shared s ON s.source = r.source AND s.side = r.side AND s.key = r.key), c AS (SELECT doc_id, max(pos) FILTER (WHERE side = 'top') AS a, min(pos) FILTER (WHERE side = 'bottom') AS b FROM m WHERE run = 1 GROUP BY doc_id) SELECT doc_id, md5(trim(array_to_string(ls[coalesce(a, 0) + 1 : greatest(coalesce(b, len(ls) + 1) - 1, coalesce(a, 0))], chr(10)), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) AS text_md5 FROM p LEFT JOIN c USING (doc_id)"""),
     "bm25_topk_indexed": (bm25_topk_indexed, f"SELECT rank, doc_id, chunk_id, round(bm25, 6) AS bm25 FROM {bm25_ranked_sql(VISIBLE_SQL, TOP)}"),
+    "bm25_topk_after_delete": (bm25_topk_after_delete, f"SELECT rank, doc_id, chunk_id, round(bm25, 6) AS bm25 FROM {bm25_ranked_sql(VISIBLE_SQL, TOP, LEFT_SQL)}"),
     "evidence_snippet": (evidence_snippet, f"""WITH c AS (SELECT doc_id, chunk_id, content, trim(regexp_replace(content, '\\s+', ' ', 'g')) AS t FROM ({CHUNKS_SQL})), s AS (SELECT *, list_filter(list_transform(string_split(regexp_replace(content, '([。！？!?；;])', '\\1' || chr(1), 'g'), chr(1)), lambda x: trim(x)), lambda x: length(x) >= 12)[1] AS first FROM c), b AS (SELECT doc_id, chunk_id, trim(regexp_replace(CASE WHEN doc_id % 4 = 0 AND length(t) > 0 THEN CASE WHEN length(t) > 120 THEN substr(t, 1, 120) || '…' ELSE t END ELSE coalesce(first, content) END, '\\s+', ' ', 'g')) AS s FROM s) SELECT doc_id, chunk_id, CASE WHEN length(s) > 160 THEN substr(s, 1, 160) || '…' ELSE s END AS snippet FROM b"""),
 }

@@ -7,14 +7,14 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder below spark.checkpoint.dir. A session in one JVM may go without that setting; a cluster gets an error."""
+def shared_folder(spark: SparkSession, name: str, mark: str | None = None) -> str:
+    """A new folder below spark.checkpoint.dir, or the one with this mark. A session in one JVM may go without that setting; a cluster gets an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         base = "file:///tmp/checkpoints"
-    return f"{base.rstrip('/')}/tessera/{name}-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/tessera/{name}-{mark or uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

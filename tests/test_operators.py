@@ -303,16 +303,3 @@ def test_token_estimate_of_odd_texts(spark):
 def test_protected_blocks():
     found = [(b["kind"], b["start"], b["end"]) for b in chunking._protected("a\n```\n|x|\n```\n|a|b|\n|-|-|\nz\n ```open\n|t|")]
     assert found == [("CODE_BLOCK", 2, 13), ("CODE_BLOCK", 29, 40), ("TABLE_ROW", 6, 10), ("TABLE_ROW", 14, 26), ("TABLE_ROW", 37, 40)]
-
-
-def test_stored_index_gives_the_same_scores(spark, tmp_path):
-    import random
-
-    rng = random.Random(2)
-    rows = [(i, j, " ".join(rng.choice("alpha beta gamma delta eps".split()) for _ in range(rng.randint(1, 30)))) for i in range(40) for j in range(3)]
-    df = spark.createDataFrame(rows, "doc_id long, chunk_id long, content string").selectExpr("*", "doc_id % 2 = 0 AS is_public")
-    retrieval.write_index(df, ["doc_id", "chunk_id"], f"file://{tmp_path}/index", buckets=4)
-    for allowed in (None, F.col("is_public")):
-        plain = {(r[0], r[1]): round(r[2], 9) for r in retrieval.bm25(df, ["alpha", "eps", "none"], ["doc_id", "chunk_id"], allowed).collect()}
-        stored = {(r[0], r[1]): round(r[2], 9) for r in retrieval.search_index(spark, f"file://{tmp_path}/index", ["alpha", "eps", "none"], ["doc_id", "chunk_id"], allowed).collect()}
-        assert plain == stored and plain
