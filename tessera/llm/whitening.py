@@ -59,7 +59,8 @@ def fit(rows: DataFrame) -> Whitening | None:
     first = rows.selectExpr(*(f"x[{i}] AS x{i}" for i in range(d))).selectExpr("count(*)", *(f"sum(CAST(x{i} AS DECIMAL(18,0)))" for i in range(d))).first()
     n, sums = first[0], [int(s) for s in first[1:]]
     centre = [round(Fraction(s, n)) for s in sums]
-    centred = rows.selectExpr(*(f"x[{i}] - {c}D AS z{i}" for i, c in enumerate(centre)))
+    # no entry is null, which Spark can't see: coalesce() says so, and the generated code of each sum is a third
+    centred = rows.selectExpr(*(f"coalesce(x[{i}] - {c}D, 0D) AS z{i}" for i, c in enumerate(centre)))
     terms = covariance_terms(d)
     rest = [s - n * c for s, c in zip(sums, centre, strict=True)]
     v = np.zeros((d, d))
