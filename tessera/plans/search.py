@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.functions import text as tx
-from tessera.operators import access, chunking, files, retrieval, text_index
+from tessera.operators import access, chunking, files, retrieval, text_index, vector_index
 from tessera.sources import tables
 from tessera.sources.shared import file_system, shared_folder
 from tessera.sources.tables import table
@@ -129,6 +129,14 @@ def knn_filtered_topk(spark: SparkSession, d: str) -> DataFrame:
     return semantic(spark, d, TOP).select("rank", "doc_id", r6("cosine"))
 
 
+def knn_indexed_topk(spark: SparkSession, d: str) -> DataFrame:
+    """The nearest visible vectors from a stored index, as many lists of it as 99 of 100 neighbours need; the SQL is the exact top."""
+    folder = shared_folder(spark, "vectors")
+    owners = tables.files(spark, d).select("doc_id", "user_id", "org_tag", "is_public")
+    vector_index.build(table(spark, d, "embeddings").withColumnRenamed("vec_id", "doc_id").join(owners, "doc_id"), folder, "doc_id")
+    return vector_index.search(spark, folder, "doc_id", query_vector(spark, d), TOP, access.visible(USER, TAGS)).select("rank", "doc_id", r6("cosine"))
+
+
 def knn_bm25_rescore(spark: SparkSession, d: str) -> DataFrame:
     scores = retrieval.bm25(chunks(spark, d), QUERY, retrieval.CHUNK)
     return retrieval.rescore(semantic(spark, d, 5 * TOP, filtered=False), scores, retrieval.CHUNK, TOP).select("rank", "doc_id", r6("score"))
@@ -276,6 +284,7 @@ CATALOG = {
     "bm25_postings": (bm25_postings, f"SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf FROM (SELECT term, doc_id, chunk_id, count(*) AS tf FROM (SELECT doc_id, chunk_id, unnest(regexp_extract_all(lower(content), '[\\p{{L}}\\p{{N}}]+')) AS term FROM ({CHUNKS_SQL})) GROUP BY ALL) GROUP BY term"),
     "knn_cosine_topk": (knn_cosine_topk, f"SELECT rank, doc_id, round(cosine, 6) AS cosine FROM {knn_sql(TOP)}"),
     "knn_filtered_topk": (knn_filtered_topk, f"SELECT rank, doc_id, round(cosine, 6) AS cosine FROM {knn_sql(TOP, VISIBLE_SQL)}"),
+    "knn_indexed_topk": (knn_indexed_topk, f"SELECT rank, doc_id, round(cosine, 6) AS cosine FROM {knn_sql(TOP, VISIBLE_SQL)}"),
     "knn_bm25_rescore": (knn_bm25_rescore, f"SELECT rank, doc_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (ORDER BY round(score, 9) DESC, doc_id, chunk_id)::INTEGER AS rank FROM (SELECT k.doc_id, k.chunk_id, 0.2::DOUBLE * cosine + coalesce(bm25, 0) AS score FROM {knn_sql(5 * TOP)} k LEFT JOIN {bm25_sql('true')} b ON k.doc_id = b.doc_id AND k.chunk_id = b.chunk_id)) WHERE rank <= {TOP}"),
     "rrf_degraded_bm25_only": (rrf_degraded_bm25_only, f"SELECT rank, doc_id, chunk_id, round(1 / (60 + rank), 6) AS score FROM {bm25_ranked_sql(VISIBLE_SQL, TOP)}"),
     "search_attach_filename": (search_attach_filename, f"WITH f AS ({FILES_SQL}) SELECT h.rank, h.doc_id, g.name AS file_name FROM {bm25_ranked_sql(VISIBLE_SQL, TOP)} h JOIN f ON f.doc_id = h.doc_id JOIN (SELECT file_md5, arg_min(file_name, doc_id) AS name FROM f GROUP BY file_md5) g ON g.file_md5 = f.file_md5"),
