@@ -13,7 +13,7 @@ from pyspark.sql.streaming import StreamingQuery
 from tessera.operators.chunking import fixed_chunks, smart_chunks
 
 PDF_MAGIC = b"%PDF-"
-ATTEMPTS = 5
+Parser = Callable[[str, bytes], list[tuple[int | None, str]]]
 TEXT_KINDS = ("txt", "md", "csv", "json", "xml", "log")
 HTML_KINDS = ("html", "htm")
 
@@ -57,32 +57,28 @@ def read_files(spark: SparkSession, folder: str, stream: bool = False) -> DataFr
     return reader.format("binaryFile").schema(schema).option("recursiveFileLookup", "true").load(folder).select("path", "content")
 
 
-def chunk_files(files: DataFrame, parser: Callable[[str, bytes], list[tuple[int | None, str]]] = parse, strategy: str = "fixed", size: int = 512) -> DataFrame:
+def chunk_rows(md5: str, path: str, content: bytes, parser: Parser, cut: Callable[[str, int], list[str]], size: int) -> list[tuple]:
+    """(file_md5, path, chunk_id, page_number, content, error) of one file: its chunks, or one row with what the parser threw."""
+    try:
+        pages = parser(path.rpartition("/")[2], content)
+    except Exception as e:  # whatever a parser throws goes to the dead letters
+        return [(md5, path, None, None, None, f"{type(e).__name__}: {e}")]
+    rows = []
+    for page, text in pages:
+        rows += [(md5, path, len(rows) + i + 1, page, c, None) for i, c in enumerate(cut(text, size) if text.strip() else [])]
+    return rows
+
+
+def chunk_files(files: DataFrame, parser: Parser = parse, strategy: str = "fixed", size: int = 512) -> DataFrame:
     """file_md5, path, chunk_id (from 1, running over pages), page_number, content, error: one row with the error where parsing
-    failed after ATTEMPTS attempts, else one for each chunk. Keys are hashes of the content, so a second run gives the same rows."""
+    failed, else one for each chunk. Keys are hashes of the content, so a second run gives the same rows. One try: a parser that
+    fails on some bytes fails on them again; streaming.retry tries files again that may yet come right."""
     cut = {"fixed": fixed_chunks, "smart": smart_chunks}[strategy]
     columns = ["file_md5", "path", "chunk_id", "page_number", "content", "error"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = []
-            for md5, path, content in zip(b["file_md5"], b["path"], b["content"], strict=True):
-                failed = None
-                for _ in range(ATTEMPTS):
-                    try:
-                        pages = parser(path.rpartition("/")[2], bytes(content))
-                        failed = None
-                        break
-                    except Exception as e:  # whatever a parser throws goes to the dead letters
-                        failed = f"{type(e).__name__}: {e}"
-                if failed:
-                    rows.append((md5, path, None, None, None, failed))
-                    continue
-                n = 0
-                for page, text in pages:
-                    for c in cut(text, size) if text.strip() else []:
-                        n += 1
-                        rows.append((md5, path, n, page, c, None))
+            rows = [r for md5, path, content in zip(b["file_md5"], b["path"], b["content"], strict=True) for r in chunk_rows(md5, path, bytes(content), parser, cut, size)]
             out = pd.DataFrame(rows, columns=columns)
             yield out.astype({"chunk_id": "Int32", "page_number": "Int32"})
 
@@ -95,7 +91,7 @@ def ingest_stream(files: DataFrame, chunks_path: str, dead_path: str, checkpoint
     def write(batch: DataFrame, number: int) -> None:
         rows = chunk_files(batch, **options).persist()
         rows.where("error IS NULL").drop("error").write.mode("overwrite").parquet(f"{chunks_path}/batch={number}")
-        rows.where("error IS NOT NULL").select("file_md5", "path", "error", F.lit(ATTEMPTS).alias("attempts")).write.mode("overwrite").parquet(f"{dead_path}/batch={number}")
+        rows.where("error IS NOT NULL").select("file_md5", "path", "error", F.lit(1).alias("attempts")).write.mode("overwrite").parquet(f"{dead_path}/batch={number}")
         rows.unpersist()
 
     return files.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
