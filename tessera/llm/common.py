@@ -118,6 +118,12 @@ def word_hashes() -> WordHashes:
     return _HASHES[0]
 
 
+def forget_words() -> None:
+    """Drop this worker's table at the end of a task: idle workers would hold it through all later stages."""
+    _HASHES.clear()
+    let_go()
+
+
 def words_of(text: str | None, lower: bool) -> list[bytes]:
     raw = (text or "").encode("utf-8", "surrogatepass")
     return (raw.lower() if lower else raw).split()

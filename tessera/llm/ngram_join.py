@@ -16,17 +16,17 @@ indexed on both sides of it.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import LOWEST, components, forest, input_bytes, mix, prepare, word_hashes, words_of, written
+from tessera.llm.common import LOWEST, components, forest, forget_words, input_bytes, let_go, mix, prepare, word_hashes, words_of, written
 
 U = np.uint64
 SLICES = 16
 LEADERS = 8
-BLOCK = 256
+#: Sets of a block, and about how many tokens they may have together.
+BLOCK, BLOCK_TOKENS = 256, 300_000
 #: Rows of one index key that one task takes; keys of more rows are spread.
 SPREAD = 1000
 #: Numbers of classes, each for sets up to the size from which the next one serves; 0: single tokens.
@@ -72,11 +72,10 @@ def _count(k: int, bits: int):
                 nodes.append(node)
                 seen[node] = tokens
             some = np.concatenate([*seen.values(), np.empty(0, U)])
-            sketch += np.bincount((some & U((1 << bits) - 1)).astype(np.int64), minlength=1 << bits).astype(np.uint32) if len(some) > 1 << (bits - 4) else 0
-            if len(some) <= 1 << (bits - 4):
-                np.add.at(sketch, (some & U((1 << bits) - 1)).astype(np.int64), 1)
+            np.add.at(sketch, (some & U((1 << bits) - 1)).astype(np.int64), np.uint32(1))  # in place: no second sketch
             none = pa.nulls(b.num_rows)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(nodes, pa.int64()), pa.array([len(t) for _, t in sets], pa.int64()), none.cast(pa.int32()), none.cast(pa.binary())], names=names)
+        forget_words()
         if sketch.any():
             parts = [zstandard.ZstdCompressor(level=1).compress(x.tobytes()) for x in np.split(sketch, SLICES)]
             none = pa.nulls(SLICES, pa.int64())
@@ -205,6 +204,7 @@ def _index(k: int, bits: int, shared, rare: int, num: int, den: int, buckets: in
             if local.any():
                 out += rows(bucket[local], 1, sig[local], node[local], n[local])
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), [pa.int32(), pa.int32(), *[pa.binary()] * 3], strict=True)], names=names)
+        forget_words()
 
     return run
 
@@ -230,20 +230,27 @@ def _shared(table: pa.Table) -> pa.Table:
     return pa.table({"sig": pa.array(sig.view(np.int64), pa.int64()), "node": pa.array(node, pa.int64()), "n": pa.array(n.astype(np.int64), pa.int64())})
 
 
+def _per_block(num: int, den: int) -> Column:
+    """Sets of a block, of the rows' size class: BLOCK, or fewer where they have more than BLOCK_TOKENS tokens together."""
+    largest = F.pow(F.lit(den / num), F.col("class") + 1) if num < den else F.col("class").cast("double")
+    return F.greatest(F.lit(1.0), F.least(F.lit(float(BLOCK)), F.floor(F.lit(float(BLOCK_TOKENS)) / largest)))
+
+
 def _block_links(num: int, den: int):
     """Of the sets of one or two blocks: a spanning forest of the links between different components."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        node, c, block = pdf["node"].to_numpy(), pdf["c"].to_numpy(), pdf["block"].to_numpy()
-        lo, hi = pdf["lo"].iloc[0], pdf["hi"].iloc[0]
-        size = np.array([len(t) for t in pdf["tokens"]], np.int64)
-        _, at, times = np.unique(np.concatenate(list(pdf["tokens"])), return_inverse=True, return_counts=True)
-        row = np.repeat(np.arange(len(node)), size)
-        often = times[at] > 1  # the others are in no intersection
-        column = (np.cumsum(times > 1) - 1)[at[often]]
-        row = row[often]
-        by = np.argsort(column, kind="stable")
-        row, column = row[by], column[by]
+    def run(table: pa.Table) -> pa.Table:
+        node, c, block = (table.column(x).to_numpy() for x in ("node", "c", "block"))
+        lo, hi = table.column("lo")[0].as_py(), table.column("hi")[0].as_py()
+        lists = table.column("tokens")
+        size = np.concatenate([x.value_lengths().to_numpy(zero_copy_only=False) for x in lists.chunks]).astype(np.int64)
+        flat = np.concatenate([x.flatten().to_numpy(zero_copy_only=False) for x in lists.chunks])
+        by = np.argsort(flat, kind="stable")
+        again = flat[by[1:]] == flat[by[:-1]]
+        often = np.concatenate([again, [False]]) | np.concatenate([[False], again])  # the others are in no intersection
+        column = np.cumsum(~np.concatenate([[False], again])[often]) - 1
+        row = np.repeat(np.arange(len(node), dtype=np.int32), size)[by[often]]
+        del flat, by, again, often
         shared = np.zeros((len(node), len(node)), np.float32)
         for start in range(0, int(column[-1]) + 1 if len(column) else 0, 4096):
             i, z = np.searchsorted(column, [start, start + 4096])
@@ -255,7 +262,8 @@ def _block_links(num: int, den: int):
         hit &= (c[:, None] != c[None, :]) & (block[:, None] == lo) & (block[None, :] == hi)
         x, y = np.nonzero(hit)
         a, b = forest(node[x], node[y]) if len(x) else (node[:0], node[:0])
-        return pd.DataFrame({"a": a, "b": b})
+        let_go()
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return run
 
@@ -278,7 +286,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     Equal word sequences are one node throughout, so copies cost one row each. Sets that share a key are first compared with at most
     LEADERS of them. The rows of keys whose others then lie in different components are the open ones. They are gathered by the smallest
     component of their key and by size, as sets that link differ in size by at most den / num; within such a group the
-    sets are compared in blocks of about BLOCK. A component of more than a block's sets has blocks of its own, which don't meet each other, so a
+    sets are compared in blocks of about BLOCK, and of BLOCK_TOKENS tokens at most, or of one set. A component of more than a block's sets has blocks of its own, which don't meet each other, so a
     large component costs its size times what is outside it. Groups aren't joined to larger ones, so a chain of keys stays
     a chain of small groups. Only a spanning forest of each block's links is written, never the pairs. Keys with over SPREAD rows are
     spread over several tasks.
@@ -303,6 +311,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
         for b in batches:
             rows = [(node, t) for (node, t), want in zip(shingle_sets(b.column("text").to_pylist(), k), b.column("__node").to_pylist(), strict=True) if node == want]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1].view(np.int64) for r in rows], pa.list_(pa.int64()))], names=["node", "tokens"])
+        forget_words()
 
     sets = written(text.join(wanted, F.col("doc_id") == F.col("__d")).select("text", "__node").mapInArrow(build, "node long, tokens array<long>"), "sets")
 
@@ -330,9 +339,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     size_class = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(den / num)) + 1e-9).cast("int") if num < den else F.col("n").cast("int")
     near_by = rest.join(everywhere(open_), ["sig", "part"]).select("node", "hub", "c", size_class.alias("own")).distinct()
     groups = written(near_by.select("node", "c", "own", "hub", F.explode(F.array("own", F.col("own") + 1)).alias("class")), "groups")
-    by_part = groups.groupBy("hub", "class", "c").agg(F.count("*").alias("m"), F.max("own").alias("top")).withColumn("big", F.col("m") >= BLOCK)
+    by_part = groups.groupBy("hub", "class", "c").agg(F.count("*").alias("m"), F.max("own").alias("top")).withColumn("big", F.col("m") >= _per_block(num, den))
     label = lambda c, i: F.concat_ws("/", c.cast("string"), i.cast("string"))
-    blocks_of = lambda m: F.ceil(m / BLOCK).cast("int")
+    blocks_of = lambda m: F.ceil(m / _per_block(num, den)).cast("int")
     numbered = lambda n, c: F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(c.alias("c"), label(c, i).alias("name")))
     own_blocks = F.flatten(F.collect_list(F.when(F.col("big"), numbered(blocks_of(F.col("m")), F.col("c")))))
     whole = by_part.groupBy("hub", "class").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.max("top").alias("top"), blocks_of(F.sum(F.when(F.col("big"), 0).otherwise(F.col("m")))).alias("mixed"), own_blocks.alias("bigs"))
@@ -344,7 +353,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     block = label(part_of, F.pmod(F.xxhash64("node"), F.when(F.col("big"), blocks_of(F.col("m"))).otherwise(F.col("mixed"))))
     own = own.withColumns({"block": block, "others": F.transform(F.filter("all", lambda o: ~F.coalesce(o["c"] == part_of, F.lit(False))), lambda o: o["name"])})
     sent = own.withColumn("other", F.explode("others")).select("hub", "class", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "node", "c")
-    more = written(sent.join(sets, "node").groupBy("hub", "class", "lo", "hi").applyInPandas(_block_links(num, den), "a long, b long"), "links")
+    more = written(sent.join(sets, "node").groupBy("hub", "class", "lo", "hi").applyInArrow(_block_links(num, den), "a long, b long"), "links")
     if more.limit(1).count():
         part = components(edges.union(more), "a", "b").withColumnsRenamed({"component": "c"})
 
