@@ -12,7 +12,6 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Iterator
-from functools import cache
 from itertools import chain, repeat
 
 import numpy as np
@@ -48,16 +47,20 @@ class Encoder:
         self.separator = "\n" if self.keeps_space else " | "
         one = self._encode(self.separator)
         self.mark = int(one[0]) if len(one) == 1 else None
-        # slots of pieces: WHOLE for those that send their text to the library whole, NONE for the empty piece
-        self.known: dict[str, int] = {"": WHOLE if self.keeps_space else NONE}
-        self.start, self.length, self.used = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), 2
-        self.ids_, self.filled = np.empty(1 << 18, np.uint32), 0
+        self.release()
         # letters and marks may go to the model alone if that gives what the whole tokenizer does
         self.model, self.lowers = self.tokenizer.model, self._encode("A").tolist() == self._encode("a").tolist()
         self.byte_names = _byte_names()
-        self.space, self.tokenize, self.marks = self.byte_names[0x20], self.model.tokenize, {}
+        self.space, self.tokenize = self.byte_names[0x20], self.model.tokenize
         self.by_model = all(self._model_ids(t) == self._encode(t).tolist() for t in ("hello", "Over", "déjà", "Straße", ".", "?!", "zqxj", *([" hello", " Ünder"] if self.keeps_space else [])))
 
+    def release(self) -> None:
+        """Forget all pieces. Slots: WHOLE for those that send their text to the library whole, NONE for the empty piece."""
+        self.known: dict[str, int] = {"": WHOLE if self.keeps_space else NONE}
+        self.start, self.length, self.used = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), 2
+        self.ids_, self.filled = np.empty(1 << 18, np.uint32), 0
+        self.marks: dict[str, list[int]] = {}
+
     def _encode(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
 
@@ -202,7 +205,11 @@ def _byte_names() -> dict[int, str]:
 
 
 def gathered(batches: Iterator[pa.RecordBatch], column: str = "text", size: int = AT_ONCE) -> Iterator[pa.Table]:
-    """Batches joined until their column holds about `size` bytes, since larger batches repeat more of their pieces."""
+    """Batches joined until their column holds about `size` bytes, since larger batches repeat more of their pieces.
+
+    At the end, when a task has no more to encode, its worker's encoders forget their pieces: an idle worker would hold them
+    through all later stages.
+    """
     held, n = [], 0
     for b in batches:
         held.append(b)
@@ -214,10 +221,16 @@ def gathered(batches: Iterator[pa.RecordBatch], column: str = "text", size: int
     if held:
         yield pa.Table.from_batches(held)
     held.clear()
+    for e in _ENCODERS.values():
+        e.release()
     let_go()
 
 
-@cache
+_ENCODERS: dict[str, Encoder] = {}
+
+
 def encoder(path: str) -> Encoder:
     """This process's encoder for a vocabulary file."""
-    return Encoder(path)
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
