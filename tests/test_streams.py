@@ -4,7 +4,7 @@ import time
 
 import pytest
 
-from tessera.streaming import retry
+from tessera.streaming import retry, sessions
 
 
 @pytest.fixture
@@ -61,3 +61,59 @@ def test_failing_files_are_tried_again_after_a_wait(rocks, tmp_path):
     (last,) = rows(rocks, dead)
     assert last["attempts"] == 5 and last["error"] == "ConnectionError: try 5"
     assert last["tried_ms"] - got["good.txt"]["tried_ms"] >= 4 * 1500
+
+
+def _events(spark, seed=3, n=400):
+    import random
+    from datetime import datetime, timedelta
+
+    rng, at, out = random.Random(seed), datetime(2024, 1, 1), []
+    for _ in range(n):
+        at += timedelta(seconds=rng.choice([1, 20, 200, 900]), microseconds=rng.randrange(10**6))
+        out.append((rng.randrange(4), at, rng.choice(["chunk"] * 6 + ["completed", "failed", "cancelled"])))
+    return spark.createDataFrame(out, "user_id long, ts timestamp, kind string"), out
+
+
+def _plain(events, seconds, renewed):
+    from datetime import timedelta
+
+    ttl, out, state = timedelta(seconds=seconds), [], {}
+    ends = {"completed": "COMPLETED", "failed": "FAILED", "cancelled": "CANCELLED"}
+
+    def close(u):
+        s = state.pop(u)
+        e = (s["last"] if renewed else s["began"]) + ttl
+        out.append((u, s["began"], s["status"] or "STREAMING", s["chunks"], s["ended"] or e, e) if renewed else (u, s["began"], e, s["n"]))
+
+    for u, ts, kind in events:
+        if u in state and ts >= state[u]["last" if renewed else "began"] + ttl:
+            close(u)
+        s = state.setdefault(u, {"began": ts, "chunks": 0, "status": None, "ended": None, "n": 0})
+        s["last"], s["n"] = ts, s["n"] + 1
+        if s["status"] is None:
+            if kind in ends:
+                s["status"], s["ended"] = ends[kind], ts
+            else:
+                s["chunks"] += 1
+    for u in list(state):
+        close(u)
+    return sorted(out)
+
+
+def test_generations_and_conversations_batch_equals_stream(rocks, tmp_path):
+    from datetime import datetime
+
+    df, events = _events(rocks)
+    want = {"g": _plain(events, 1200, True), "c": _plain(events, 5000, False)}
+    assert sorted(map(tuple, sessions.generations(df, 1200).collect())) == want["g"]
+    assert sorted(map(tuple, sessions.conversations(df.repartition(3), 5000).collect())) == want["c"]
+    half = len(events) // 2
+    parts = [events[:half], events[half:], [(99, datetime(2024, 3, 1), "chunk")], [(99, datetime(2024, 6, 1), "chunk")]]
+    for i, p in enumerate(parts):
+        rocks.createDataFrame(p, df.schema).coalesce(1).write.parquet(f"{tmp_path}/in/{i}")
+    source = lambda: rocks.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
+    for name, make in (("g", lambda: sessions.generations_stream(source(), 1200)), ("c", lambda: sessions.conversations_stream(source(), 5000))):
+        out = f"{tmp_path}/out-{name}"
+        for _ in range(2):  # a second start goes on from the checkpoint and repeats nothing
+            make().writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/ck-{name}").trigger(availableNow=True).start(out).awaitTermination()
+        assert sorted(tuple(r) for r in rocks.read.parquet(out).where("user_id < 99").collect()) == want[name]
