@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.text import terms
 from tessera.operators.retrieval import K1, B, ranked
-from tessera.sources.shared import file_system
+from tessera.sources.shared import file_system, latest, publish
 
 TILE = 128
 #: Bytes of text for each folder of postings, and the largest number of folders.
@@ -48,24 +48,12 @@ class Manifest:
 
 def manifest(spark: SparkSession, folder: str) -> Manifest:
     """The current version; an empty one where there is no index."""
-    fs, p = file_system(spark, f"{folder}/manifest")
-    names = sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
-    names = [n for n in names if n.endswith(".json")]
-    if not names:
-        return Manifest()
-    return Manifest(**json.loads(spark.read.text(f"{folder}/manifest/{names[-1]}", wholetext=True).first()[0]))
+    _, text = latest(spark, folder)
+    return Manifest() if text is None else Manifest(**json.loads(text))
 
 
 def _publish(spark: SparkSession, folder: str, new: Manifest) -> Manifest:
-    """Make `new` the current version: a finished file takes the version's name, which only one writer can do."""
-    fs, draft = file_system(spark, f"{folder}/manifest/{uuid.uuid4().hex}.draft")
-    out = fs.create(draft, False)
-    out.write(bytearray(json.dumps(new.__dict__).encode()))
-    out.close()
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/manifest/{new.version:010d}.json")
-    if fs.exists(path) or not fs.rename(draft, path):
-        fs.delete(draft, False)
-        raise RuntimeError(f"version {new.version} was published by another writer; read the manifest again and repeat")
+    publish(spark, folder, new.version, json.dumps(new.__dict__))
     return new
 
 

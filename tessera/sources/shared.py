@@ -28,3 +28,25 @@ def file_system(spark: SparkSession, path: str):
     """Hadoop's file system of a path, and the path: for renames and listings, which Spark's readers don't offer."""
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def latest(spark: SparkSession, folder: str) -> tuple[int, str | None]:
+    """The number and text of the current version below `folder`; 0 and None where there is none."""
+    fs, p = file_system(spark, f"{folder}/manifest")
+    names = sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
+    names = [n for n in names if n.endswith(".json")]
+    if not names:
+        return 0, None
+    return int(names[-1][:-5]), spark.read.text(f"{folder}/manifest/{names[-1]}", wholetext=True).first()[0]
+
+
+def publish(spark: SparkSession, folder: str, version: int, text: str) -> None:
+    """Make `text` the current version: a finished file takes the version's name, which only one writer can do."""
+    fs, draft = file_system(spark, f"{folder}/manifest/{uuid.uuid4().hex}.draft")
+    out = fs.create(draft, False)
+    out.write(bytearray(text.encode()))
+    out.close()
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/manifest/{version:010d}.json")
+    if fs.exists(path) or not fs.rename(draft, path):
+        fs.delete(draft, False)
+        raise RuntimeError(f"version {version} was published by another writer; read the manifest again and repeat")

@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tessera.operators.chunking import fixed_chunks, smart_chunks
+from tessera.sources.containers import ZIP_MAGIC, parse_container
+from tessera.sources.pdf import PDF_MAGIC, parse_pdf
 
-PDF_MAGIC = b"%PDF-"
 Parser = Callable[[str, bytes], list[tuple[int | None, str]]]
 TEXT_KINDS = ("txt", "md", "csv", "json", "xml", "log")
 HTML_KINDS = ("html", "htm")
@@ -37,10 +38,12 @@ class _Text(HTMLParser):
 
 
 def parse(name: str, content: bytes) -> list[tuple[int | None, str]]:
-    """[(page number or None, text)] of one file; raises ValueError where no parser is at hand (PDF, office formats)."""
+    """[(page number or None, text)] of one file, by its content first; raises ValueError where it can't be read."""
     kind = name.rpartition(".")[2].lower()
     if content[:5] == PDF_MAGIC or kind == "pdf":
-        raise ValueError("no PDF parser given")
+        return parse_pdf(content)
+    if content[:4] == ZIP_MAGIC:
+        return parse_container(content)
     if kind in HTML_KINDS:
         t = _Text()
         t.feed(content.decode("utf-8", "replace"))

@@ -188,7 +188,7 @@ def test_ingest(spark, tmp_path):
     (src / "b.html").write_text("<p>hi</p><script>no</script>")
     (src / "c.pdf").write_bytes(b"%PDF-1.4")
     batch = {(r["path"].rpartition("/")[2], r["content"], r["error"]) for r in ingest.chunk_files(ingest.read_files(spark, str(src))).collect()}
-    assert batch == {("a.txt", "one\n\ntwo", None), ("b.html", "hi", None), ("c.pdf", None, "ValueError: no PDF parser given")}
+    assert batch == {("a.txt", "one\n\ntwo", None), ("b.html", "hi", None), ("c.pdf", None, "ValueError: a PDF without a page tree")}
     out, dead = f"{tmp_path}/chunks", f"{tmp_path}/dead"
     ingest.ingest_stream(ingest.read_files(spark, str(src), stream=True), out, dead, f"{tmp_path}/ck").awaitTermination()
     assert spark.read.parquet(out).count() == 2
