@@ -20,6 +20,20 @@ def cents_to_yuan(cents: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(s, r"\.00$", ""), r"(\.\d)0$", "$1")
 
 
+def discount_to_percent(discount: Column) -> Column:
+    """'8.5' is 85 percent, halves rounded down; null for blank."""
+    return F.when(F.length(F.trim(discount)) > 0, F.ceil(F.trim(discount).cast("decimal(20,6)") * 10 - F.lit(0.5).cast("decimal(20,6)"))).cast("int")
+
+
+def percent_to_discount(percent: Column) -> Column:
+    """85 is '8.5': always one decimal."""
+    return F.when(percent.isNotNull(), F.format_string("%.1f", percent / 10.0))
+
+
+def legal_price(yuan: Column) -> Column:
+    return F.coalesce(yuan_to_cents(F.nullif(F.trim(yuan), F.lit(""))) > 0, F.lit(False))
+
+
 def round_half_up(value: Column, digits: int = 2) -> Column:
     scale = float(10**digits)
     return F.floor(value * scale + 0.5) / scale
@@ -36,6 +50,23 @@ def parse_time(text: Column) -> Column:
     return F.coalesce(*(F.try_to_timestamp(text, F.lit(f)) for f in DATE_FORMATS))
 
 
+def seconds_to_day_end(at: Column) -> Column:
+    """Whole seconds to the next midnight, at least 1."""
+    next_day = F.unix_micros(F.date_add(F.to_date(at), 1).cast("timestamp"))
+    return F.greatest(F.floor((next_day - F.unix_micros(at.cast("timestamp"))) / 1_000_000), F.lit(1)).cast("long")
+
+
+def retention_seconds(at: Column, days: int) -> Column:
+    """Whole seconds to the last instant of the day `days` (at least 1) later, a day at least."""
+    end = F.unix_micros(F.date_add(F.to_date(at), max(days, 1) + 1).cast("timestamp"))
+    return F.greatest(F.ceil((end - F.unix_micros(at.cast("timestamp"))) / 1_000_000) - 1, F.lit(86_400)).cast("long")
+
+
+def between(at: Column, first: Column, last: Column) -> Column:
+    """Closed bounds; an absent time is outside."""
+    return F.coalesce(at.between(first, last), F.lit(False))
+
+
 def facts(text: Column, least: float = 0.65, keep: int = 5) -> Column:
     """Facts of a JSON array, fenced or not: content of 4 to 500 characters, confidence of at least `least`, the first `keep`."""
     bare = F.regexp_replace(F.trim(text), r"^```(?:json)?\s*|\s*```$", "")

@@ -191,16 +191,18 @@ def smart_chunks(text: str, size: int = SIZE, segment: Callable[[str], list[str]
     return [m if i == 0 else merged[i - 1][-overlap:] + m for i, m in enumerate(merged)]
 
 
-def chunk_texts(docs: DataFrame, key: str, strategy: str = "fixed", size: int = SIZE, segment: Callable[[str], list[str]] = words) -> DataFrame:
+def chunk_texts(docs: DataFrame, key: str, strategy: str = "fixed", size: int = SIZE, segment: Callable[[str], list[str]] = words, parent: int = PARENT_CHARS) -> DataFrame:
     """key, chunk_id (from 1) and content by an order-dependent strategy: one text at a time in an Arrow batch.
 
-    Null and blank texts give no chunk. Texts are not shuffled.
+    Texts of more than `parent` characters are cut into blocks of that length first, which are chunked apart; ids run on. Null
+    and blank texts give no chunk. Texts are not shuffled.
     """
     cut = {"fixed": fixed_chunks, "smart": smart_chunks}[strategy]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(k, i, c) for k, t in zip(b[key], b["text"], strict=True) if t and t.strip() for i, c in enumerate(cut(t, size, segment), 1)]
+            blocks = ((k, [t[i : i + parent] for i in range(0, len(t), parent)]) for k, t in zip(b[key], b["text"], strict=True) if t and t.strip())
+            rows = [(k, i, c) for k, own in blocks for i, c in enumerate((c for t in own if t.strip() for c in cut(t, size, segment)), 1)]
             yield pd.DataFrame(rows, columns=[key, "chunk_id", "content"])
 
     return docs.select(key, "text").mapInPandas(run, f"{key} {docs.schema[key].dataType.simpleString()}, chunk_id int, content string")

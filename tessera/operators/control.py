@@ -54,6 +54,12 @@ def assign_tags(user_tags: Column, assigned: Column) -> Column:
     return F.array_union(assigned, F.filter(F.split(user_tags, ","), lambda t: t.startswith("PRIVATE_")))
 
 
+def assign_primary(primary: Column, tags: Column, private: Column) -> Column:
+    """The primary tag as it is; where there is none, the user's private tag if it is among the tags, else the first of them."""
+    first = F.when(F.array_contains(tags, private), private).otherwise(F.get(F.array_sort(tags), 0))
+    return F.coalesce(F.nullif(primary, F.lit("")), first)
+
+
 def credited_tokens(callbacks: DataFrame) -> DataFrame:
     """Tokens of successful orders by user; a trade number counts once, however often its success is told."""
     once = callbacks.where("status = 'SUCCEED'").dropDuplicates(["trade_no"])

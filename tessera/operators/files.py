@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.functions.text import boundary_key, nfkc
+from tessera.functions.text import boundary_key, human_size, nfkc
 
 PART_BYTES = 5 * 1024 * 1024
 PREVIEW_BYTES = 10_240
@@ -144,6 +144,21 @@ def preview(text: Column, limit: int = PREVIEW_BYTES) -> Column:
     return F.aggregate(F.slice(F.split(text, "\n", -1), 1, limit), zero, step)["kept"]
 
 
+# Fixed texts: the mark of a cut preview, and what is shown of a file without text.
+PREVIEW_CUT = "\n... (内容已截断，仅显示前10KB)"
+NO_PREVIEW = "文件名: %s\n文件大小: %s\n文件类型: %s\n上传时间: %s\n\n此文件类型不支持预览，请下载后查看。"
+
+
+def file_preview(name: Column, is_text: Column, text: Column, size: Column, created: Column) -> Column:
+    """What is shown of a file: the whole lines of preview(), each with its line feed, marked where the limit was reached; of a file
+    without text its name, size, type and date."""
+    kept = preview(text)
+    shown = F.concat(F.array_join(kept, "\n"), F.lit("\n"))
+    cut = F.when(F.octet_length(shown) >= PREVIEW_BYTES, F.lit(PREVIEW_CUT)).otherwise("")
+    kind = F.upper(F.regexp_extract(name, r"\.([^.]*)$", 1))
+    return F.when(is_text, F.concat(shown, cut)).otherwise(F.format_string(NO_PREVIEW, name, human_size(size), kind, created))
+
+
 def keep_first(rows: DataFrame, key: list[str], order: list) -> DataFrame:
     return rows.withColumn("__r", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where("__r = 1").drop("__r")
 

@@ -27,6 +27,38 @@ def message_tokens(role: Column, content: Column) -> Column:
     return F.lit(8) + estimate_tokens(role) + estimate_tokens(content)
 
 
+#: What a value counts that can't be written as JSON: tool calls, and a tool's parameters.
+TOOL_CALLS, TOOL_PARAMETERS = 128, 80
+
+
+def json_tokens(value: Column, fallback: int) -> Column:
+    """Tokens of a JSON text, `fallback` where it is none; 0 for null."""
+    return F.when(value.isNull(), 0).when(F.try_parse_json(value).isNull(), fallback).otherwise(estimate_tokens(value))
+
+
+def whole_message_tokens(role: Column, content: Column, reasoning: Column, tool_calls: Column, call_id: Column) -> Column:
+    """message_tokens(), and those of the reasoning, the tool calls (JSON) and the id of the call that is answered, where there are any."""
+    return message_tokens(role, content) + estimate_tokens(reasoning) + json_tokens(tool_calls, TOOL_CALLS) + estimate_tokens(call_id)
+
+
+def tool_tokens(name: Column, description: Column, parameters: Column) -> Column:
+    return estimate_tokens(name) + estimate_tokens(description) + json_tokens(parameters, TOOL_PARAMETERS)
+
+
+# Characters that an entry of each role may keep, and what marks a cut.
+ROLE_CHARS = {"user": 1000, "assistant": 1200, "tool": 800}
+CUT_MARK = "...(已截断)"
+
+
+def limited_entry(role: Column, content: Column) -> Column:
+    """Collapsed content, cut by its role; roles without a limit of their own get the shortest. Null is empty."""
+    text, out = collapse(F.coalesce(content, F.lit(""))), None
+    for name, most in ROLE_CHARS.items():
+        cut = truncate(text, most, CUT_MARK)
+        out = F.when(role == name, cut) if out is None else out.when(role == name, cut)
+    return out.otherwise(truncate(text, min(ROLE_CHARS.values()), CUT_MARK))
+
+
 def within_budget(rows: DataFrame, key: str, order: list, tokens: str, budget: int) -> DataFrame:
     """The rows of each key, in order, up to the first that would pass the budget (tokens are never negative)."""
     upto = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
@@ -46,6 +78,17 @@ def recall_score(content: Column, is_preference: Column, age_hours: Column, quer
     return F.when(is_preference, 0.25).otherwise(0.0) + contains + matched + F.greatest(F.lit(0.0), F.lit(0.2) - age_hours / 240)
 
 
+def recall(memories: DataFrame, user_id: int, conversation_id: int, query: str, age_hours: Column, budget: int, most: int = 10) -> DataFrame:
+    """What a user sees of the memories, scored against the query: the `most` best above 0, as far as the token budget goes, with
+    score, tokens and total. Visibility comes first, so what others keep is never scored."""
+    seen = visible_memories(memories, user_id, conversation_id)
+    score = recall_score(F.col("content"), F.coalesce(F.col("type") == "PREFERENCE", F.lit(False)), age_hours, query, query.split())
+    order = [F.desc("score"), F.desc("id")]
+    best = seen.withColumn("score", F.round(score, 9)).where("score > 0").orderBy(*order).limit(most)
+    rows = best.withColumns({"tokens": estimate_tokens(F.col("content")), "__all": F.lit(1)})
+    return within_budget(rows, "__all", order, "tokens", budget).drop("__all")
+
+
 def split_for_compaction(messages: DataFrame, retain: int) -> DataFrame:
     """`summarise`: whether a message stands before the retain-th user message from the end (all stay if there are fewer)."""
     tail = Window.partitionBy("conv_id").orderBy(F.desc("turn")).rowsBetween(Window.unboundedPreceding, -1)

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import logging
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.functions.text import terms
 
+log = logging.getLogger(__name__)
+
 K1, B = 1.2, 0.75
 RRF_K = 60
 CHUNK = ["doc_id", "chunk_id"]
@@ -85,3 +89,14 @@ def rescore(candidates: DataFrame, scores: DataFrame, keys: list[str], n: int, q
     """query_weight * cosine + rescore_weight * bm25 over a window of neighbours."""
     both = candidates.join(scores, keys, "left").withColumn("score", query_weight * F.col("cosine") + rescore_weight * F.coalesce("bm25", F.lit(0.0)))
     return ranked(both.select(*keys, "score"), "score", keys, n)
+
+
+def with_fallbacks(spark: SparkSession, arms: list, schema: str) -> DataFrame:
+    """The rows of the first arm that comes through; none where all fail. An arm is a function that gives a short ranked list."""
+    for arm in arms:
+        try:
+            hits = arm()
+            return spark.createDataFrame(hits.collect(), hits.schema)
+        except Exception as e:  # whatever a search, or the model that it asks, throws
+            log.warning("a search failed, the next one is tried: %s", e)
+    return spark.createDataFrame([], schema)

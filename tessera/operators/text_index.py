@@ -125,6 +125,12 @@ def live(spark: SparkSession, folder: str, m: Manifest | None = None) -> DataFra
     return rows if rows is None or dead is None else rows.join(dead.select("home", "tile", "at"), [rows["segment"] == dead["home"], rows["tile"] == dead["tile"], rows["at"] == dead["at"]], "left_anti")
 
 
+def deleted(spark: SparkSession, folder: str, m: Manifest | None = None) -> int:
+    """How many chunks deletes have taken that no compaction has cleared yet."""
+    dead = _tables(spark, folder, (m or manifest(spark, folder)).deletes, "dead", "deletes")
+    return 0 if dead is None else dead.count()
+
+
 def delete(spark: SparkSession, folder: str, gone: DataFrame) -> Manifest:
     """Take all chunks out whose columns agree with a row of `gone` (say, file_md5): tombstones, and the statistics they change."""
     m = manifest(spark, folder)

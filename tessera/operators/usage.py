@@ -30,8 +30,17 @@ def normal_days(days: int) -> int:
 
 def daily_spine(ledger: DataFrame, days: int) -> DataFrame:
     """One row for each of the last days (7 or 30) before and with the ledger's last day; 0 where nothing happened."""
+    return _spine(ledger, normal_days(days))
+
+
+def quota_days(ledger: DataFrame, days: int, retention: int = 35) -> DataFrame:
+    """daily_spine of the users whose quota is kept, over as many days as counters live: 1 to `retention`."""
+    return _spine(ledger.where(quota_managed(F.col("user_id"))), min(max(days, 1), retention))
+
+
+def _spine(ledger: DataFrame, days: int) -> DataFrame:
     last = ledger.agg(F.max("record_date").alias("last"))
-    spine = last.select(F.explode(F.sequence(F.date_sub("last", normal_days(days) - 1), F.col("last"))).alias("record_date"))
+    spine = last.select(F.explode(F.sequence(F.date_sub("last", days - 1), F.col("last"))).alias("record_date"))
     used = consumed_by_day(ledger).groupBy("record_date").pivot("token_type", ["LLM", "EMBEDDING"]).agg(F.sum("tokens").alias("tokens"), F.sum("requests").alias("requests"))
     out = spine.join(used, "record_date", "left").join(chats_by_day(ledger), "record_date", "left")
     zero = lambda c, name: F.coalesce(F.col(c), F.lit(0)).alias(name)
@@ -75,10 +84,10 @@ def low_balances(daily: DataFrame, threshold: int = LOW_BALANCE) -> DataFrame:
     return rows.select("user_id", "token_type", "record_date", "amount", "balance_after", F.when(F.col("amount") <= 0, "critical").otherwise("warning").alias("level"))
 
 
-def alert_level(used: Column, limit: Column, remaining: Column) -> Column:
-    """Null without use or limit."""
+def alert_level(used: Column, limit: Column, remaining: Column, enabled: Column | None = None) -> Column:
+    """Null without use or limit, and where the quota is switched off."""
     level = F.when(remaining == 0, "critical").when(used / limit >= WARNING_SHARE, "warning")
-    return F.when((limit > 0) & (used > 0), level)
+    return F.when((limit > 0) & (used > 0) & (F.lit(True) if enabled is None else F.coalesce(enabled, F.lit(False))), level)
 
 
 def alerts(snapshot_: DataFrame, limit: int, critical_first: bool = False) -> DataFrame:

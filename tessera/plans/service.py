@@ -23,18 +23,22 @@ FOUND = "检索到 {} 个知识库片段。请基于这些片段回答用户问
 
 
 def memories(spark: SparkSession, d: str) -> DataFrame:
-    """chat_memories: one for each message, with repeated contents."""
-    return table(spark, d, "conversations").select(
+    """chat_memories: one for each message, and a second one with the same content for every third turn."""
+    m = table(spark, d, "conversations")
+    once = m.select(
         (F.col("conv_id") * 1000 + F.col("turn")).alias("id"),
         (F.col("conv_id") % 5).alias("user_id"),
         F.when(F.col("role") == "user", "USER").otherwise("CONVERSATION").alias("scope"),
         F.col("conv_id").alias("conversation_id"),
-        F.substring("text", 1, 2).alias("content"),
+        F.col("text").alias("content"),
+        F.when(F.col("turn") % 5 == 0, "PREFERENCE").otherwise("FACT").alias("type"),
         F.col("turn").alias("updated"),
     )
+    return once.union(once.where("updated % 3 = 0").withColumn("id", F.col("id") + 1_000_000_000))
 
 
-MEMORIES_SQL = """SELECT conv_id * 1000 + turn AS id, conv_id % 5 AS user_id, CASE WHEN role = 'user' THEN 'USER' ELSE 'CONVERSATION' END AS scope, conv_id AS conversation_id, substr(text, 1, 2) AS content, turn AS updated FROM conversations"""
+_MEMORY = "SELECT conv_id * 1000 + turn AS id, conv_id % 5 AS user_id, CASE WHEN role = 'user' THEN 'USER' ELSE 'CONVERSATION' END AS scope, conv_id AS conversation_id, text AS content, CASE WHEN turn % 5 = 0 THEN 'PREFERENCE' ELSE 'FACT' END AS type, turn AS updated FROM conversations"
+MEMORIES_SQL = f"{_MEMORY} UNION ALL SELECT id + 1000000000, * EXCLUDE (id) FROM ({_MEMORY}) WHERE updated % 3 = 0"
 
 
 def memory_visible(spark: SparkSession, d: str) -> DataFrame:

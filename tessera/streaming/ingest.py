@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
@@ -100,8 +101,8 @@ def ingest_stream(files: DataFrame, chunks_path: str, dead_path: str, checkpoint
     return files.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def embed(chunks: DataFrame, model: Callable[[list[str]], list[list[float]]], batch: int = 10, retries: int = 3) -> DataFrame:
-    """chunks with `vector`: the injected model gets `batch` texts a call and is called again after an error."""
+def embed(chunks: DataFrame, model: Callable[[list[str]], list[list[float]]], batch: int = 10, retries: int = 3, wait: float = 1.0) -> DataFrame:
+    """chunks with `vector`: the injected model gets `batch` texts a call and is called again, `wait` seconds after an error."""
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in chunks.schema) + ", vector array<float>"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -115,6 +116,7 @@ def embed(chunks: DataFrame, model: Callable[[list[str]], list[list[float]]], ba
                     except ConnectionError:
                         if not left:
                             raise
+                        time.sleep(wait)
             yield b.assign(vector=vectors)
 
     return chunks.mapInPandas(run, schema)
