@@ -36,7 +36,7 @@ class Languages:
     chunk: int
 
 
-def learn(docs: DataFrame, docs_each: int = 2000, chars_each: int = 600, level: int = 3, chunk: int = 4096) -> Languages:
+def learn(docs: DataFrame, docs_each: int = 2000, chars_each: int = 600, level: int = 6, chunk: int = 4096) -> Languages:
     """Dictionaries from docs (text, lang): for each lang, up to chars_each characters of each of about docs_each texts.
 
     docs_each * chars_each bounds what reaches the driver for a language; the texts taken are those of smallest hash, equal

@@ -1,11 +1,13 @@
 """Language ID and quality: accuracy on held-out rows, and defined results at the edges."""
 
+import os
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import langid, quality
+from tessera.llm import langid, quality, queries
 from tests.llm.helpers import empty
 
 SYLLABLES = {"aa": ["ba", "lo", "mi", "tun"], "bb": ["zer", "qué", "ñu", "ix"], "cc": ["ßto", "gri", "üve", "pf"]}
@@ -90,3 +92,20 @@ def test_pairs_learn_an_interaction():
     fresh = rng.uniform(size=(2000, 4))
     right = (model.score(fresh) > 0.5) == ((fresh[:, 0] > 0.5) != (fresh[:, 1] > 0.5))
     assert right.mean() > 0.9 and (0, 1) in {(i, j) for i, j, *_ in model.pairs}
+
+
+TABLES = "/root/testdata/sf0.01"
+
+
+@pytest.mark.skipif(not os.path.isdir(TABLES), reason="no driver tables")
+def test_queries_on_held_out_rows_of_the_driver_tables(spark):
+    """Languages and quality labels that the queries' models never saw."""
+    docs = spark.read.parquet(f"{TABLES}/documents.parquet").select("doc_id", "lang")
+    lang = queries.op3_language_id(spark, TABLES).where("held_out").join(docs, "doc_id")
+    right, n = lang.agg(F.count_if(F.col("lang") == F.col("lang_pred")), F.count("*")).first()
+    assert n > 200 and right / n >= 0.985
+    labels = spark.read.parquet(f"{TABLES}/labels.parquet").select("doc_id", "quality")
+    judged = [(r["score"], r["quality"], r["predicted"]) for r in queries.op9_quality_classifier(spark, TABLES).where("held_out").join(labels, "doc_id").collect()]
+    assert len(judged) > 40 and sum(p == q for _, q, p in judged) / len(judged) >= 0.95
+    good, bad = [s for s, q, _ in judged if q], [s for s, q, _ in judged if not q]
+    assert sum(a > b for a in good for b in bad) / (len(good) * len(bad)) >= 0.98
