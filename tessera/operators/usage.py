@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tessera.sources.shared import written
+
 START_BALANCE = 10_000
 LOW_BALANCE = 9_300
 WARNING_SHARE = 0.8
@@ -91,12 +93,23 @@ def alert_level(used: Column, limit: Column, remaining: Column, enabled: Column
 
 
 def alerts(snapshot_: DataFrame, limit: int, critical_first: bool = False) -> DataFrame:
-    """Alerts of both types with rank: as the dashboards show them, warnings stand before criticals unless asked otherwise."""
+    """Alerts of both types with rank: as the dashboards show them, warnings stand before criticals unless asked otherwise.
+
+    Sorted by range, numbered within each part, and shifted by the parts before: no task gets more than its part of the alerts.
+    """
     one = lambda kind: snapshot_.where(F.col("token_type") == kind)
     rows = one("LLM").unionByName(one("EMBEDDING")).withColumn("level", alert_level(F.col("used"), F.lit(limit), F.col("remaining"))).where("level is not null")
     level = F.col("level") == "critical"
-    order = Window.orderBy(level.desc() if critical_first else level.asc(), F.desc("ratio"), "user_id", "token_type")
-    return rows.select("user_id", "token_type", "used", "ratio", "level").withColumn("rank", F.row_number().over(order))
+    return numbered(rows.select("user_id", "token_type", "used", "ratio", "level"), [level.desc() if critical_first else level.asc(), F.desc("ratio"), "user_id", "token_type"], "rank")
+
+
+def numbered(rows: DataFrame, order: list, name: str) -> DataFrame:
+    """rows with `name`, 1..n in a total order over all of them."""
+    parts = written(rows.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()), "numbered")
+    sizes = parts.groupBy("__part").agg(F.count("*").alias("__n"))
+    before = sizes.withColumn("__before", F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).drop("__n")  # a row for each part
+    own = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
+    return parts.withColumn("__own", own).join(before, "__part").withColumn(name, (F.col("__own") + F.col("__before")).cast("int")).drop("__part", "__own", "__before")
 
 
 def _fold(key: list[str], decide, columns: list[str]):

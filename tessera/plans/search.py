@@ -193,7 +193,7 @@ def tag_delete_guard_antijoin(spark: SparkSession, d: str) -> DataFrame:
 
 def user_tags_exploded(spark: SparkSession, d: str) -> DataFrame:
     u = tables.users(spark, d).select("id", F.explode(F.split("org_tags", ",")).alias("tag_id"))
-    return u.join(F.broadcast(tables.tags(spark, d).select("tag_id", "name")), "tag_id").select("id", "tag_id", "name")  # one row for each tag of the organisation, as many as nations
+    return u.join(tables.tags(spark, d).select("tag_id", "name"), "tag_id").select("id", "tag_id", "name")
 
 
 def user_list_page(spark: SparkSession, d: str, page: int = 2, size: int = 10) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 
+from tessera.operators import keyed_table
 from tessera.operators.chunking import fixed_chunks, smart_chunks
 from tessera.streaming.ingest import Parser, chunk_rows, parse
 
@@ -71,6 +72,24 @@ def chunks_with_retries(files: DataFrame, parser: Parser = parse, strategy: str
     return rows.groupBy("file_md5").transformWithStateInPandas(Retrying(parser, cut, size, attempts, wait_ms), OUTPUT, "append", "ProcessingTime")
 
 
+def publish_once(tasks: DataFrame, ledger: str, key: str) -> DataFrame:
+    """Those tasks whose key was never published below `ledger`, one for each key; they are published when this returns.
+
+    The ledger is a keyed table, so a batch rewrites no file but those that its keys lie in, and a version of it takes effect as a
+    whole: a run that breaks off has published all of its tasks or none. What a second run of the same tasks returns is
+    what the first one published, as long as nothing was published in between; so a micro-batch may be repeated.
+    """
+    spark = tasks.sparkSession
+    # the batch is known by its rows, whatever their order and number of copies
+    n, mark = tasks.distinct().agg(F.count("*"), F.sum(F.xxhash64(*sorted(tasks.columns)).cast("decimal(38,0)"))).first()
+    rows = tasks.withColumn("__batch", F.lit(f"{n}:{mark}"))
+    if keyed_table._files(spark, ledger)[2] is None:
+        keyed_table.create(rows.limit(0), ledger, key)
+    known = keyed_table.read(spark, ledger)
+    keyed_table.upsert(rows.join(known.select(key), key, "left_anti"), ledger)
+    return keyed_table.read(spark, ledger).where(F.col("__batch") == f"{n}:{mark}").drop("__batch")
+
+
 def ingest_with_retries(files: DataFrame, chunks_path: str, dead_path: str, checkpoint: str, trigger: str = "1 second", **options) -> StreamingQuery:
     """Chunks and dead letters of a stream of files. A micro-batch that runs again replaces its own folders, so nothing is
     published twice; `published` below chunks_path is readable as one table."""

@@ -117,3 +117,13 @@ def test_generations_and_conversations_batch_equals_stream(rocks, tmp_path):
         for _ in range(2):  # a second start goes on from the checkpoint and repeats nothing
             make().writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/ck-{name}").trigger(availableNow=True).start(out).awaitTermination()
         assert sorted(tuple(r) for r in rocks.read.parquet(out).where("user_id < 99").collect()) == want[name]
+
+
+def test_tasks_are_published_once(spark, tmp_path):
+    ledger, schema = f"file://{tmp_path}/ledger", "file_md5 string, url string"
+    first = spark.createDataFrame([("a", "u1"), ("b", "u2"), ("b", "u2")], schema)
+    got = lambda df: sorted(map(tuple, retry.publish_once(df, ledger, "file_md5").collect()))
+    assert got(first) == got(first) == [("a", "u1"), ("b", "u2")]  # a batch that runs again gives the same
+    assert got(spark.createDataFrame([("b", "other"), ("c", "u3"), (None, "x")], schema)) == [("c", "u3")]
+    assert got(spark.createDataFrame([("a", "u1")], schema)) == []
+    assert got(spark.createDataFrame([], schema)) == []
