@@ -86,6 +86,7 @@ class Items:
     item: np.ndarray
     at: np.ndarray
     filter: np.ndarray
+    whole_words: bool
 
 
 def bounds(n: int, q: int, window: int, rate: float) -> tuple[int, int, int]:
@@ -95,7 +96,7 @@ def bounds(n: int, q: int, window: int, rate: float) -> tuple[int, int, int]:
     return w, k, max(1, w + 1 - q * (k + 1))
 
 
-def index_items(rows: list[tuple[int, str | None]], q: int, least: int, window: int, rate: float) -> list[Items]:
+def index_items(rows: list[tuple[int, str | None]], q: int, least: int, window: int, rate: float, whole_words: bool = True) -> list[Items]:
     """An index for each length of q-grams: q, or for a short item the longest that leaves its bound above 0."""
     by_q = {}
     for i, t in rows:
@@ -103,20 +104,20 @@ def index_items(rows: list[tuple[int, str | None]], q: int, least: int, window:
         if len(c) >= max(1, least):
             w, k, _ = bounds(len(c), q, window, rate)
             by_q.setdefault(max(1, min(q, w // (k + 1))), []).append((i, c))
-    return [_index(kept, own, window, rate) for own, kept in sorted(by_q.items())]
+    return [_index(kept, own, window, rate, whole_words) for own, kept in sorted(by_q.items())]
 
 
-def _index(kept: list[tuple[int, np.ndarray]], q: int, window: int, rate: float) -> Items:
+def _index(kept: list[tuple[int, np.ndarray]], q: int, window: int, rate: float, whole_words: bool) -> Items:
     hashes = [gram_hashes(c, q) for _, c in kept]
     h = np.concatenate([*hashes, np.empty(0, U)])
-    item = np.repeat(np.arange(len(kept)), [len(x) for x in hashes])
-    at = np.concatenate([*(np.arange(len(x)) for x in hashes), np.empty(0, np.int64)])
+    item = np.repeat(np.arange(len(kept), dtype=np.int32), [len(x) for x in hashes])
+    at = np.concatenate([*(np.arange(len(x), dtype=np.int32) for x in hashes), np.empty(0, np.int32)])
     by = np.argsort(h, kind="stable")
     keys, first, size = np.unique(h[by], return_index=True, return_counts=True)
     bits = np.zeros(1 << BITS, bool)
     bits[(keys >> U(64 - BITS)).astype(np.int64)] = True
     need = min((bounds(len(c), q, window, rate)[2] for _, c in kept), default=1)
-    return Items(q, need, [i for i, _ in kept], [c for _, c in kept], keys, first, size, item[by], at[by], bits)
+    return Items(q, need, [i for i, _ in kept], [c for _, c in kept], keys, first.astype(np.int32), size.astype(np.int32), item[by], at[by], bits, whole_words)
 
 
 def gram_hits(codes: np.ndarray, items: Items, window: int, rate: float) -> tuple[np.ndarray, np.ndarray]:
@@ -197,7 +198,7 @@ def find_in(codes: np.ndarray, items: Items, window: int, rate: float, hits: np.
         return []
     n = items.size[i]
     which = np.repeat(items.first[i], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    place, item, at = np.repeat(hits, n), items.item[which], items.at[which]
+    place, item, at = np.repeat(hits, n), items.item[which].astype(np.int64), items.at[which].astype(np.int64)
     spans = {}
 
     def add(it, starts, w, begin, end, edits):
@@ -228,7 +229,7 @@ def find_in(codes: np.ndarray, items: Items, window: int, rate: float, hits: np.
         diagonals, grams = np.unique(place[x] - at[x], return_counts=True)
         for d in diagonals[grams > w - items.q].tolist():
             same = _verbatim(pattern, codes, d, w, int(starts[0]), int(starts[-1]))
-            if not k:
+            if not k and items.whole_words:
                 same = same[_whole_words(codes, same + d, w)]
             add(it, same, w, same + d, same + d + w, np.zeros(1, np.int64))
             starts = np.setdiff1d(starts, same, assume_unique=True)
@@ -242,45 +243,48 @@ def find_in(codes: np.ndarray, items: Items, window: int, rate: float, hits: np.
     return sorted((items.ids[it], *span) for it, span in spans.items())
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 80, rate: float = 0.075, q: int = 10, block_chars: int = 16 << 20, least: int = 10) -> DataFrame:
+def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 80, rate: float = 0.075, q: int = 10, block_chars: int = 4 << 20, least: int = 10, whole_words: bool = True) -> DataFrame:
     """doc_id, item_id, doc_start, doc_end, item_start, item_end, edits: one row for each (doc_id, item_id) with a match.
 
     Texts are compared in lower case with runs of white space as one space; positions count characters of that form. A match
     is a stretch of the document within rate * w edits of w consecutive characters of the item, w the smaller of `window`
     and the item's length. Where that leaves no edit (items of fewer than 14 characters by the defaults), a match also cuts no
-    word. The row spans the verified stretches; edits is the largest of theirs.
+    word, unless whole_words is False. The row spans the verified stretches; edits is the largest of theirs.
 
-    Null or empty texts match nothing, nor do items of fewer than `least` characters: such words stand in clean texts, too. Null doc_id or item_id are reported as they are;
+    Null or empty texts match nothing, nor do items of fewer than `least` characters: such words stand in clean texts, too.
+    least=1 with whole_words=False is exact for items of any length. Null doc_id or item_id are reported as they are;
     repeated rows each count, so their matches merge into one row. Extra columns are ignored. No documents or no items: no
     rows.
 
-    The index of at most block_chars characters of items goes to the workers at a time; a larger benchmark takes several
-    passes over the documents. The texts are not shuffled; only matches are.
+    The index of about block_chars characters of items (or of one larger item) is built once, on the driver, and goes to the workers as
+    arrays of 28 bytes a character; a larger benchmark takes several passes over the documents. The texts are not shuffled; only matches are.
     """
     out = None
-    for shared in _blocks(docs, benchmark, block_chars):
-        out = _search(docs, shared, window, rate, q, least) if out is None else out.union(_search(docs, shared, window, rate, q, least))
+    for index in _blocks(docs, benchmark, block_chars, q, least, window, rate, whole_words):
+        found = _search(docs, index, window, rate)
+        out = found if out is None else out.union(found)
     return out.groupBy("doc_id", "item_id").agg(*(f(c).alias(c) for f, c in ((F.min, "doc_start"), (F.max, "doc_end"), (F.min, "item_start"), (F.max, "item_end"), (F.max, "edits"))))
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 80, rate: float = 0.075, q: int = 10, block_chars: int = 16 << 20, least: int = 10) -> DataFrame:
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 80, rate: float = 0.075, q: int = 10, block_chars: int = 4 << 20, least: int = 10, whole_words: bool = True) -> DataFrame:
     """The rows of docs, all columns, whose text matches no item in the sense of find_contamination.
 
     Each row is judged by its own text, whether doc_id is null, repeated or missing. Nothing is shuffled or joined.
     """
-    for shared in _blocks(docs, benchmark, block_chars):
-        docs = _without(docs, shared, window, rate, q, least)
+    for index in _blocks(docs, benchmark, block_chars, q, least, window, rate, whole_words):
+        docs = _without(docs, index, window, rate)
     return docs
 
 
-def _blocks(docs: DataFrame, benchmark: DataFrame, block_chars: int):
-    """Broadcast (item_id, text) lists of the benchmark, each of bounded size."""
+def _blocks(docs: DataFrame, benchmark: DataFrame, block_chars: int, q: int, least: int, window: int, rate: float, whole_words: bool):
+    """Broadcast indexes of the benchmark's items, each of bounded size."""
     spark = prepare(docs.sparkSession)
     total = benchmark.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, -(-total // block_chars))
     for block in range(blocks):
         some = benchmark.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block)
-        yield spark.sparkContext.broadcast([(r["item_id"], r["text"]) for r in some.select("item_id", "text").collect()])
+        rows = [(r["item_id"], r["text"]) for r in some.select("item_id", "text").collect()]
+        yield spark.sparkContext.broadcast(index_items(rows, q, least, window, rate, whole_words))
 
 
 def _matches(texts: list[str | None], index: list[Items], window: int, rate: float) -> list[tuple[int, int, int, int, int, int, int]]:
@@ -303,9 +307,9 @@ def _matches(texts: list[str | None], index: list[Items], window: int, rate: flo
     return rows
 
 
-def _search(docs: DataFrame, shared, window: int, rate: float, q: int, least: int) -> DataFrame:
+def _search(docs: DataFrame, shared, window: int, rate: float) -> DataFrame:
     def run(batches):
-        index = index_items(shared.value, q, least, window, rate)
+        index = shared.value
         for b in batches:
             rows = _matches(b.column("text").to_pylist(), index, window, rate)
             doc = b.column("doc_id").to_pylist()
@@ -316,10 +320,10 @@ def _search(docs: DataFrame, shared, window: int, rate: float, q: int, least: in
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, item_id long, doc_start long, doc_end long, item_start long, item_end long, edits int")
 
 
-def _without(docs: DataFrame, shared, window: int, rate: float, q: int, least: int) -> DataFrame:
+def _without(docs: DataFrame, shared, window: int, rate: float) -> DataFrame:
     @F.pandas_udf("boolean")
     def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        index = index_items(shared.value, q, least, window, rate)
+        index = shared.value
         for texts in batches:
             found = {m[0] for m in _matches(texts.tolist(), index, window, rate)}
             yield pd.Series([i not in found for i in range(len(texts))], dtype=bool)

@@ -219,3 +219,13 @@ def test_short_items_cut_no_word():
     index = decontam.index_items([(0, "the capital"), (1, "北京是中国的首都城市")], 10, 10, 80, 0.075)
     texts = ["(The  CAPITAL), it is", "bathe capitals", "the capitals", "我们知道北京是中国的首都城市吗", "the capital", None, ""]
     assert sorted(m[:2] for m in decontam._matches(texts, index, 80, 0.075)) == [(0, 0), (3, 1), (4, 0)]
+
+
+def test_exact_setting_finds_short_items_anywhere():
+    rng = random.Random(9)
+    items = ["".join(rng.choices("abc ", k=rng.randint(1, 13))) for _ in range(40)]
+    texts = ["".join(rng.choices("abc ", k=rng.randint(0, 60))) for _ in range(60)]
+    index = decontam.index_items(list(enumerate(items)), 10, 1, 80, 0.075, whole_words=False)
+    kept = [(i, p) for i, p in enumerate(map(decontam.normal, items)) if p]
+    want = {(t, i) for t, text in enumerate(texts) for i, p in kept if p in decontam.normal(text)}
+    assert {m[:2] for m in decontam._matches(texts, index, 80, 0.075)} == want and len(want) > 100
