@@ -27,7 +27,7 @@ from tessera.operators.retrieval import K1, B, ranked
 from tessera.sources.shared import file_system, latest, publish
 
 TILE = 128
-#: Bytes of text for each folder of postings, and the largest number of folders.
+#: Bytes of chunk files for each folder of postings, and the largest number of folders.
 BUCKET_BYTES, MOST_BUCKETS = 256 << 20, 4096
 #: Tiles that a search reads first, to learn what score is needed.
 FIRST_TILES = 64
@@ -61,9 +61,10 @@ def _bucket(buckets: int) -> Column:
     return F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int").alias("bucket")
 
 
-def _text_bytes(chunks: DataFrame) -> int:
-    size = int(str(chunks._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return min(size, 1 << 60)
+def _buckets(stored: DataFrame) -> int:
+    """Folders of postings for the chunks of a first segment, by the bytes of their files."""
+    size = int(str(stored._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(1, min(MOST_BUCKETS, -(-size // BUCKET_BYTES)))
 
 
 def _write_postings(rows: DataFrame, folder: str, buckets: int) -> None:
@@ -88,7 +89,6 @@ def add(chunks: DataFrame, folder: str, keys: list[str] | None = None) -> Manife
     """
     spark = chunks.sparkSession
     now = manifest(spark, folder)
-    buckets = now.buckets if now.version else max(1, min(MOST_BUCKETS, -(-_text_bytes(chunks) // BUCKET_BYTES)))
     keys = now.keys or list(keys or [])
     name = uuid.uuid4().hex
     own = f"{folder}/segments/{name}"
@@ -99,6 +99,7 @@ def add(chunks: DataFrame, folder: str, keys: list[str] | None = None) -> Manife
     pairs = F.transform(F.array_distinct("__t"), lambda x: F.struct(x.alias("term"), times(x).alias("tf")))
     rows.withColumn("dl", F.size("__t")).withColumn("terms", pairs).drop("__t").write.parquet(f"{own}/chunks")
     stored = spark.read.parquet(f"{own}/chunks")
+    buckets = now.buckets if now.version else _buckets(stored)
     _write_postings(stored.select("tile", "at", "dl", F.explode("terms").alias("t")).select("t.term", "tile", "at", "t.tf", "dl"), own, buckets)
     n, length = stored.agg(F.count("*"), F.coalesce(F.sum("dl"), F.lit(0))).first()
     return _publish(spark, folder, Manifest(now.version + 1, keys, buckets, [*now.segments, name], now.deletes, now.chunks + n, now.length + length))
