@@ -156,7 +156,7 @@ def file_preview(name: Column, is_text: Column, text: Column, size: Column, crea
     shown = F.concat(F.array_join(kept, "\n"), F.lit("\n"))
     cut = F.when(F.octet_length(shown) >= PREVIEW_BYTES, F.lit(PREVIEW_CUT)).otherwise("")
     kind = F.upper(F.regexp_extract(name, r"\.([^.]*)$", 1))
-    return F.when(is_text, F.concat(shown, cut)).otherwise(F.format_string(NO_PREVIEW, name, human_size(size), kind, created))
+    return F.when(is_text, F.concat(shown, cut)).otherwise(F.format_string(NO_PREVIEW, name, human_size(size, half_even=True), kind, created))
 
 
 def keep_first(rows: DataFrame, key: list[str], order: list) -> DataFrame:

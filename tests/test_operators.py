@@ -303,3 +303,9 @@ def test_token_estimate_of_odd_texts(spark):
 def test_protected_blocks():
     found = [(b["kind"], b["start"], b["end"]) for b in chunking._protected("a\n```\n|x|\n```\n|a|b|\n|-|-|\nz\n ```open\n|t|")]
     assert found == [("CODE_BLOCK", 2, 13), ("CODE_BLOCK", 29, 40), ("TABLE_ROW", 6, 10), ("TABLE_ROW", 14, 26), ("TABLE_ROW", 37, 40)]
+
+
+def test_preview_of_a_size_halfway_between_tenths(spark):
+    shown = lambda n: one(spark, files.file_preview(F.lit("a.bin"), F.lit(False), F.lit(""), F.lit(n).cast("long"), F.lit("2024-01-01"))).split("\n")[1]
+    assert [shown(n).split(": ")[1] for n in (1280, 1281, 1792, 1024, 1_310_720)] == ["1.2 KB", "1.3 KB", "1.8 KB", "1.0 KB", "1.2 MB"]
+    assert one(spark, tx.human_size(F.lit(1280))) == "1.3 KB"  # file_sizes rounds up
