@@ -42,3 +42,18 @@ def test_nothing_to_index(spark, tmp_path):
     assert vector_index.build(spark.createDataFrame([(1, None, 0), (2, [0.0], 0)], SCHEMA), f"file://{tmp_path}/v", "vec_id") is None
     assert vector_index.build(spark.createDataFrame([(1, [2.0, 0.0], 0)], SCHEMA), f"file://{tmp_path}/v", "vec_id").probes == 1
     assert [tuple(r) for r in vector_index.search(spark, f"file://{tmp_path}/v", "vec_id", [1.0, 0.0], 5).collect()] == [(1, 1.0, 1)]
+
+
+def test_search_is_exact_where_lists_and_codes_are_poor(spark, tmp_path, monkeypatch):
+    rng = np.random.default_rng(8)
+    x, folder = rng.normal(size=(3000, 32)).astype(np.float32), f"file://{tmp_path}/vectors"
+    x[::7] *= 1 + rng.random((len(x[::7]), 32)).astype(np.float32) ** 8 * 6  # far from the sample's residuals: their codes are clipped
+    df = spark.createDataFrame([(i, [float(c) for c in v], i % 3) for i, v in enumerate(x)], SCHEMA)
+    vector_index.build(df, folder, "vec_id", recall=0.3, sample=200)
+    unit = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
+    for i, most in ((1, 10_000), (7, 10_000), (14, 5)):
+        monkeypatch.setattr(vector_index, "MOST_LOOKUPS", most)
+        want = np.argsort(-(unit @ unit[i]), kind="stable")
+        assert [r["vec_id"] for r in vector_index.search(spark, folder, "vec_id", x[i].tolist(), 10).orderBy("rank").collect()] == want[:10].tolist()
+    few = vector_index.search(spark, folder, "vec_id", x[0].tolist(), 10, F.col("vec_id") < 4).orderBy("rank").collect()  # fewer than k
+    assert [r["vec_id"] for r in few] == [j for j in np.argsort(-(unit @ unit[0]), kind="stable").tolist() if j < 4]
