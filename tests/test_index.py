@@ -69,3 +69,28 @@ def test_empty_segments_and_rival_writers(spark, tmp_path):
     assert found(spark, folder, ["w1"], 5) == [] and text_index.manifest(spark, folder).chunks == 1
     with pytest.raises(RuntimeError, match="another writer"):
         text_index._publish(spark, folder, text_index.Manifest(version=2))
+
+
+def shuffled(spark):
+    """Bytes that the session's tasks have written for shuffles."""
+    sc = spark.sparkContext._jsc.sc()
+    sc.listenerBus().waitUntilEmpty(30_000)
+    found = sc.statusStore().executorList(False)
+    return sum(found.apply(i).totalShuffleWrite() for i in range(found.size()))
+
+
+def test_building_and_compacting_shuffle_nothing(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(text_index, "RUN_TERMS", 300)  # several runs in a task, which cut tiles in two
+    folder, df = f"file://{tmp_path}/index", spark.createDataFrame(rows(2000), SCHEMA).repartition(3).persist()
+    assert df.count() == 2004
+    before = shuffled(spark)
+    text_index.add(df, folder, KEYS)
+    assert shuffled(spark) - before < 2000  # a few counts, not the postings
+    for query in QUERIES:
+        assert found(spark, folder, query, 10) == plain(df, query, 10)
+    before = shuffled(spark)
+    text_index.compact(spark, folder)
+    assert shuffled(spark) - before < 2000
+    assert found(spark, folder, QUERIES[0], 10) == plain(df, QUERIES[0], 10)
+    stored = spark.read.parquet(f"{folder}/segments/{text_index.manifest(spark, folder).segments[0]}/postings")
+    assert stored.count() and stored.where("size(at) <> df or array_max(tf) <> max_tf or array_min(dl) <> min_dl").count() == 0
