@@ -1,11 +1,13 @@
 """The stored text index: every search equals a scan of what is live, whatever was added, deleted and compacted."""
 
+import os
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators import retrieval, text_index
+from tessera.sources.shared import file_system
 
 KEYS = ["doc_id", "chunk_id"]
 SCHEMA = "doc_id long, chunk_id int, file_md5 string, user_id long, content string"
@@ -94,3 +96,32 @@ def test_building_and_compacting_shuffle_nothing(spark, tmp_path, monkeypatch):
     assert found(spark, folder, QUERIES[0], 10) == plain(df, QUERIES[0], 10)
     stored = spark.read.parquet(f"{folder}/segments/{text_index.manifest(spark, folder).segments[0]}/postings")
     assert stored.count() and stored.where("size(at) <> df or array_max(tf) <> max_tf or array_min(dl) <> min_dl").count() == 0
+
+
+def test_one_search_builds_no_index(spark):
+    from tessera.plans import search
+
+    data = "/root/testdata/sf0.001"
+    if not os.path.isdir(data):
+        pytest.skip("no driver tables")
+    hits = lambda: [(r.rank, r.doc_id, r.chunk_id, round(r.bm25, 8)) for r in search.lexical(spark, data, 20).orderBy("rank").collect()]
+    before = shuffled(spark)
+    scanned = hits()
+    assert shuffled(spark) - before < 2000 and not text_index.manifest(spark, search.stored_index(spark, data)).version
+    before = shuffled(spark)
+    assert search.search_attach_filename(spark, data).count() == search.TOP
+    assert shuffled(spark) - before < 10_000  # not all files by md5
+    folder = search.build_index(spark, data)
+    assert text_index.manifest(spark, folder).version == 1 and hits() == scanned
+    fs, path = file_system(spark, folder)
+    fs.delete(path, True)  # other tests' searches scan
+
+
+def test_delete_by_many_rows_keeps_statistics(spark, tmp_path):
+    folder, df = f"file://{tmp_path}/index", spark.createDataFrame(rows(), SCHEMA)
+    text_index.add(df, folder, KEYS)
+    text_index.delete(spark, folder, df.where("user_id < 5").select("file_md5", "user_id"))
+    left = df.where("user_id >= 5")
+    m = text_index.manifest(spark, folder)
+    assert m.chunks == left.count() and "terms" not in spark.read.parquet(f"{folder}/deletes/{m.deletes[0]}/dead").columns
+    assert found(spark, folder, QUERIES[1], 10) == plain(left, QUERIES[1], 10)
