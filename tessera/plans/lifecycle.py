@@ -98,8 +98,9 @@ def latest_references(searches: DataFrame) -> DataFrame:
 
 def reference_details(spark: SparkSession, d: str) -> DataFrame:
     """All that is kept of a reference, of the later of two searches: keywords first, then hybrid."""
-    first = few(lexical(spark, d, TOP).select(F.lit(1).alias("search"), "rank", "doc_id", "chunk_id", F.col("bm25").alias("score"), F.lit("TEXT_ONLY").alias("mode")))
-    then = few(hybrid_search_rrf(spark, d).select(F.lit(2).alias("search"), "rank", "doc_id", "chunk_id", "score", F.lit("RRF").alias("mode")))
+    words = few(lexical(spark, d, 10 * TOP))  # one scan serves both searches
+    first = words.where(F.col("rank") <= TOP).select(F.lit(1).alias("search"), "rank", "doc_id", "chunk_id", F.col("bm25").alias("score"), F.lit("TEXT_ONLY").alias("mode"))
+    then = few(hybrid_search_rrf(spark, d, words).select(F.lit(2).alias("search"), "rank", "doc_id", "chunk_id", "score", F.lit("RRF").alias("mode")))
     hits = latest_references(first.union(then).withColumn("generation_id", F.lit(1)))
     own = tables.files(spark, d).join(F.broadcast(hits.select("doc_id").distinct()), "doc_id", "left_semi")  # TOP rows at most
     texts = chunking.chunk_characters(own, ["doc_id", "file_md5", "file_name"], SIZE, OVERLAP)
