@@ -23,12 +23,13 @@ def learn_words(docs: DataFrame, column: str = "text", letter: str = CJK, longes
     A stretch holds together if, wherever it is cut in two, it comes `firmness` times as often as its parts would
     by chance next to each other: n(whole) * n(letters) >= firmness * n(left) * n(right). The counts are of all stretches of all texts; counting is
     combined before the shuffle. Of the words found the `most` frequent are kept, by code point where counts are equal, which bounds
-    what a segmenter sends to the tasks; None keeps all. Null texts have no words.
+    what a segmenter sends to the tasks; None keeps all. Null texts have no words. Equal runs of letters are counted first and cut
+    into stretches once, so words that come often cost little.
     """
     run = F.regexp_extract_all(F.col(column), F.lit(f"({letter}+)"), 1)
-    runs = docs.select(F.explode(run).alias("r"))
+    runs = docs.select(F.explode(run).alias("r")).groupBy("r").agg(F.count("*").alias("c"))
     grams = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(longest)), lambda k: F.when(F.length("r") >= k, F.transform(F.sequence(F.lit(1), F.length("r") - k + 1), lambda i: F.substring("r", i, k))).otherwise(F.array().cast("array<string>"))))
-    n = written(runs.select(F.explode(grams).alias("word")).groupBy("word").agg(F.count("*").alias("n")), "grams")
+    n = written(runs.select("c", F.explode(grams).alias("word")).groupBy("word").agg(F.sum("c").alias("n")), "grams")
     total = float(n.where(F.length("word") == 1).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
     cuts = n.where((F.length("word") > 1) & (F.col("n") >= least)).select("word", "n", F.explode(F.sequence(F.lit(1), F.length("word") - 1)).alias("i"))
     halves = cuts.select("word", "n", F.expr("substring(word, 1, i)").alias("left"), F.expr("substring(word, i + 1)").alias("right"))

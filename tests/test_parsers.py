@@ -146,3 +146,12 @@ def test_pages_become_chunks_with_running_ids(spark):
     rows = ingest.chunk_files(spark.createDataFrame([("/a/b.pdf", bytearray(file)), ("/a/c.pdf", bytearray(file[:40]))], "path string, content binary")).orderBy("path", "chunk_id").collect()
     assert [(r["chunk_id"], r["page_number"]) for r in rows if r["path"] == "/a/b.pdf"] == [(1, 1), *((2 + i, 3) for i in range(len(chunking.fixed_chunks("word " * 199 + "word"))))]
     assert [r["error"] for r in rows if r["path"] == "/a/c.pdf"] == ["ValueError: a PDF without a page tree"]
+
+
+def test_learning_cuts_equal_runs_once(spark, monkeypatch):
+    plans, written = [], segmenting.written
+    monkeypatch.setattr(segmenting, "written", lambda df, name: (plans.append(df._jdf.queryExecution().optimizedPlan().toString()), written(df, name))[1])
+    docs = spark.createDataFrame([("abc ab abc",)] * 40 + [("abc",)] * 20, "text string")
+    rows = segmenting.learn_words(docs, letter="[a-z]", longest=3, least=1, firmness=0.0, most=None)
+    assert {r["word"]: r["n"] for r in rows.collect()} == {"a": 140, "b": 140, "c": 100, "ab": 140, "bc": 100, "abc": 100}
+    assert plans[0].count("Aggregate [") == 2 and plans[0].rindex("Aggregate [r#") > plans[0].index("explode(flatten(")
