@@ -98,9 +98,11 @@ def reconcile(completed: DataFrame, indexed: DataFrame, stored: DataFrame, key:
 def _boundaries(pages: DataFrame, file: str, page: str, depth: int) -> tuple[DataFrame, DataFrame]:
     """(file, page, side, rank, pos, key of the first and the last `depth` lines that aren't blank; keys that enough pages share)."""
     solid = F.filter(F.transform(page_lines(F.col("text")), lambda line, i: F.struct(i.alias("pos"), line.alias("line"))), lambda x: F.length(x["line"]) > 0)
-    last = F.reverse(F.slice(solid, -F.least(F.size(solid), F.lit(depth)), depth))
-    near = lambda side, lines: pages.where(F.size(solid) > 0).select(file, page, F.lit(side).alias("side"), F.posexplode(lines).alias("rank", "x")).select(file, page, "side", "rank", "x.pos", "x.line")
-    both = near("top", F.slice(solid, 1, depth)).union(near("bottom", last)).withColumn("key", boundary_key(nfkc(F.col("line")))).drop("line")
+    placed = lambda side, lines: F.transform(lines, lambda x, i: F.struct(F.lit(side).alias("side"), i.alias("rank"), x["pos"].alias("pos"), x["line"].alias("line")))
+    ends = lambda s: F.concat(placed("top", F.slice(s, 1, depth)), placed("bottom", F.slice(F.reverse(s), 1, depth)))
+    # a text is split once: its lines are bound to a name, and what is taken from them is exploded before anything else
+    near = pages.select(file, page, F.explode(F.get(F.transform(F.array(solid), ends), 0)).alias("x")).select(file, page, "x.side", "x.rank", "x.pos", "x.line")
+    both = near.withColumn("key", boundary_key(nfkc(F.col("line")))).drop("line")
     counts = both.where("key is not null").groupBy(file, "side", "key").agg(F.count("*").alias("pages"))
     total = pages.groupBy(file).agg(F.countDistinct(page).alias("n"))
     return both, counts.join(total, file).where(F.col("pages") >= F.greatest(F.lit(2), F.least(F.lit(3), F.col("n")))).drop("n")

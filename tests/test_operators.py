@@ -1,6 +1,8 @@
 """Small cases worked out by hand."""
 
 import datetime as dt
+import re
+import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
@@ -309,3 +311,16 @@ def test_preview_of_a_size_halfway_between_tenths(spark):
     shown = lambda n: one(spark, files.file_preview(F.lit("a.bin"), F.lit(False), F.lit(""), F.lit(n).cast("long"), F.lit("2024-01-01"))).split("\n")[1]
     assert [shown(n).split(": ")[1] for n in (1280, 1281, 1792, 1024, 1_310_720)] == ["1.2 KB", "1.3 KB", "1.8 KB", "1.0 KB", "1.2 MB"]
     assert one(spark, tx.human_size(F.lit(1280))) == "1.3 KB"  # file_sizes rounds up
+
+
+def test_compatibility_form_sends_only_texts_that_it_may_change(spark):
+    inert = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000 and re.match(f"[{tx.INERT}]", chr(c))]
+    assert len(inert) > 30_000 and all(unicodedata.normalize("NFKC", c) == c and not unicodedata.combining(c) for c in inert)
+    text = "".join(inert)  # in this order and the reverse no two of them compose
+    assert unicodedata.normalize("NFKC", text) == text and unicodedata.normalize("NFKC", text[::-1]) == text[::-1]
+    texts = ["Übergröße à l'été, 第一页 №", "plain", "e\u0301", "ＡＢ①", "가\u11a8", "1\u00a02", "Straße – Œuvre", None, ""]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").repartition(2)
+    assert {r["t"]: r["n"] for r in df.select("t", tx.nfkc(F.col("t")).alias("n")).collect()} == {t: t and unicodedata.normalize("NFKC", t) for t in texts}
+    plain_texts = spark.createDataFrame([("Übergröße",), ("Straße – 12",)], "t string")
+    plan = plain_texts.select(tx.nfkc(F.col("t")))._jdf.queryExecution().optimizedPlan().toString()
+    assert "RLIKE" in plan and "normalize(CASE WHEN" in plan and [r[0] for r in plain_texts.select(tx.nfkc(F.col("t"))).collect()] == ["Übergröße", "Straße – 12"]
