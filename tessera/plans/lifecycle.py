@@ -56,10 +56,9 @@ def learned_words(spark: SparkSession, d: str) -> DataFrame:
 
 def knowledge_stats_index(spark: SparkSession, d: str) -> DataFrame:
     """Documents, live and deleted fragments of a stored index, and the time of its latest file: when the last merged one was merged."""
-    folder, rows = shared_folder(spark, "index"), chunks(spark, d)
-    text_index.add(rows, folder, retrieval.CHUNK)
-    m = text_index.delete(spark, folder, rows.where("user_id = 3").select("doc_id"))
-    f = tables.files(spark, d)
+    folder, f = shared_folder(spark, "index"), tables.files(spark, d)
+    text_index.add(chunks(spark, d), folder, retrieval.CHUNK)
+    m = text_index.delete(spark, folder, f.where("user_id = 3").select("doc_id"))
     merged = F.when(F.col("doc_id") % 3 == 0, F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") * 7919 % 1000).cast("int")))
     f = f.withColumns({"merged": merged, "created": F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 500).cast("int"))})
     latest = F.max_by(F.coalesce("merged", "created"), F.struct(F.coalesce("merged", F.lit("0001-01-01").cast("date")), "doc_id"))

@@ -125,3 +125,33 @@ def test_delete_by_many_rows_keeps_statistics(spark, tmp_path):
     m = text_index.manifest(spark, folder)
     assert m.chunks == left.count() and "terms" not in spark.read.parquet(f"{folder}/deletes/{m.deletes[0]}/dead").columns
     assert found(spark, folder, QUERIES[1], 10) == plain(left, QUERIES[1], 10)
+
+
+def test_delete_leaves_other_chunks_terms_in_place(spark, tmp_path):
+    rng = random.Random(5)
+    made = [(i, 1, f"m{i}", i % 50, " ".join(f"x{rng.randrange(10**9)}" for _ in range(60))) for i in range(3000)]
+    folder, df = f"file://{tmp_path}/index", spark.createDataFrame(made, SCHEMA)
+    text_index.add(df, folder, KEYS)
+    usual = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as if what goes were too large for Spark to broadcast
+    try:
+        before = shuffled(spark)
+        m = text_index.delete(spark, folder, df.where("user_id = 3").select("doc_id"))
+        assert shuffled(spark) - before < 500_000  # narrow rows and the terms of 60 chunks, not 3000 chunks' terms
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", usual)
+    assert m.chunks == 2940 and text_index.deleted(spark, folder, m) == 60
+    lost = spark.read.parquet(f"{folder}/deletes/{m.deletes[0]}/terms")
+    assert -lost.agg(F.sum("df")).first()[0] == sum(len(set(r[4].split())) for r in made if r[3] == 3)
+
+
+def test_rare_terms_have_one_block_in_a_run(spark, tmp_path):
+    made = [(i, 1, "m", 1, "common" + (" rare" if i % 200 == 0 else "") + (" last" if i == 2999 else "")) for i in range(3000)]
+    folder, df = f"file://{tmp_path}/index", spark.createDataFrame(made, SCHEMA).coalesce(1)
+    m = text_index.add(df, folder, KEYS)
+    blocks = spark.read.parquet(f"{folder}/segments/{m.segments[0]}/postings")
+    assert {(r.term, r.n, r.df) for r in blocks.groupBy("term").agg(F.count("*").alias("n"), F.sum("df").alias("df")).collect()} == {("common", 24, 3000), ("rare", 1, 15), ("last", 1, 1)}
+    text_index.delete(spark, folder, df.where("doc_id = 400").select("doc_id"))
+    left = df.where("doc_id <> 400")
+    for query in (["rare", "last"], ["common", "rare"]):
+        assert found(spark, folder, query, 20) == plain(left, query, 20)

@@ -324,3 +324,9 @@ def test_compatibility_form_sends_only_texts_that_it_may_change(spark):
     plain_texts = spark.createDataFrame([("Übergröße",), ("Straße – 12",)], "t string")
     plan = plain_texts.select(tx.nfkc(F.col("t")))._jdf.queryExecution().optimizedPlan().toString()
     assert "RLIKE" in plan and "normalize(CASE WHEN" in plan and [r[0] for r in plain_texts.select(tx.nfkc(F.col("t"))).collect()] == ["Übergröße", "Straße – 12"]
+
+
+def test_term_line_is_the_terms(spark):
+    texts = ["", " ", "...", "a", "A-b  c", "(x)", "Éte ÉTÉ, 中文。x²½", "a b c", "😀a😀 b", "İI ǅ ٣٤ _ `x{y}|~\x7fz", "Straße/[\\]^ 7:8;9@"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", tx.term_line(F.col("t")).alias("line"), tx.terms(F.col("t")).alias("terms")).withColumn("n", tx.n_terms(F.col("line"))).collect()
+    assert [(r.line, r.n) for r in rows] == [(" ".join(r.terms), len(r.terms)) for r in rows]
