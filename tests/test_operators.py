@@ -4,12 +4,14 @@ import datetime as dt
 import re
 import unicodedata
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import text as tx
 from tessera.functions import values
 from tessera.operators import access, chunking, control, files, memory, retrieval, usage
+from tessera.plans import search
 from tessera.streaming import ingest, limits
 
 
@@ -70,6 +72,16 @@ def test_overlap_before_chunks(spark):
     assert [r["content"] for r in chunking.with_overlap(df, "doc_id", 2).orderBy("chunk_id").collect()] == ["aaaa", "aabbbb"]
 
 
+def test_empty_texts_keep_their_row_as_in_the_sql(spark, tmp_path):
+    texts = spark.createDataFrame([(1, ""), (2, None), (3, "a" * 401)], "doc_id long, text string").selectExpr("*", "'en' AS lang", "'s' AS source")
+    texts.write.parquet(f"{tmp_path}/documents.parquet")
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = c.execute(search.CATALOG["chunk_lag_overlap"][1]).fetchall()
+    assert len(want) == 4 and sorted(map(tuple, search.chunk_lag_overlap(spark, str(tmp_path)).collect())) == sorted(want)
+    assert search.chunks(spark, str(tmp_path)).count() == 1
+
+
 def test_fixed_chunks():
     assert chunking.fixed_chunks("a" * 30 + "\n\n" + "b" * 30, 50) == ["a" * 30, "aaaaa" + "b" * 30]
     assert chunking.fixed_chunks("one. two. three.", 9) == ["one.two.", "three."]
