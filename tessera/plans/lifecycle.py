@@ -23,7 +23,6 @@ PARENT = 4096
 MATCHED, SUMMARY = 800, 1800
 # Fixed text: what the answer says of how a reference was found.
 HYBRID_LABEL, TEXT_LABEL = "混合召回（语义相关 + 关键词命中）", "关键词召回"
-HITS = "rank int, doc_id long, chunk_id int, bm25 double"
 
 
 def generation_states(spark: SparkSession, d: str) -> DataFrame:
@@ -81,12 +80,13 @@ def _query(spark: SparkSession, d: str) -> list[float]:
 
 
 def hybrid_search_fallback(spark: SparkSession, d: str) -> DataFrame:
-    """The hybrid search's model is out of reach, so plain BM25 answers."""
+    """The hybrid search's model is out of reach, so plain BM25 answers; any other failure, and one of BM25 itself, is raised."""
 
     def hybrid() -> DataFrame:
         raise ConnectionError("no embedding model")
 
-    return retrieval.with_fallbacks(spark, [hybrid, lambda: lexical(spark, d, TOP).select("rank", "doc_id", "chunk_id", "bm25")], HITS).select("rank", "doc_id", "chunk_id", r6("bm25"))
+    words = lambda: lexical(spark, d, TOP).select("rank", "doc_id", "chunk_id", "bm25")
+    return retrieval.with_fallbacks(spark, [hybrid, words], outages=(ConnectionError, TimeoutError)).select("rank", "doc_id", "chunk_id", r6("bm25"))
 
 
 def latest_references(searches: DataFrame) -> DataFrame:

@@ -1,9 +1,11 @@
 """Rules that only show in cases of their own: fallbacks, parents, entries, messages, primary tags."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import values
 from tessera.operators import chunking, control, memory, retrieval, usage
+from tessera.plans import lifecycle
 
 
 def one(spark, expr):
@@ -20,6 +22,27 @@ def test_searches_fall_back_and_end_empty(spark):
     assert last.count() == 0 and last.columns == ["rank", "bm25"]
 
 
+def test_a_failed_search_is_no_empty_result(spark, tmp_path):
+    with pytest.raises(Exception, match="documents"):  # no such table
+        lifecycle.hybrid_search_fallback(spark, str(tmp_path)).collect()
+    (tmp_path / "documents.parquet").write_text("torn")
+    with pytest.raises(Exception, match="documents|[Pp]arquet"):
+        lifecycle.hybrid_search_fallback(spark, str(tmp_path)).collect()
+
+    def unreachable():
+        raise ConnectionError("no model")
+
+    def mistaken():
+        raise KeyError("embedding")
+
+    good = lambda: spark.range(2).select(F.col("id").cast("int").alias("rank"))
+    assert retrieval.with_fallbacks(spark, [unreachable, good], outages=ConnectionError).count() == 2
+    with pytest.raises(KeyError):
+        retrieval.with_fallbacks(spark, [mistaken, good], outages=ConnectionError)
+    with pytest.raises(RuntimeError, match="all of 2 searches failed: no model; no model"):
+        retrieval.with_fallbacks(spark, [unreachable, unreachable])
+
+
 def test_parents_are_chunked_apart_with_running_ids(spark):
     text = " ".join(f"Sentence number {i}." for i in range(120))
     got = chunking.chunk_texts(spark.createDataFrame([(1, text), (2, "short"), (3, None), (4, "x" + " " * 990 + "y")], "doc_id long, text string"), "doc_id", "fixed", 100, parent=500).collect()
